@@ -51,3 +51,130 @@ def q_dense_cos(spark, sf):
 def q_dense_l2(spark, sf):
     v = Tables(spark, sf).vectors()
     return topk.dense_topk(v, v, 4, metric="l2_relevance", doc_id="id", exclude_self=True)
+
+
+# ---------------------------------------------------------------- text and vectors (F-*)
+from ragtab.functions import text as T  # noqa: E402
+from ragtab.functions import vectors as V  # noqa: E402
+from ragtab.operators import judge as J  # noqa: E402
+from ragtab.operators import report as R  # noqa: E402
+
+
+@register("word_rate", O.with_views(["answers"], [], f"""
+SELECT experiment, model, id, {O.WORDS.format(x='llm_response')} AS words, time,
+       round(CAST({O.WORDS.format(x='llm_response')} AS DOUBLE) / time, 6) AS tps FROM answers"""))
+def q_word_rate(spark, sf):
+    a = Tables(spark, sf).answers()
+    return a.select("experiment", "model", "id", T.word_count("llm_response").alias("words"), "time",
+                    F.round(T.words_per_second("llm_response", "time"), 6).alias("tps"))
+
+
+@register("sem_score_pairs", O.with_views(
+    ["answers"], O.sem_ctes("answers", "experiment, model, id", "response", "llm_response"),
+    "SELECT a.experiment, a.model, a.id, s.sem_score FROM answers a LEFT JOIN sem s USING (experiment, model, id)"))
+def q_sem_score_pairs(spark, sf):
+    a = Tables(spark, sf).answers()
+    return a.select("experiment", "model", "id", J.sem_score("response", "llm_response").alias("sem_score"))
+
+
+@register("vector_norms", O.with_views(["vectors"], [], """
+SELECT id, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm,
+       round(list_dot_product(embedding, embedding), 6) AS sq_norm FROM vectors"""))
+def q_vector_norms(spark, sf):
+    v = Tables(spark, sf).vectors()
+    return v.select("id", F.round(V.norm("embedding"), 6).alias("norm"),
+                    F.round(V.dot("embedding", "embedding"), 6).alias("sq_norm"))
+
+
+# ---------------------------------------------------------------- judging (F-judge, A1-A3, G9)
+@register("parse_judgements", O.with_views(["judge_raw"], [("parsed", O.PARSED)], "SELECT * FROM parsed"))
+def q_parse_judgements(spark, sf):
+    return J.parse_judgements(Tables(spark, sf).judge_raw())
+
+
+_ACC_SQL = """SELECT experiment, verifier, model, CAST(count(*) AS BIGINT) AS n,
+       round(count_if({cond}) / count(*), 6) AS accuracy FROM parsed GROUP BY ALL"""
+
+
+@register("judge_strict_accuracy", O.with_views(["judge_raw"], [("parsed", O.PARSED)],
+          _ACC_SQL.format(cond="consistent = 'True' AND consistent_kind = 'str'")))
+def q_judge_strict(spark, sf):
+    return R.accuracy_by_group(J.parse_judgements(Tables(spark, sf).judge_raw()), lenient=False)
+
+
+@register("judge_lenient_accuracy", O.with_views(["judge_raw"], [("parsed", O.PARSED)],
+          _ACC_SQL.format(cond="lower(trim(consistent)) = 'true'")))
+def q_judge_lenient(spark, sf):
+    return R.accuracy_by_group(J.parse_judgements(Tables(spark, sf).judge_raw()), lenient=True)
+
+
+@register("judged_table", O.with_views(["judge_raw", "answers"], O.judged_rows_ctes(), """
+SELECT experiment, verifier, model, id, consistent, justification, status, sem_score,
+       round(avg(time) OVER g, 6) AS mean_time, round(avg(tps) OVER g, 6) AS mean_tps,
+       round(count_if(consistent = 'True' AND consistent_kind = 'str') OVER g / count(*) OVER g, 6) AS accuracy,
+       round(count_if(coalesce(sem_score > 0.7, false)) OVER g / count(*) OVER g, 6) AS sem_acc
+FROM jrows WINDOW g AS (PARTITION BY experiment, verifier, model)"""))
+def q_judged_table(spark, sf):
+    t = Tables(spark, sf)
+    a = t.answers()
+    return J.judged_table(a, t.judge_raw(a))
+
+
+# ---------------------------------------------------------------- leaderboards
+def _board_sql(src: str, lenient: bool, with_time: bool, filt: str = "", sem_pick: str = "min") -> str:
+    cond = "lower(trim(consistent)) = 'true'" if lenient else "consistent = 'True' AND consistent_kind = 'str'"
+    tm = ", avg(time) AS mean_time, avg(tps) AS mean_tps" if with_time else ""
+    pick = "arg_min" if sem_pick == "min" else "arg_max"
+    t_cols = ("round(arg_min(mean_time, verifier), 6) AS time, round(arg_min(mean_tps, verifier), 6) AS tps, "
+              if with_time else "")
+    return f"""
+, pv AS (SELECT experiment, verifier, model, count_if({cond}) / count(*) AS accuracy,
+               count_if(coalesce(sem_score > 0.7, false)) / count(*) AS sem_acc{tm}
+        FROM {src} WHERE verifier IN ('gemma2', 'llama3.1') {filt} GROUP BY ALL)
+, g AS (SELECT experiment, model, {t_cols}
+               max(CASE WHEN verifier = 'gemma2' THEN accuracy END) AS gemma2_accuracy,
+               max(CASE WHEN verifier = 'llama3.1' THEN accuracy END) AS "llama3.1_accuracy",
+               {pick}(sem_acc, verifier) AS sem_accuracy
+        FROM pv GROUP BY ALL)
+SELECT experiment, model, {'time, tps, ' if with_time else ''}
+       round(gemma2_accuracy, 6) AS gemma2_accuracy, round("llama3.1_accuracy", 6) AS "llama3.1_accuracy",
+       round(sem_accuracy, 6) AS sem_accuracy,
+       round((coalesce(gemma2_accuracy, 0) + coalesce("llama3.1_accuracy", 0) + coalesce(sem_accuracy, 0))
+             / nullif((gemma2_accuracy IS NOT NULL)::INT + ("llama3.1_accuracy" IS NOT NULL)::INT + (sem_accuracy IS NOT NULL)::INT, 0), 6)
+             AS average_accuracy
+       {', round((coalesce(gemma2_accuracy, 0) + coalesce("llama3.1_accuracy", 0)) / nullif((gemma2_accuracy IS NOT NULL)::INT + ("llama3.1_accuracy" IS NOT NULL)::INT, 0), 6) AS judge_accuracy' if with_time else ''}
+FROM g"""
+
+
+def _strip_leading_comma(s: str) -> str:
+    return s.lstrip().lstrip(",")
+
+
+def _board_query(body_sql: str, views=("judge_raw", "answers"), extra=()):
+    ctes = O.judged_rows_ctes() + list(extra)
+    head = O.with_views(list(views), ctes, "")
+    return head.rstrip() + body_sql
+
+
+_LB_SQL = _board_query(_board_sql("jrows", lenient=False, with_time=True))
+
+
+@register("leaderboard", _LB_SQL)
+def q_leaderboard(spark, sf):
+    t = Tables(spark, sf)
+    a = t.answers()
+    return R.leaderboard(J.judge_rows(a, t.judge_raw(a)))
+
+
+@register("leaderboard_sorted", _LB_SQL)
+def q_leaderboard_sorted(spark, sf):
+    return R.sort_leaderboard(q_leaderboard(spark, sf))
+
+
+@register("leaderboard_filtered", _board_query(
+    _board_sql("jrows", lenient=True, with_time=False, filt="AND id IN (SELECT id FROM filter_ids)", sem_pick="max"),
+    views=("judge_raw", "answers", "filter_ids")))
+def q_leaderboard_filtered(spark, sf):
+    t = Tables(spark, sf)
+    a = t.answers()
+    return R.leaderboard_filtered(J.judge_rows(a, t.judge_raw(a)), t.filter_ids())

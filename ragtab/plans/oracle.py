@@ -126,3 +126,53 @@ def topk_cte(prefix: str, k: int) -> tuple[str, str]:
     return (f"{prefix}_top", f"SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, "
                              f"row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank "
                              f"FROM {prefix}_sc) WHERE rank <= {k}")
+
+
+# ---------------------------------------------------------------- judging
+PARSED = r"""
+SELECT experiment, verifier, model, id,
+       CASE WHEN NOT has THEN 'missed' WHEN NOT json_valid(j) THEN 'malformed' ELSE 'ok' END AS status,
+       CASE WHEN NOT has THEN 'False' WHEN NOT json_valid(j) THEN NULL
+            WHEN starts_with(cv, '__py_') THEN CASE WHEN cv = '__py_None' THEN NULL ELSE substr(cv, 6) END
+            ELSE cv END AS consistent,
+       CASE WHEN NOT has THEN 'bool' WHEN NOT json_valid(j) THEN NULL
+            WHEN starts_with(cv, '__py_') THEN CASE WHEN cv = '__py_None' THEN 'none' ELSE 'bool' END
+            WHEN cv IS NOT NULL THEN 'str' END AS consistent_kind,
+       CASE WHEN NOT has THEN 'missed' WHEN NOT json_valid(j) THEN NULL
+            WHEN starts_with(jv, '__py_') THEN CASE WHEN jv = '__py_None' THEN NULL ELSE substr(jv, 6) END
+            ELSE jv END AS justification,
+       CASE WHEN NOT has THEN 'str' WHEN NOT json_valid(j) THEN NULL
+            WHEN starts_with(jv, '__py_') THEN CASE WHEN jv = '__py_None' THEN 'none' ELSE 'bool' END
+            WHEN jv IS NOT NULL THEN 'str' END AS justification_kind
+FROM (SELECT *, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.consistent') END AS cv,
+             CASE WHEN json_valid(j) THEN json_extract_string(j, '$.justification') END AS jv
+      FROM (SELECT *, replace(regexp_replace('{' || regexp_extract(t, '\{([^\n]*?)\}', 1) || '}',
+                                             ':\s*(True|False|None)\b', ': "__py_\1"', 'g'), chr(39), '"') AS j,
+                   regexp_matches(t, '\{[^\n]*?\}') AS has
+            FROM (SELECT *, translate(raw_text, '()', '') AS t FROM judge_raw) a) b) c"""
+
+
+def sem_ctes(src: str, keys: str, a: str, b: str, out: str = "sem") -> list[tuple[str, str]]:
+    """``{out}({keys}, sem_score)``: term-count cosine of two text columns per row."""
+    return [
+        (f"{out}_t", f"""SELECT {keys}, tok, CAST(sum(ca) AS BIGINT) AS ca, CAST(sum(cb) AS BIGINT) AS cb FROM (
+             SELECT {keys}, unnest(regexp_extract_all(lower({a}), '{TOKEN_RE}', 0)) AS tok, 1 AS ca, 0 AS cb FROM {src}
+             UNION ALL
+             SELECT {keys}, unnest(regexp_extract_all(lower({b}), '{TOKEN_RE}', 0)) AS tok, 0 AS ca, 1 AS cb FROM {src}) GROUP BY ALL"""),
+        (out, f"""SELECT {keys}, CASE WHEN sum(ca * ca) > 0 AND sum(cb * cb) > 0 THEN
+             round(CAST(sum(ca * cb) AS DOUBLE) / (sqrt(CAST(sum(ca * ca) AS DOUBLE)) * sqrt(CAST(sum(cb * cb) AS DOUBLE))), 6)
+             END AS sem_score FROM {out}_t GROUP BY ALL"""),
+    ]
+
+
+WORDS = r"CAST(len(regexp_extract_all(coalesce({x}, ''), '\S+')) AS BIGINT)"
+
+
+def judged_rows_ctes() -> list[tuple[str, str]]:
+    """``jrows``: parsed verdicts joined to answers with tps and sem_score."""
+    return [("parsed", PARSED)] + sem_ctes("answers", "experiment, model, id", "response", "llm_response") + [
+        ("jrows", f"""SELECT p.*, a.time, round(CAST({WORDS.format(x='a.llm_response')} AS DOUBLE) / a.time, 6) AS tps,
+                          s.sem_score
+                   FROM parsed p JOIN answers a USING (experiment, model, id)
+                   LEFT JOIN sem s USING (experiment, model, id)"""),
+    ]
