@@ -178,3 +178,231 @@ def q_leaderboard_filtered(spark, sf):
     t = Tables(spark, sf)
     a = t.answers()
     return R.leaderboard_filtered(J.judge_rows(a, t.judge_raw(a)), t.filter_ids())
+
+
+# ---------------------------------------------------------------- retrieval modes
+from ragtab.functions import prompts as P  # noqa: E402
+from ragtab.operators import answer as A  # noqa: E402
+from ragtab.operators import grid as G  # noqa: E402
+from ragtab.operators import retrieve as RT  # noqa: E402
+from ragtab.operators import route as RO  # noqa: E402
+from ragtab.plans.views import MODELS, VERIFIERS, explode_grid  # noqa: E402
+
+
+@register("retrieve_naive_threshold", O.with_views(
+    ["route_questions", "corpus_docs"], O.hits_ctes("h", "route_questions", "corpus_docs", 1, False, 0.5),
+    "SELECT * FROM h_hits"))
+def q_retrieve_naive(spark, sf):
+    t = Tables(spark, sf)
+    return RT.retrieve_hits(t.route_questions(), t.corpus_docs(), k=1, threshold=0.5)
+
+
+@register("retrieve_advanced_rerank", O.with_views(
+    ["bench_questions", "corpus_docs"], O.hits_ctes("h", "bench_questions", "corpus_docs", 4, True, 0.5),
+    "SELECT * FROM h_hits"))
+def q_retrieve_advanced(spark, sf):
+    t = Tables(spark, sf)
+    return RT.retrieve_hits(t.bench_questions(), t.corpus_docs(), k=4, advanced=True, threshold=0.5)
+
+
+@register("retrieve_context_prompt", O.with_views(
+    ["bench_questions", "corpus_docs"],
+    O.hits_ctes("h", "bench_questions", "corpus_docs", 4, True, 0.5) + [O.context_cte("h", "bench_questions")],
+    "SELECT id, context FROM h_ctx"))
+def q_retrieve_context(spark, sf):
+    t = Tables(spark, sf)
+    return RT.retrieve(t.bench_questions(), t.corpus_docs(), advanced=True, threshold=0.5, as_prompt=True)
+
+
+# ---------------------------------------------------------------- routing
+_CYBER_RE = r"(^|[^\p{L}\p{N}])(" + "|".join(RO.CYBER_STEMS) + ")"
+_ROUTE_CTES = O.hits_ctes("h", "route_questions", "corpus_docs", 1, False, 0.5) + [
+    O.context_cte("h", "route_questions"),
+    ("routed", f"""SELECT q.id, q.question, q.type, c.context,
+        CASE WHEN length(c.context) > 0 THEN 'retrieval'
+             WHEN contains(lower(q.question), '{RO.COMPANY}') THEN 'company_specific'
+             WHEN regexp_matches(lower(q.question), '{_CYBER_RE}') THEN 'generic_cyber'
+             ELSE 'generic_external' END AS rtype
+        FROM route_questions q JOIN h_ctx c ON c.id = q.id"""),
+]
+
+
+def _routed(spark, sf):
+    t = Tables(spark, sf)
+    return RO.route(t.route_questions(), t.corpus_docs())
+
+
+@register("route_questions", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES,
+                                          "SELECT id, question, type, context, rtype FROM routed"))
+def q_route_questions(spark, sf):
+    return _routed(spark, sf).select("id", "question", "type", "context", "rtype")
+
+
+@register("routing_confusion_long", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES + [
+    ("labels", "SELECT DISTINCT l FROM (SELECT type AS l FROM routed UNION ALL SELECT rtype FROM routed) WHERE l IS NOT NULL"),
+    ("cnt", "SELECT type, rtype, count(*) AS n FROM routed GROUP BY ALL")],
+    """SELECT a.l AS type, b.l AS rtype, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+       FROM labels a CROSS JOIN labels b LEFT JOIN cnt c ON c.type = a.l AND c.rtype = b.l"""))
+def q_confusion_long(spark, sf):
+    return RO.confusion_long(_routed(spark, sf))
+
+
+@register("routing_confusion_wide", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES + [
+    ("labels", "SELECT DISTINCT l FROM (SELECT type AS l FROM routed UNION ALL SELECT rtype FROM routed) WHERE l IS NOT NULL")],
+    "SELECT l.l AS type, " + ", ".join(
+        f"CAST(count(r.rtype) FILTER (WHERE r.rtype = '{x}') AS BIGINT) AS {x}" for x in P.ROUTES)
+    + " FROM labels l LEFT JOIN routed r ON r.type = l.l GROUP BY l.l"))
+def q_confusion_wide(spark, sf):
+    return RO.confusion_wide(_routed(spark, sf))
+
+
+@register("routing_accuracy", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES,
+    "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CAST(type = rtype AS DOUBLE)), 6) AS accuracy FROM routed"))
+def q_routing_accuracy(spark, sf):
+    return RO.routing_accuracy(_routed(spark, sf))
+
+
+@register("route_prompts", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES, f"""
+SELECT id, rtype,
+  CASE rtype {' '.join(f"WHEN '{r}' THEN {P.sql_str(P.ROUTE_SYSTEM[r].format(company='ACME'))}" for r in P.ROUTES)} END AS system,
+  CASE rtype WHEN 'retrieval' THEN question || chr(10) || context
+             WHEN 'company_specific' THEN {P.sql_str(P.ROUTE_USER[P.ROUTE_COMPANY])}
+             WHEN 'generic_cyber' THEN question
+             WHEN 'generic_external' THEN {P.sql_str(P.ROUTE_USER[P.ROUTE_GENERAL])} || question END AS prompt
+FROM routed"""))
+def q_route_prompts(spark, sf):
+    return RO.route_prompts(_routed(spark, sf)).select("id", "rtype", "system", "prompt")
+
+
+# ---------------------------------------------------------------- prompts and answers
+@register("qa_prompts", O.with_views(["qa_pairs", "corpus_docs"],
+    O.hits_ctes("h", "qa_pairs", "corpus_docs", 1, False, None) + [O.context_cte("h", "qa_pairs")],
+    f"SELECT q.id, {P.sql_str(P.QA_SYSTEM)} AS system, q.question || ' ' || c.context AS prompt "
+    "FROM qa_pairs q JOIN h_ctx c ON c.id = q.id"))
+def q_qa_prompts(spark, sf):
+    t = Tables(spark, sf)
+    return A.qa_prompts(t.qa_pairs(), t.corpus_docs(), k=1).select("id", "system", "prompt")
+
+
+def _judge_system_sql(a: str, b: str) -> str:
+    # rebuild the template around two markers so the SQL follows the Python text exactly
+    probe = spark_free_judge_template()
+    head, rest = probe.split("\x00A")
+    mid, tail = rest.split("\x00B")
+    return f"{P.sql_str(head)} || coalesce({a}, '') || {P.sql_str(mid)} || coalesce({b}, '') || {P.sql_str(tail)}"
+
+
+def spark_free_judge_template() -> str:
+    """The judge system text with markers in place of A and B (pure Python)."""
+    import json as _json
+    head = ("# ROLE\nYou check question-answering output: you compare two texts for similarity "
+            "and consistency.\n\n# TASK\nJudge whether information A: ")
+    mid = "\nIS CONSISTENT with information B: "
+    tail = ("\nTreat B as the truth. Texts with similar, non-conflicting information are consistent."
+            "\n\n# OUTPUT\nReturn the judgement as a JSON dictionary in this format:\n\n"
+            + _json.dumps(P.JUDGE_FORMAT)
+            + '\n\nOutput only "consistent" and "justification", as valid JSON.')
+    return head + "\x00A" + mid + "\x00B" + tail
+
+
+@register("judge_prompts", O.with_views(["answers"], [], f"""
+SELECT experiment, model, id, {_judge_system_sql('llm_response', 'response')} AS system,
+       '{P.JUDGE_USER_PROMPT}' AS prompt FROM answers"""))
+def q_judge_prompts(spark, sf):
+    a = Tables(spark, sf).answers()
+    return a.select("experiment", "model", "id", P.judge_system("llm_response", "response").alias("system"),
+                    F.lit(P.JUDGE_USER_PROMPT).alias("prompt"))
+
+
+EXT_DOCS = "dataset_docs_emb_lexical_rerank_False"
+EXT_TEST = "dataset_test_emb_lexical_rerank_False"
+
+
+def _ext_answers_sql(name: str, exp: str, corpus: str) -> list[tuple[str, str]]:
+    return O.hits_ctes(name, "qa_pairs", corpus, 1, False, None) + [
+        (f"{name}_ans", f"""SELECT '{exp}' AS experiment, m.model, q.id, q.question, q.response,
+            coalesce(CAST(h.value AS VARCHAR), '{A.APOLOGY}') AS llm_response, CAST(NULL AS DOUBLE) AS time
+            FROM qa_pairs q LEFT JOIN {name}_hits h ON h.query_id = q.id AND h.rank = 1 CROSS JOIN models m""")]
+
+
+@register("answer_extractive", O.with_views(["qa_pairs", "corpus_docs", "models"],
+    _ext_answers_sql("ex", EXT_DOCS, "corpus_docs"), "SELECT * FROM ex_ans"))
+def q_answer_extractive(spark, sf):
+    t = Tables(spark, sf)
+    return A.answer_extractive(t.qa_pairs(), t.corpus_docs(), MODELS, EXT_DOCS)
+
+
+def _all_answers(spark, sf):
+    t = Tables(spark, sf)
+    ext = A.answer_extractive(t.qa_pairs(), t.corpus_pairs(), MODELS, EXT_TEST)
+    return t.answers().unionByName(ext)
+
+
+_ALL_CTES = _ext_answers_sql("ex", EXT_TEST, "corpus_pairs") + [
+    ("all_answers", "SELECT * FROM answers UNION ALL SELECT * FROM ex_ans"),
+    ("all_raw", O.raw_from("all_answers")),
+]
+
+
+@register("compare_settings", O.with_views(["answers", "corpus_pairs", "judge_raw"],
+    _ALL_CTES + O.judged_rows_ctes("all_answers", "all_raw"),
+    "").rstrip() + _board_sql("jrows", lenient=False, with_time=True).replace(
+    "\nSELECT experiment, model, time, tps,", "\n, lb AS (SELECT experiment, model, time, tps,", 1)
+    + """)
+SELECT experiment, CAST(count(*) AS BIGINT) AS n_models, round(avg(time), 6) AS time,
+       round(avg(sem_accuracy), 6) AS sem_accuracy, round(avg(judge_accuracy), 6) AS judge_accuracy,
+       round(avg(average_accuracy), 6) AS average_accuracy FROM lb GROUP BY experiment""")
+def q_compare_settings(spark, sf):
+    a = _all_answers(spark, sf)
+    raw = Tables(spark, sf).judge_raw(a)
+    return R.compare_settings(J.judge_rows(a, raw))
+
+
+# ---------------------------------------------------------------- experiment bookkeeping
+@register("experiment_names", O.with_views(["answers", "corpus_pairs", "models"], _ALL_CTES, r"""
+SELECT experiment, experiment <> 'no_rag' AS rag,
+       CASE WHEN regexp_matches(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$') THEN regexp_extract(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$', 1) END AS mode,
+       CASE WHEN regexp_matches(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$') THEN regexp_extract(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$', 2) END AS emb_model,
+       CASE WHEN regexp_matches(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$') THEN regexp_extract(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$', 3) = 'True' END AS advanced,
+       format('dataset_{}_emb_{}_rerank_{}', 'test', 'lexical', 'False') AS formatted_example
+FROM (SELECT DISTINCT experiment FROM all_answers)"""))
+def q_experiment_names(spark, sf):
+    e = _all_answers(spark, sf).select("experiment").distinct()
+    return e.select("experiment", *G.parse_experiment("experiment"),
+                    G.experiment_name(F.lit("test"), F.lit("lexical"), False).alias("formatted_example"))
+
+
+@register("experiment_grid", O.with_views(["answers", "corpus_pairs", "models", "verifiers"], _ALL_CTES,
+    "SELECT experiment, verifier, model FROM (SELECT DISTINCT experiment, model FROM all_answers) CROSS JOIN verifiers"))
+def q_experiment_grid(spark, sf):
+    return G.experiment_grid(_all_answers(spark, sf))
+
+
+@register("pending_tasks", O.with_views(["answers", "corpus_pairs", "models", "verifiers", "judge_raw"], _ALL_CTES, """
+SELECT e.experiment, g.verifier, e.model FROM (SELECT DISTINCT experiment, model FROM all_answers) e CROSS JOIN verifiers g
+WHERE NOT EXISTS (SELECT 1 FROM judge_raw d WHERE d.experiment = e.experiment AND d.verifier = g.verifier AND d.model = e.model)"""))
+def q_pending_tasks(spark, sf):
+    t = Tables(spark, sf)
+    tasks = G.experiment_grid(_all_answers(spark, sf))
+    done = t.judge_raw().select("experiment", "verifier", "model")
+    return G.pending_tasks(tasks, done)
+
+
+@register("ingest_new_docs", O.with_views(["corpus_docs"], [], """
+SELECT * FROM corpus_docs c WHERE c.doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')"""))
+def q_ingest_new(spark, sf):
+    t = Tables(spark, sf)
+    index = t.table("documents").where(F.col("lang") == "en").select("doc_id")
+    return G.ingest_new(index, t.corpus_docs())
+
+
+@register("leakfree_corpus", O.with_views(["corpus_docs", "corpus_pairs"], [
+    ("full_corpus", "SELECT 'docs' AS origin, doc_id, question FROM corpus_docs UNION ALL SELECT 'pairs', doc_id, question FROM corpus_pairs")],
+    r"""SELECT origin, doc_id, question FROM full_corpus
+WHERE trim(regexp_replace(lower(question), '\s+', ' ', 'g')) NOT IN
+      (SELECT trim(regexp_replace(lower(question), '\s+', ' ', 'g')) FROM qa_pairs WHERE question IS NOT NULL)"""))
+def q_leakfree(spark, sf):
+    t = Tables(spark, sf)
+    full = t.corpus_docs().select(F.lit("docs").alias("origin"), "doc_id", "question").unionByName(
+        t.corpus_pairs().select(F.lit("pairs").alias("origin"), "doc_id", "question"))
+    return G.leak_free(full, t.qa_pairs())

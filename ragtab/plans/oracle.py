@@ -168,11 +168,58 @@ def sem_ctes(src: str, keys: str, a: str, b: str, out: str = "sem") -> list[tupl
 WORDS = r"CAST(len(regexp_extract_all(coalesce({x}, ''), '\S+')) AS BIGINT)"
 
 
-def judged_rows_ctes() -> list[tuple[str, str]]:
+def judged_rows_ctes(answers: str = "answers", raw: str = "judge_raw") -> list[tuple[str, str]]:
     """``jrows``: parsed verdicts joined to answers with tps and sem_score."""
-    return [("parsed", PARSED)] + sem_ctes("answers", "experiment, model, id", "response", "llm_response") + [
+    return [("parsed", PARSED.replace("FROM judge_raw", f"FROM {raw}"))] + sem_ctes(
+        answers, "experiment, model, id", "response", "llm_response") + [
         ("jrows", f"""SELECT p.*, a.time, round(CAST({WORDS.format(x='a.llm_response')} AS DOUBLE) / a.time, 6) AS tps,
                           s.sem_score
-                   FROM parsed p JOIN answers a USING (experiment, model, id)
+                   FROM parsed p JOIN {answers} a USING (experiment, model, id)
                    LEFT JOIN sem s USING (experiment, model, id)"""),
     ]
+
+
+def raw_from(answers: str) -> str:
+    """The judge_raw view over another answers table."""
+    return VIEWS["judge_raw"].replace("FROM answers a", f"FROM {answers} a")
+
+
+JACCARD = """CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN
+  round(len(list_intersect(list_distinct({a}), list_distinct({b}))) / len(list_distinct(list_concat({a}, {b}))), 6)
+  ELSE 0.0 END"""
+
+
+def tok_list(x: str) -> str:
+    return f"regexp_extract_all(lower(coalesce({x}, '')), '{TOKEN_RE}', 0)"
+
+
+def hits_ctes(prefix: str, q_src: str, d_src: str, k: int, advanced: bool, threshold: float | None,
+              key: str = "response") -> list[tuple[str, str]]:
+    """``{prefix}_hits(query_id, rank, doc_id, score, rerank_score, value)`` --
+    the retrieval order: top-k (10 when advanced) -> rerank by token Jaccard ->
+    top 3 -> threshold on the first-stage score."""
+    ck = 10 if advanced else k
+    ctes = lexical_scores_ctes(prefix, q_src, "id", "question", d_src, "doc_id", "question") + [topk_cte(prefix, ck)]
+    thr = f"WHERE score > {threshold}" if threshold is not None else ""
+    if advanced:
+        j = JACCARD.format(a=tok_list("q.question"), b=tok_list("d.question"))
+        ctes.append((f"{prefix}_rr", f"""SELECT t.query_id, t.doc_id, t.score, {j} AS rerank_score, d.{key} AS value
+            FROM {prefix}_top t JOIN {q_src} q ON q.id = t.query_id JOIN {d_src} d ON d.doc_id = t.doc_id"""))
+        ctes.append((f"{prefix}_hits", f"""SELECT query_id, rank, doc_id, score, rerank_score, value FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS BIGINT) AS rank
+            FROM {prefix}_rr) WHERE rank <= 3 {'AND score > ' + str(threshold) if threshold is not None else ''}"""))
+    else:
+        ctes.append((f"{prefix}_hits", f"""SELECT t.query_id, CAST(t.rank AS BIGINT) AS rank, t.doc_id, t.score,
+            CAST(NULL AS DOUBLE) AS rerank_score, d.{key} AS value
+            FROM {prefix}_top t JOIN {d_src} d ON d.doc_id = t.doc_id {thr}"""))
+    return ctes
+
+
+CONTEXT_HEADER_SQL = "'Use the following information to generate your answer:' || chr(10)"
+
+
+def context_cte(prefix: str, q_src: str) -> tuple[str, str]:
+    """``{prefix}_ctx(id, context)`` for every query."""
+    return (f"{prefix}_ctx", f"""SELECT q.id, coalesce(c.context, '') AS context FROM {q_src} q LEFT JOIN (
+        SELECT query_id, {CONTEXT_HEADER_SQL} || string_agg('- ' || coalesce(CAST(value AS VARCHAR), '') || chr(10), '' ORDER BY rank) AS context
+        FROM {prefix}_hits GROUP BY query_id) c ON c.query_id = q.id""")
