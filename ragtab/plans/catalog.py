@@ -406,3 +406,90 @@ def q_leakfree(spark, sf):
     full = t.corpus_docs().select(F.lit("docs").alias("origin"), "doc_id", "question").unionByName(
         t.corpus_pairs().select(F.lit("pairs").alias("origin"), "doc_id", "question"))
     return G.leak_free(full, t.qa_pairs())
+
+
+# ---------------------------------------------------------------- chat data
+from ragtab.operators import chat as CH  # noqa: E402
+
+_MP_SQL = ("coalesce(instruction, '') || CASE WHEN coalesce(input, '') <> '' THEN chr(10) || 'Your input is:' || chr(10) "
+           "|| input ELSE '' END")
+_EXT_CTES = [
+    ("mp", f"SELECT id, output, {_MP_SQL} AS mp FROM instructions"),
+    ("p0", "SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM mp"),
+    ("p1", "SELECT *, row_number() OVER (ORDER BY ((id % 1000003) * 7919 + 1 * 104729) % 1000003, id) - 1 AS pos FROM mp"),
+    ("p2", "SELECT *, row_number() OVER (ORDER BY ((id % 1000003) * 7919 + 2 * 104729) % 1000003, id) - 1 AS pos FROM mp"),
+    ("ext", """SELECT a.id, a.mp AS mp0, a.output AS out0, b.id AS partner_1, b.mp AS mp1, b.output AS out1,
+                      c.id AS partner_2, c.mp AS mp2, c.output AS out2
+               FROM p0 a JOIN p1 b ON b.pos = a.pos JOIN p2 c ON c.pos = a.pos"""),
+]
+
+
+def _extended(spark, sf):
+    return CH.extend_conversations(Tables(spark, sf).instructions(), n=3)
+
+
+@register("instruction_rows", O.with_views(["qa_pairs"], [],
+          "SELECT id, question AS instruction, response AS output, '' AS input FROM qa_pairs"))
+def q_instruction_rows(spark, sf):
+    return CH.prepare_instruction(Tables(spark, sf).qa_pairs()).select("id", "instruction", "output", "input")
+
+
+@register("merged_prompts", O.with_views(["instructions"], [], f"SELECT id, {_MP_SQL} AS merged FROM instructions"))
+def q_merged_prompts(spark, sf):
+    return Tables(spark, sf).instructions().select("id", CH.merge_prompt().alias("merged"))
+
+
+@register("extended_conversations", O.with_views(["instructions"], _EXT_CTES,
+          "SELECT id, partner_1, partner_2 FROM ext"))
+def q_extended(spark, sf):
+    return _extended(spark, sf).select("id", "partner_1", "partner_2")
+
+
+@register("chat_roles", O.with_views(["instructions"], _EXT_CTES, """
+SELECT id, CAST(t AS BIGINT) AS turn_index, CASE WHEN t % 2 = 0 THEN 'user' ELSE 'assistant' END AS role,
+       CASE t WHEN 0 THEN mp0 WHEN 1 THEN out0 WHEN 2 THEN mp1 WHEN 3 THEN out1 WHEN 4 THEN mp2 ELSE out2 END AS content
+FROM ext CROSS JOIN range(6) r(t)"""))
+def q_chat_roles(spark, sf):
+    e = _extended(spark, sf)
+    return e.select("id", F.posexplode(CH.standardize_roles("conversations")).alias("turn_index", "m")).select(
+        "id", F.col("turn_index").cast("long"), F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
+def _chat_text_sql() -> str:
+    head, end, user_pre, mid2 = CH._template_parts()
+    asst = mid2[len(end):]
+    turns = " || ".join(f"{P.sql_str(user_pre)} || coalesce(mp{i}, '') || {P.sql_str(end + asst)} || coalesce(out{i}, '') || {P.sql_str(end)}"
+                        for i in range(3))
+    return f"{P.sql_str(head)} || {P.sql_str(CH.DEFAULT_SYSTEM)} || {P.sql_str(end)} || {turns}"
+
+
+def _chat_text(spark, sf):
+    e = _extended(spark, sf)
+    return e.select("id", CH.apply_chat_template(CH.standardize_roles("conversations")).alias("text"))
+
+
+@register("chat_text", O.with_views(["instructions"], _EXT_CTES, f"SELECT id, {_chat_text_sql()} AS text FROM ext"))
+def q_chat_text(spark, sf):
+    return _chat_text(spark, sf)
+
+
+@register("chat_length_bound", O.with_views(["instructions"], _EXT_CTES + [("ct", f"SELECT id, {_chat_text_sql()} AS text FROM ext")],
+          f"SELECT id, {O.WORDS.format(x='text')} AS n_words, {O.WORDS.format(x='text')} > 2048 AS over_limit FROM ct"))
+def q_chat_length(spark, sf):
+    return _chat_text(spark, sf).select("id", *CH.length_bound("text"))
+
+
+def _segments_sql() -> str:
+    head, end, user_pre, mid2 = CH._template_parts()
+    begin = head.split("<|start_header_id|>")[0]
+    opener = mid2[len(end):]
+    return f"""
+SELECT conv_id, turn AS seq, CASE WHEN turn = 0 THEN {P.sql_str(begin)} ELSE '' END || '<|start_header_id|>' || role
+       || '<|end_header_id|>' || chr(10) || chr(10) || coalesce(text, '') || {P.sql_str(end)} AS segment FROM conversations
+UNION ALL
+SELECT conv_id, max(turn) + 1 AS seq, {P.sql_str(opener)} AS segment FROM conversations GROUP BY conv_id"""
+
+
+@register("generation_prompts", _segments_sql())
+def q_generation_prompts(spark, sf):
+    return CH.generation_segments(Tables(spark, sf).table("conversations"))
