@@ -108,12 +108,15 @@ def q_judge_lenient(spark, sf):
     return R.accuracy_by_group(J.parse_judgements(Tables(spark, sf).judge_raw()), lenient=True)
 
 
-@register("judged_table", O.with_views(["judge_raw", "answers"], O.judged_rows_ctes(), """
+_JT_BODY = """
 SELECT experiment, verifier, model, id, consistent, justification, status, sem_score,
        round(avg(time) OVER g, 6) AS mean_time, round(avg(tps) OVER g, 6) AS mean_tps,
        round(count_if(consistent = 'True' AND consistent_kind = 'str') OVER g / count(*) OVER g, 6) AS accuracy,
        round(count_if(coalesce(sem_score > 0.7, false)) OVER g / count(*) OVER g, 6) AS sem_acc
-FROM jrows WINDOW g AS (PARTITION BY experiment, verifier, model)"""))
+FROM jrows WINDOW g AS (PARTITION BY experiment, verifier, model)"""
+
+
+@register("judged_table", O.with_views(["judge_raw", "answers"], O.judged_rows_ctes(), _JT_BODY))
 def q_judged_table(spark, sf):
     t = Tables(spark, sf)
     a = t.answers()
@@ -493,3 +496,150 @@ SELECT conv_id, max(turn) + 1 AS seq, {P.sql_str(opener)} AS segment FROM conver
 @register("generation_prompts", _segments_sql())
 def q_generation_prompts(spark, sf):
     return CH.generation_segments(Tables(spark, sf).table("conversations"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+from ragtab.operators import ann as AN  # noqa: E402
+from ragtab.operators import embed as EM  # noqa: E402
+from ragtab.session import work_path  # noqa: E402
+from ragtab.sources import files as FS  # noqa: E402
+from ragtab.streaming import route_stream as ZS  # noqa: E402
+
+_ALLOWED_MODELS = [m for m in MODELS if m != "phi3"]
+ANSWER_SCHEMA = "id long, question string, response string, llm_response string, time double"
+
+
+@register("results_tree_scan", O.with_views(["judge_raw", "answers"], O.judged_rows_ctes() + [("jt", _JT_BODY)],
+          "SELECT * FROM jt WHERE verifier IN ('gemma2', 'llama3.1') AND model IN ("
+          + ", ".join(f"'{m}'" for m in _ALLOWED_MODELS) + ")"))
+def q_results_tree_scan(spark, sf):
+    t = Tables(spark, sf)
+    a = t.answers()
+    root = work_path(spark, "results")
+    FS.write_results(J.judged_table(a, t.judge_raw(a)), root)
+    r = FS.read_results(spark, root, verifiers=VERIFIERS, models=_ALLOWED_MODELS)
+    return r.select("experiment", "verifier", "model", "id", "consistent", "justification", "status",
+                    "sem_score", "mean_time", "mean_tps", "accuracy", "sem_acc")
+
+
+@register("list_models", O.with_views(["answers"], [], "SELECT DISTINCT model FROM answers"))
+def q_list_models(spark, sf):
+    t = Tables(spark, sf)
+    a = t.answers()
+    root = work_path(spark, "results")
+    FS.write_results(J.judge_rows(a, t.judge_raw(a)), root)
+    return FS.list_models(FS.read_results(spark, root))
+
+
+@register("answers_roundtrip", O.with_views(["answers"], [], "SELECT * FROM answers"))
+def q_answers_roundtrip(spark, sf):
+    a = Tables(spark, sf).answers()
+    root = work_path(spark, "answers-csv")
+    FS.write_qa_csv(a, root, partition_by=("experiment", "model"))
+    back = FS.read_experiments(spark, root, ANSWER_SCHEMA)
+    return back.select("experiment", "model", "id", "question", "response", "llm_response", "time")
+
+
+@register("answers_json_roundtrip", O.with_views(["answers"], [], "SELECT * FROM answers"))
+def q_answers_json(spark, sf):
+    a = Tables(spark, sf).answers()
+    root = work_path(spark, "answers-json")
+    FS.write_answer_json(a, root)
+    back = FS.read_answer_json(spark, root, "experiment string, " + ANSWER_SCHEMA + ", model string")
+    return back.select("experiment", "model", "id", "question", "response", "llm_response", "time")
+
+
+@register("index_roundtrip", O.with_views(["vectors"], [],
+          "SELECT id, label, round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm FROM vectors"))
+def q_index_roundtrip(spark, sf):
+    v = Tables(spark, sf).vectors()
+    root = work_path(spark, "index")
+    FS.write_index(v, root)
+    return FS.read_index(spark, root).select("id", "label", F.round("norm", 6).alias("norm"))
+
+
+@register("route_stream", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES,
+                                       "SELECT id, question, type, context, rtype FROM routed"))
+def q_route_stream(spark, sf):
+    t = Tables(spark, sf)
+    src, sink, ck = work_path(spark, "stream-in"), work_path(spark, "stream-out"), work_path(spark, "stream-ckpt")
+    t.route_questions().repartition(4).write.parquet(src)
+    q = ZS.start_route_stream(spark, src, "id long, question string, type string", t.corpus_docs(), sink, ck,
+                              max_files_per_trigger=2)
+    q.awaitTermination()
+    return ZS.read_routed(spark, sink).select("id", "question", "type", "context", "rtype")
+
+
+# ---------------------------------------------------------------- model slots (G6, X1, X2) and ANN
+@register("generate_batch", O.with_views(["qa_pairs", "corpus_docs", "models"],
+    O.hits_ctes("h", "qa_pairs", "corpus_docs", 1, False, None) + [O.context_cte("h", "qa_pairs")], f"""
+SELECT q.id, m.model,
+       CASE WHEN regexp_matches(q.question || ' ' || c.context, '(?m)^- ')
+            THEN regexp_extract(q.question || ' ' || c.context, '(?m)^- ([^\\n]*)', 1) ELSE '{A.APOLOGY}' END AS llm_response,
+       false AS has_error, true AS timed
+FROM qa_pairs q JOIN h_ctx c ON c.id = q.id CROSS JOIN models m"""))
+def q_generate_batch(spark, sf):
+    t = Tables(spark, sf)
+    p = explode_grid(A.qa_prompts(t.qa_pairs(), t.corpus_docs(), k=1), "mi", "model", MODELS)
+    g = A.generate(p.select("id", "model", "system", "prompt"))
+    return g.select("id", "model", "llm_response", F.col("error").isNotNull().alias("has_error"),
+                    F.col("time").isNotNull().alias("timed"))
+
+
+@register("embed_batch")
+def q_embed_batch(spark, sf):
+    t = Tables(spark, sf)
+    docs = t.corpus_docs()
+    model = EM.fit_hashing_embedder(docs)
+    return topk.dense_topk(EM.embed(t.bench_questions(), model), EM.embed(docs, model), 4, metric="cosine")
+
+
+@register("pair_score_batch", ORACLE["retrieve_advanced_rerank"])
+def q_pair_score_batch(spark, sf):
+    t = Tables(spark, sf)
+    return RT.retrieve_hits(t.bench_questions(), t.corpus_docs(), k=4, advanced=True, threshold=0.5,
+                            pair_score=EM.pandas_pair_score)
+
+
+@register("approx_topk_recall")
+def q_approx_recall(spark, sf):
+    v = Tables(spark, sf).vectors()
+    approx = AN.ivf_topk(v, v, 4, nprobe=3, doc_id="id", exclude_self=True)
+    exact = topk.dense_topk(v, v, 4, doc_id="id", exclude_self=True)
+    return AN.recall_at_k(approx, exact)
+
+
+# ---------------------------------------------------------------- projections, unions, head
+@register("union_results", O.with_views(["answers", "qa_pairs", "corpus_docs", "models"],
+    _ext_answers_sql("ex", EXT_DOCS, "corpus_docs"), """
+SELECT experiment, model, id, llm_response, time FROM answers
+UNION ALL SELECT experiment, model, id, llm_response, CAST(NULL AS DOUBLE) FROM ex_ans"""))
+def q_union_results(spark, sf):
+    t = Tables(spark, sf)
+    ext = A.answer_extractive(t.qa_pairs(), t.corpus_docs(), MODELS, EXT_DOCS).select(
+        "experiment", "model", "id", "llm_response")
+    return t.answers().select("experiment", "model", "id", "llm_response", "time").unionByName(
+        ext, allowMissingColumns=True)
+
+
+@register("head_questions", O.with_views(["qa_pairs"], [], "SELECT * FROM qa_pairs ORDER BY id LIMIT 3"))
+def q_head_questions(spark, sf):
+    return Tables(spark, sf).qa_pairs().orderBy("id").limit(3)
+
+
+@register("metadata_subset", O.with_views(["corpus_docs"], [], "SELECT doc_id, context, response FROM corpus_docs"))
+def q_metadata_subset(spark, sf):
+    docs = Tables(spark, sf).corpus_docs()
+    keys = [k for k in ("id", "context", "response") if k in docs.columns]   # P3: keys present
+    return docs.select("doc_id", *keys)
+
+
+@register("renamed_corpus", O.with_views(["qa_pairs"], [], "SELECT id, question, response AS answer FROM qa_pairs"))
+def q_renamed_corpus(spark, sf):
+    full = Tables(spark, sf).qa_pairs().withColumnsRenamed({"question": "Question", "response": "Answer"})
+    return full.withColumnsRenamed({"Question": "question", "Answer": "answer"})
+
+
+@register("company_question_ids", O.with_views(["filter_ids"], [], "SELECT id FROM filter_ids"))
+def q_company_ids(spark, sf):
+    return Tables(spark, sf).filter_ids("de")
