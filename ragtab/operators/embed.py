@@ -16,6 +16,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ragtab.functions.text import TOKEN_PATTERN, tokens
 
@@ -41,7 +42,7 @@ def embed_batch(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str =
     return df.withColumn(out, udf(F.col(text)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pandas_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     """X2 example: token Jaccard of two texts per row in Arrow batches (same
     tokens as the JVM pattern)."""
