@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragtab.session import ensure_parallel
+
 # The model and verifier grids of the experiments.
 MODELS = ["phi3", "mistral", "gemma2", "llama3", "llama3.1", "qwen2"]
 VERIFIERS = ["gemma2", "llama3.1"]
@@ -35,7 +37,9 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table; spread over the cluster's parallelism when it comes
+        from too few file splits (no shuffle for a large, many-file table)."""
+        return ensure_parallel(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
 
     # ---- question/answer pairs -------------------------------------------------
     def qa_pairs(self) -> DataFrame:
