@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ragtab.functions.text import token_jaccard, tokens
 from ragtab.operators.topk import dense_topk, lexical_topk
-from ragtab.session import ensure_checkpoint_dir
+from ragtab.session import ensure_checkpoint_dir, sized_broadcast
 
 # Candidate widening of the advanced mode and the context header.
 ADVANCED_CANDIDATES = 10
 ADVANCED_KEEP = 3
 CONTEXT_HEADER = "Use the following information to generate your answer:\n"
 
-MAX_BROADCAST_HITS = 5_000_000
+# hit rows (ids, score, rank: ~40 bytes) under this count are broadcast
+MAX_BROADCAST_HITS = 2_000_000
 
 
 def _require(df: DataFrame, cols, what: str):
@@ -97,6 +98,8 @@ def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id
     lines = F.transform(F.col("h"), lambda x: F.concat(F.lit("- "), F.coalesce(x["value"].cast("string"), F.lit("")), F.lit("\n")))
     per_q = per_q.select("query_id", F.concat(F.lit(header), F.array_join(lines, "")).alias("context"))
     q = queries.select(F.col(query_id).cast("long").alias("query_id"))
+    # one context row per query with hits: broadcast under a checked row bound
+    per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.length("context") + F.lit(16))
     return q.join(per_q, "query_id", "left").select(
         F.col("query_id").alias(query_id), F.coalesce("context", F.lit("")).alias("context"))
 

@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text rows are CPU-heavy per byte: aim for smaller post-shuffle partitions
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -55,14 +57,20 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base}/ragtab-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after proving it holds at most ``max_rows`` rows.
+def sized_broadcast(df: DataFrame, max_rows: int = 100_000, row_bytes=None,
+                    max_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Broadcast ``df`` only after proving its size.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the frame is
+    Without ``row_bytes`` the check reads at most ``max_rows + 1`` rows. With a
+    per-row byte estimate (a Column, e.g. ``length(text) + 32``) one aggregate
+    proves both the row count and the byte size. Beyond either bound the frame is
     returned as is, so the join falls back to a shuffle join (AQE may still
     re-plan it from runtime statistics)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if row_bytes is None:
+        n = df.limit(max_rows + 1).count()
+        return F.broadcast(df) if n <= max_rows else df
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
 def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
