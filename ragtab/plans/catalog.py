@@ -643,3 +643,17 @@ def q_renamed_corpus(spark, sf):
 @register("company_question_ids", O.with_views(["filter_ids"], [], "SELECT id FROM filter_ids"))
 def q_company_ids(spark, sf):
     return Tables(spark, sf).filter_ids("de")
+
+
+@register("route_dataset", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES, f"""
+SELECT id, question, type,
+       CASE WHEN rtype = 'retrieval' AND regexp_matches(question || chr(10) || context, '(?m)^- ')
+            THEN regexp_extract(question || chr(10) || context, '(?m)^- ([^\\n]*)', 1)
+            WHEN rtype = 'generic_cyber' AND regexp_matches(question, '(?m)^- ')
+            THEN regexp_extract(question, '(?m)^- ([^\\n]*)', 1)
+            ELSE '{A.APOLOGY}' END AS response,
+       rtype
+FROM routed"""))
+def q_route_dataset(spark, sf):
+    t = Tables(spark, sf)
+    return RO.route_dataset(t.route_questions(), t.corpus_docs())

@@ -49,6 +49,23 @@ def read_results(spark: SparkSession, root: str, verifiers=None, models=None) ->
     return df
 
 
+def read_results_csv(spark: SparkSession, root: str, schema: StructType | str, verifiers=None,
+                     models=None) -> DataFrame:
+    """S2 for a tree of CSV files ``<root>/<verifier>/<model>.csv``: verifier is the
+    folder name, model the file stem without the last suffix (``llama3.1.csv`` ->
+    ``llama3.1``), both percent-decoded; allow-lists filter both."""
+    from ragtab.functions.text import file_stem
+
+    df = read_qa_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema).select("*", "_metadata.file_path")
+    df = (df.withColumn("verifier", F.url_decode(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)))
+          .withColumn("model", F.url_decode(file_stem("file_path"))).drop("file_path"))
+    if verifiers is not None:
+        df = df.where(F.col("verifier").isin(list(verifiers)))
+    if models is not None:
+        df = df.where(F.col("model").isin(list(models)))
+    return df
+
+
 def list_models(results: DataFrame) -> DataFrame:
     """Distinct model names of a results tree (a partition column)."""
     return results.select("model").distinct()
