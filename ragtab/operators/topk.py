@@ -35,7 +35,7 @@ from ragtab.session import ensure_parallel
 
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_BLOCK_BYTES = 256 * 1024 * 1024
+DEFAULT_BLOCK_BYTES = 128 * 1024 * 1024
 _CELLS = 4_000_000  # score cells (queries x corpus rows) per NumPy chunk
 
 
