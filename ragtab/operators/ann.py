@@ -2,8 +2,8 @@
 
 1. MLlib ``KMeans`` (distributed) learns ``nlist`` centroids of the corpus.
 2. Each corpus vector is assigned to its nearest centroid (``transform``).
-3. Each query probes its ``nprobe`` nearest centroids (the centroid table has
-   ``nlist`` rows -- bounded by the parameter -- and is broadcast).
+3. Each query probes its ``nprobe`` nearest centroids, found by the exact top-k
+   engine itself (queries x centroids), so no centroid table is broadcast.
 4. Candidates are scored exactly with the blocked kernel per (cluster, salt):
    a cluster larger than ``block_rows`` is split into salted sub-blocks and its
    queries are replicated over them, so a cluster holding a third of the corpus
@@ -23,17 +23,22 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _TopK
+from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _TopK, dense_topk
 
 
 def build_ivf(corpus: DataFrame, nlist: int, *, doc_id: str = "doc_id", vec: str = "embedding",
-              seed: int = 7, max_iter: int = 20):
-    """Returns (assigned corpus: did, payload, cluster; centroids as numpy array)."""
+              seed: int = 7, max_iter: int = 20, train_fraction: float | None = None,
+              distance: str = "euclidean"):
+    """Returns (assigned corpus: did, payload, cluster; centroids as numpy array).
+
+    ``train_fraction`` fits the centroids on a sample (every vector is still
+    assigned and searched; only centroid training is sampled)."""
     d = corpus.where(F.col(vec).isNotNull()).select(
         F.col(doc_id).cast("long").alias("did"), F.col(vec).cast("array<double>").alias("payload"))
     feats = d.withColumn("features", array_to_vector("payload"))
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(feats)
+    train = feats.sample(fraction=train_fraction, seed=seed) if train_fraction else feats
+    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
+                   distanceMeasure=distance).fit(train)
     assigned = model.transform(feats).select("did", "payload", F.col("cluster").cast("long"))
     centers = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     return assigned, centers
@@ -46,36 +51,28 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None
     spark = queries.sparkSession
     n_docs = corpus.count()
     nlist = nlist or max(1, int(math.sqrt(max(n_docs, 1))))
-    assigned, centers = build_ivf(corpus, nlist, doc_id=doc_id, vec=doc_vec, seed=seed)
-    # salts per cluster from the cluster sizes (one row per cluster)
-    sizes = {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salts = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
-    salt_tbl = spark.createDataFrame([(int(c), int(s)) for c, s in salts.items()], "cluster long, nsalt long")
+    assigned, centers = build_ivf(corpus, nlist, doc_id=doc_id, vec=doc_vec, seed=seed,
+                                  distance="cosine" if metric == "cosine" else "euclidean")
+    # salts per cluster from the cluster sizes: a table of nlist rows, computed by
+    # Spark and broadcast (its size is bounded by the nlist parameter)
+    salt_tbl = assigned.groupBy("cluster").agg(
+        F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long")).alias("nsalt"))
     docs = (assigned.join(F.broadcast(salt_tbl), "cluster")
             .withColumn("salt", F.pmod(F.xxhash64("did"), F.col("nsalt"))).drop("nsalt"))
 
-    bc = spark.sparkContext.broadcast(centers)
+    # Probing is itself a top-k search (queries x centroids, k = nprobe) and runs
+    # on the same distributed engine, so the centroid table is never broadcast
+    # without a size check, however large nlist is.
+    cdf = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)],
+                                "cluster long, embedding array<double>")
     nprobe = min(nprobe, len(centers))
-
-    @F.pandas_udf("array<long>")
-    def probes(vs: pd.Series) -> pd.Series:
-        c = bc.value
-        cn = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-        out = []
-        for v in vs:
-            x = np.asarray(v, dtype=np.float64)
-            if metric == "cosine":
-                s = cn @ (x / max(np.linalg.norm(x), 1e-300))
-                order = np.argsort(-s, kind="stable")
-            else:
-                order = np.argsort(((c - x) ** 2).sum(axis=1), kind="stable")
-            out.append(order[:nprobe].astype(np.int64))
-        return pd.Series(out)
-
+    probe_metric = "cosine" if metric == "cosine" else "l2_relevance"
     q = queries.where(F.col(query_vec).isNotNull()).select(
         F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("payload"))
-    q = (q.withColumn("cluster", F.explode(probes("payload")))
-         .join(F.broadcast(salt_tbl), "cluster")
+    probes = dense_topk(q, cdf, nprobe, metric=probe_metric, query_id="qid", query_vec="payload",
+                        doc_id="cluster").select(F.col("query_id").alias("qid"), F.col("doc_id").alias("cluster"))
+    q = (q.join(probes, "qid")
+         .join(F.broadcast(salt_tbl), "cluster")     # one row per cluster (nlist rows)
          .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nsalt") - 1))).drop("nsalt"))
 
     kernel = DenseKernel(metric)
