@@ -146,8 +146,9 @@ SELECT experiment, verifier, model, id,
             WHEN jv IS NOT NULL THEN 'str' END AS justification_kind
 FROM (SELECT *, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.consistent') END AS cv,
              CASE WHEN json_valid(j) THEN json_extract_string(j, '$.justification') END AS jv
-      FROM (SELECT *, replace(regexp_replace('{' || regexp_extract(t, '\{([^\n]*?)\}', 1) || '}',
-                                             ':\s*(True|False|None)\b', ': "__py_\1"', 'g'), chr(39), '"') AS j,
+      FROM (SELECT *, replace(regexp_replace(regexp_replace('{' || regexp_extract(t, '\{([^\n]*?)\}', 1) || '}',
+                                             ':\s*(True|False|None)\b', ': "__py_\1"', 'g'),
+                                             '([^{\s,])\s*,\s*\}$', '\1}'), chr(39), '"') AS j,
                    regexp_matches(t, '\{[^\n]*?\}') AS has
             FROM (SELECT *, translate(raw_text, '()', '') AS t FROM judge_raw) a) b) c"""
 
