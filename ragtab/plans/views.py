@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragtab.session import ensure_parallel
+from ragtab.session import ensure_checkpoint_dir, ensure_parallel
 
 # The model and verifier grids of the experiments.
 MODELS = ["phi3", "mistral", "gemma2", "llama3", "llama3.1", "qwen2"]
@@ -32,9 +32,11 @@ def model_index(model) -> "F.Column":
 class Tables:
     """Lazy access to the parquet tables of one scale-factor folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.materialize = materialize
+        self._memo: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         """A driver table; spread over the cluster's parallelism when it comes
@@ -47,7 +49,19 @@ class Tables:
 
         Turns are numbered densely per conversation, so the next turn is an
         equi-join on ``(conv_id, turn + 1)``: no window over a conversation, so a
-        conversation holding a third of all turns is not one task."""
+        conversation holding a third of all turns is not one task. Many jobs read
+        the pairs in several branches; with ``materialize`` they are computed once
+        and checkpointed to the shared folder instead of re-scanning the
+        conversations in every branch."""
+        if "qa_pairs" not in self._memo:
+            df = self._qa_pairs()
+            if self.materialize:
+                ensure_checkpoint_dir(self.spark)
+                df = df.checkpoint(eager=True)
+            self._memo["qa_pairs"] = df
+        return self._memo["qa_pairs"]
+
+    def _qa_pairs(self) -> DataFrame:
         c = self.table("conversations").select("conv_id", "turn", "role", "text")
         cur = c.where(F.col("role") == "user").select(
             "conv_id", (F.col("turn") + 1).alias("nturn"), F.col("turn"), F.col("text").alias("question")
