@@ -61,6 +61,7 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
     cand_k = ADVANCED_CANDIDATES if advanced else k
     hits = first_stage(queries, corpus, cand_k, method=method, query_id=query_id,
                        query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, **kw)
+    n_q = getattr(hits, "query_rows", None)
     if checkpoint:
         # Cut the lineage of the expensive search: later joins reread it from the
         # shared checkpoint folder, and a lost executor does not redo the search.
@@ -68,7 +69,8 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
         hits = hits.checkpoint(eager=True)
     # Hits are at most |queries| x cand_k rows; broadcast them only under that
     # proven bound, so the corpus is read once and never shuffled.
-    n_q = queries.select(query_id).count()
+    if n_q is None:
+        n_q = queries.select(query_id).count()
     small = n_q * cand_k <= MAX_BROADCAST_HITS
     hb = F.broadcast(hits) if small else hits
     need = [F.col(doc_id).cast("long").alias("doc_id"), F.col(key).alias("value")]

@@ -210,7 +210,9 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
     spark = q.sparkSession
     q_rows, q_bytes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_col), F.lit(0))).first()
     if q_rows == 0:
-        return spark.createDataFrame([], HIT_SCHEMA + ", rank long")
+        empty = spark.createDataFrame([], HIT_SCHEMA + ", rank long")
+        empty.query_rows = 0
+        return empty
 
     if q_bytes <= broadcast_bytes:
         pdf = q.toPandas()  # proven bounded by broadcast_bytes
@@ -245,8 +247,9 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
                    .applyInPandas(block, HIT_SCHEMA))
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return (partial.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= k))
+    out = partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    out.query_rows = q_rows  # known bound for callers: at most query_rows * k hits
+    return out
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",

@@ -657,3 +657,14 @@ FROM routed"""))
 def q_route_dataset(spark, sf):
     t = Tables(spark, sf)
     return RO.route_dataset(t.route_questions(), t.corpus_docs())
+
+
+@register("retrieve_dense_threshold", O.with_views(["vectors"], O.dense_scores_cte("dv", "cosine", "vectors", "vectors", True) + [
+    O.topk_cte("dv", 1)], """
+SELECT t.query_id, CAST(t.rank AS BIGINT) AS rank, t.doc_id, t.score, CAST(NULL AS DOUBLE) AS rerank_score, v.label AS value
+FROM dv_top t JOIN vectors v ON v.id = t.doc_id WHERE t.score > 0.35"""))
+def q_retrieve_dense(spark, sf):
+    """G2 with dense vectors (J1) and another metadata key (P11: the label)."""
+    v = Tables(spark, sf).vectors()
+    return RT.retrieve_hits(v, v.withColumnRenamed("id", "doc_id"), k=1, threshold=0.35, method="cosine",
+                            key="label", query_text="embedding", doc_text="embedding", exclude_self=True)
