@@ -73,14 +73,17 @@ def sized_broadcast(df: DataFrame, max_rows: int = 100_000, row_bytes=None,
     return F.broadcast(df) if n <= max_rows and b <= max_bytes else df
 
 
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a frame over at least the cluster's default parallelism.
-
-    A large input already has many file splits and is returned untouched (no
-    shuffle). A frame read from one small file gets a round-robin repartition so
-    that per-partition Arrow work runs on every core."""
+def ensure_parallel(df: DataFrame, min_partitions: int | None = None, small_splits: int = 8) -> DataFrame:
+    """Spread a frame that comes from very few file splits over the cores.
+
+    Only a frame with at most ``small_splits`` partitions (at the default split
+    size, about a gigabyte or less) and fewer than the default parallelism gets a
+    round-robin repartition, so per-row text work and Arrow kernels run on every
+    core. A large table already has many splits and is returned untouched: no
+    shuffle is ever added in front of a big scan."""
     spark = df.sparkSession
     want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    n = df.rdd.getNumPartitions()
+    if n >= want or n > small_splits:
         return df
     return df.repartition(want)
