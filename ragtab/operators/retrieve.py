@@ -92,18 +92,20 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
 
 
 def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id",
-                     header: str = CONTEXT_HEADER) -> DataFrame:
+                     header: str = CONTEXT_HEADER, keep_columns: bool = False) -> DataFrame:
     """G1: one row per query: header then ``- value`` lines in rank order, or ''
-    when no hit survived. Groups hold at most k hits."""
+    when no hit survived. Groups hold at most k hits. With ``keep_columns`` every
+    query column is kept (one join instead of joining the contexts back)."""
     per_q = hits.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("h"))
     lines = F.transform(F.col("h"), lambda x: F.concat(F.lit("- "), F.coalesce(x["value"].cast("string"), F.lit("")), F.lit("\n")))
-    per_q = per_q.select("query_id", F.concat(F.lit(header), F.array_join(lines, "")).alias("context"))
-    q = queries.select(F.col(query_id).cast("long").alias("query_id"))
-    # one context row per query with hits: broadcast under a checked row bound
-    per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.length("context") + F.lit(16))
-    return q.join(per_q, "query_id", "left").select(
-        F.col("query_id").alias(query_id), F.coalesce("context", F.lit("")).alias("context"))
+    per_q = per_q.select(F.col("query_id").alias("_qid"), F.concat(F.lit(header), F.array_join(lines, "")).alias("_ctx"))
+    # one context row per query with hits: broadcast under a checked row and byte bound
+    per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.length("_ctx") + F.lit(16))
+    q = queries if keep_columns else queries.select(query_id)
+    out = q.join(per_q, F.col(query_id).cast("long") == F.col("_qid"), "left")
+    out = out.withColumn("context", F.coalesce("_ctx", F.lit(""))).drop("_qid", "_ctx")
+    return out if keep_columns else out.select(query_id, "context")
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str = "response",
