@@ -196,9 +196,10 @@ class DenseKernel:
                 d2 = self.qsq[:, None] + dsq[None, lo:hi] - 2.0 * S
                 score = round6(1.0 - np.maximum(d2, 0.0) / math.sqrt(2.0))
                 valid = np.ones_like(score, dtype=bool)
+            valid &= np.isfinite(score)  # NaN/inf components never rank (Spark orders NaN first)
             if exclude_self:
                 valid &= self.qids[:, None] != dids[None, lo:hi]
-            acc.add_matrix(self.qids, dids[lo:hi], score, valid)
+            acc.add_matrix(self.qids, dids[lo:hi], np.where(valid, score, 0.0), valid)
 
 
 # --------------------------------------------------------------------------------

@@ -96,3 +96,12 @@ def test_fewer_candidates_than_k(spark):
     d = spark.createDataFrame([(7, "beta"), (8, "gamma")], "doc_id long, question string")
     rows = topk.lexical_topk(q, d, 5).collect()
     assert [(r["doc_id"], r["rank"]) for r in rows] == [(7, 1)]
+
+
+def test_nan_vectors_never_rank(spark):
+    rows = [(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, [0.9, 0.1]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = topk.dense_topk(df.where("id = 1"), df, 3, doc_id="id", exclude_self=True).orderBy("rank").collect()
+    assert [r["doc_id"] for r in got] == [3]          # NaN vector and zero vector are not hits
+    got = topk.dense_topk(df.where("id = 1"), df, 3, metric="l2_relevance", doc_id="id", exclude_self=True).collect()
+    assert sorted(r["doc_id"] for r in got) == [3, 4]
