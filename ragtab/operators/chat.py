@@ -160,6 +160,21 @@ def length_bound(text="text", limit: int = MAX_SEQ_LENGTH) -> list[Column]:
     return [n.alias("n_words"), (n > limit).alias("over_limit")]
 
 
+def tokenizer_length_bound(text, count_tokens, limit: int = MAX_SEQ_LENGTH) -> list[Column]:
+    """F7 with a model tokenizer: ``count_tokens(list[str]) -> list[int]`` runs on
+    Arrow batches (load the tokenizer once per worker inside the callable).
+    Returns the token count and the over-limit flag; rows are never dropped."""
+    import pandas as pd
+    from pyspark.sql.types import LongType
+
+    @F.pandas_udf(LongType())
+    def _count(s: pd.Series) -> pd.Series:
+        return pd.Series(list(count_tokens([x if isinstance(x, str) else "" for x in s])), dtype="int64")
+
+    n = _count(F.col(text) if isinstance(text, str) else text)
+    return [n.alias("n_tokens"), (n > limit).alias("over_limit")]
+
+
 def generation_segments(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
     """F8: role/content rows (conv_id, turn, role, text) -> prompt segments in
     turn order, plus the assistant opener after the last turn; concatenating a

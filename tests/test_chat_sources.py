@@ -63,3 +63,10 @@ def test_experiments_scan_skips_notebook_folders(spark):
     FS.write_qa_csv(df, p, partition_by=("experiment", "model"))
     got = FS.read_experiments(spark, p, "id long").collect()
     assert [(r["experiment"], r["model"], r["id"]) for r in got] == [("no_rag", "m1", 1)]
+
+
+def test_tokenizer_length_bound_slot(spark):
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "text string")
+    counter = lambda texts: [len(t) for t in texts]          # characters as "tokens"
+    got = [tuple(r) for r in df.select(*CH.tokenizer_length_bound("text", counter, limit=3)).collect()]
+    assert got == [(5, True), (0, False), (0, False)]
