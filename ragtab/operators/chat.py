@@ -7,8 +7,10 @@ computed without a single-partition window."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ragtab.functions.text import word_count
 from ragtab.session import ensure_checkpoint_dir
@@ -164,9 +166,6 @@ def tokenizer_length_bound(text, count_tokens, limit: int = MAX_SEQ_LENGTH) -> l
     """F7 with a model tokenizer: ``count_tokens(list[str]) -> list[int]`` runs on
     Arrow batches (load the tokenizer once per worker inside the callable).
     Returns the token count and the over-limit flag; rows are never dropped."""
-    import pandas as pd
-    from pyspark.sql.types import LongType
-
     @F.pandas_udf(LongType())
     def _count(s: pd.Series) -> pd.Series:
         return pd.Series(list(count_tokens([x if isinstance(x, str) else "" for x in s])), dtype="int64")
