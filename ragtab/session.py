@@ -46,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="ragtab-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        conf = tempfile.mkdtemp(prefix="ragtab-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
 
