@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ragtab") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "ragtab",
+                  conf: dict | None = None) -> SparkSession:
     """Local session used by tests and the bench. On a cluster, use the cluster's
     session; nothing in the library depends on these settings."""
+    b = SparkSession.builder
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        b.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
