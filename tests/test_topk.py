@@ -105,3 +105,16 @@ def test_nan_vectors_never_rank(spark):
     assert [r["doc_id"] for r in got] == [3]          # NaN vector and zero vector are not hits
     got = topk.dense_topk(df.where("id = 1"), df, 3, metric="l2_relevance", doc_id="id", exclude_self=True).collect()
     assert sorted(r["doc_id"] for r in got) == [3, 4]
+
+
+def test_a_third_of_the_corpus_are_copies(spark):
+    # 60 of 180 documents are the same text: ties are cut by doc_id, k rows exactly
+    docs = [(i, "alpha beta gamma") for i in range(0, 180, 3)] + \
+           [(i, f"alpha word{i} other{i % 7}") for i in range(1, 180, 3)] + \
+           [(i, f"beta x{i}") for i in range(2, 180, 3)]
+    d = spark.createDataFrame(docs, "doc_id long, question string").repartition(6)
+    q = spark.createDataFrame([(1, "alpha beta gamma"), (2, "beta")], "id long, question string")
+    got = topk.lexical_topk(q, d, 4).orderBy("query_id", "rank").collect()
+    assert [r["doc_id"] for r in got if r["query_id"] == 1] == [0, 3, 6, 9]
+    assert [r["score"] for r in got if r["query_id"] == 1] == [1.0] * 4
+    assert len([r for r in got if r["query_id"] == 2]) == 4
