@@ -75,18 +75,27 @@ def route_user(rtype, question, context) -> Column:
             .when(r == ROUTE_GENERAL, F.concat(F.lit(ROUTE_USER[ROUTE_GENERAL]), _c(question))))
 
 
-def judge_system(answer, truth) -> Column:
+def _as_text(x, nan_text: bool) -> Column:
+    """Text of a value: NULL becomes '' (or 'nan', as ``str()`` of a missing
+    value renders it, when ``nan_text``)."""
+    return F.coalesce(_c(x).cast("string"), F.lit("nan" if nan_text else ""))
+
+
+# The judge system text around information A (the answer) and B (the truth).
+JUDGE_HEAD = ("# ROLE\nYou check question-answering output: you compare two texts for similarity "
+              "and consistency.\n\n# TASK\nJudge whether information A: ")
+JUDGE_MID = "\nIS CONSISTENT with information B: "
+JUDGE_TAIL = ("\nTreat B as the truth. Texts with similar, non-conflicting information are consistent."
+              "\n\n# OUTPUT\nReturn the judgement as a JSON dictionary in this format:\n\n"
+              + json.dumps(JUDGE_FORMAT)
+              + '\n\nOutput only "consistent" and "justification", as valid JSON.')
+
+
+def judge_system(answer, truth, nan_text: bool = False) -> Column:
     """Role, task with information A (the answer) and B (the truth), and the
     output format as JSON text."""
-    head = ("# ROLE\nYou check question-answering output: you compare two texts for similarity "
-            "and consistency.\n\n# TASK\nJudge whether information A: ")
-    mid = "\nIS CONSISTENT with information B: "
-    tail = ("\nTreat B as the truth. Texts with similar, non-conflicting information are consistent."
-            "\n\n# OUTPUT\nReturn the judgement as a JSON dictionary in this format:\n\n"
-            + json.dumps(JUDGE_FORMAT)
-            + '\n\nOutput only "consistent" and "justification", as valid JSON.')
-    return F.concat(F.lit(head), F.coalesce(_c(answer).cast("string"), F.lit("")), F.lit(mid),
-                    F.coalesce(_c(truth).cast("string"), F.lit("")), F.lit(tail))
+    return F.concat(F.lit(JUDGE_HEAD), _as_text(answer, nan_text), F.lit(JUDGE_MID), _as_text(truth, nan_text),
+                    F.lit(JUDGE_TAIL))
 
 
 def sql_str(s: str) -> str:

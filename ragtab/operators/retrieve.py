@@ -50,7 +50,7 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
                   query_id: str = "id", query_text: str = "question", doc_id: str = "doc_id",
                   doc_text: str = "question", query_vec: str | None = None, doc_vec: str | None = None,
                   pair_score: Callable[[Column, Column], Column] = jaccard_pair_score,
-                  checkpoint: bool = True, **kw) -> DataFrame:
+                  checkpoint: bool = True, dedupe_questions: bool = False, **kw) -> DataFrame:
     """Surviving hits: query_id, rank, doc_id, score, rerank_score, value.
 
     ``advanced`` widens the candidates to 10, reranks them by ``pair_score`` and
@@ -59,6 +59,11 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
     _require(corpus, [doc_id, doc_text, key], "corpus")
     _require(queries, [query_id, query_text], "queries")
     cand_k = ADVANCED_CANDIDATES if advanced else k
+    if dedupe_questions:
+        # off by default: the reference keeps one document per record, so top-k
+        # may repeat a question; on, the lowest doc_id of each question text stays
+        first = corpus.groupBy(doc_text).agg(F.min(doc_id).alias("_keep"))
+        corpus = corpus.join(first.select(F.col("_keep").alias(doc_id)), doc_id, "left_semi")
     hits = first_stage(queries, corpus, cand_k, method=method, query_id=query_id,
                        query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, **kw)
     n_q = getattr(hits, "query_rows", None)

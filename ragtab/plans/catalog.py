@@ -288,24 +288,8 @@ def q_qa_prompts(spark, sf):
 
 
 def _judge_system_sql(a: str, b: str) -> str:
-    # rebuild the template around two markers so the SQL follows the Python text exactly
-    probe = spark_free_judge_template()
-    head, rest = probe.split("\x00A")
-    mid, tail = rest.split("\x00B")
-    return f"{P.sql_str(head)} || coalesce({a}, '') || {P.sql_str(mid)} || coalesce({b}, '') || {P.sql_str(tail)}"
-
-
-def spark_free_judge_template() -> str:
-    """The judge system text with markers in place of A and B (pure Python)."""
-    import json as _json
-    head = ("# ROLE\nYou check question-answering output: you compare two texts for similarity "
-            "and consistency.\n\n# TASK\nJudge whether information A: ")
-    mid = "\nIS CONSISTENT with information B: "
-    tail = ("\nTreat B as the truth. Texts with similar, non-conflicting information are consistent."
-            "\n\n# OUTPUT\nReturn the judgement as a JSON dictionary in this format:\n\n"
-            + _json.dumps(P.JUDGE_FORMAT)
-            + '\n\nOutput only "consistent" and "justification", as valid JSON.')
-    return head + "\x00A" + mid + "\x00B" + tail
+    return (f"{P.sql_str(P.JUDGE_HEAD)} || coalesce({a}, '') || {P.sql_str(P.JUDGE_MID)} || coalesce({b}, '') "
+            f"|| {P.sql_str(P.JUDGE_TAIL)}")
 
 
 @register("judge_prompts", O.with_views(["answers"], [], f"""

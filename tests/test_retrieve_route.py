@@ -53,3 +53,20 @@ def test_route_cascade_order(spark):
     r = {x["id"]: x["rtype"] for x in RO.route(qs, corpus).collect()}
     assert r == {1: "retrieval", 2: "company_specific", 3: "generic_cyber", 4: "generic_external",
                  5: "company_specific"}
+
+
+def test_dedupe_questions_option(spark):
+    q = spark.createDataFrame([(1, "same text")], "id long, question string")
+    d = spark.createDataFrame([(5, "same text", "r5"), (3, "same text", "r3"), (9, "same", "r9")],
+                              "doc_id long, question string, response string")
+    keep = [h["doc_id"] for h in RT.retrieve_hits(q, d, k=3).orderBy("rank").collect()]
+    dedup = [h["doc_id"] for h in RT.retrieve_hits(q, d, k=3, dedupe_questions=True).orderBy("rank").collect()]
+    assert keep == [3, 5, 9] and dedup == [3, 9]
+
+
+def test_judge_prompt_nan_text(spark):
+    from ragtab.functions import prompts as P
+    df = spark.createDataFrame([(None, "truth")], "a string, b string")
+    plain = df.select(P.judge_system("a", "b")).first()[0]
+    nan = df.select(P.judge_system("a", "b", nan_text=True)).first()[0]
+    assert "information A: \nIS" in plain and "information A: nan\nIS" in nan
