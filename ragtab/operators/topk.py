@@ -13,7 +13,8 @@ Plan (the same for lexical and dense scoring):
      ``mapInPandas`` -- no corpus shuffle.
    * Grid plan: otherwise both sides are hashed into blocks; each query block is
      replicated once per corpus block and vice versa, and ``cogroup`` gives each
-     task one (query block, corpus block) pair, sized from the byte counts.
+     task one (query block, corpus block) pair. Query blocks are sized from the
+     measured query bytes, corpus blocks follow the corpus's input splits.
 3. Final top-k: ``row_number`` over ``(query_id)`` ordered by (score desc,
    doc_id asc) ``<= k`` -- Spark plans it with ``WindowGroupLimit``.
 
@@ -35,7 +36,6 @@ from ragtab.session import ensure_parallel
 
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
-DEFAULT_BLOCK_BYTES = 128 * 1024 * 1024
 _CELLS = 4_000_000  # score cells (queries x corpus rows) per NumPy chunk
 
 
@@ -206,7 +206,7 @@ class DenseKernel:
 # plans
 # --------------------------------------------------------------------------------
 def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_self: bool,
-                  broadcast_bytes: int, block_bytes: int) -> DataFrame:
+                  broadcast_bytes: int, corpus_blocks: int | None) -> DataFrame:
     """q: (qid, payload); d: (did, payload). Returns (query_id, doc_id, score, rank)."""
     spark = q.sparkSession
     q_rows, q_bytes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_col), F.lit(0))).first()
@@ -229,9 +229,10 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
 
         partial = ensure_parallel(d).mapInPandas(scan, HIT_SCHEMA)
     else:
-        d_bytes = d.agg(F.coalesce(F.sum(size_col), F.lit(0))).first()[0]
+        # query blocks from the measured query bytes; corpus blocks from the
+        # corpus's input splits (file metadata, no pass over the data)
         bq = max(1, math.ceil(q_bytes / broadcast_bytes))
-        bd = max(1, math.ceil(d_bytes / block_bytes))
+        bd = corpus_blocks or max(1, d.rdd.getNumPartitions())
         qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))).withColumn(
             "db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1)).cast("array<long>")))
         db = d.withColumn("db", F.pmod(F.xxhash64("did"), F.lit(bd))).withColumn(
@@ -256,20 +257,20 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",
                  query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
                  exclude_self: bool = False, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                 block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+                 corpus_blocks: int | None = None) -> DataFrame:
     """Best k corpus rows per query by term-count cosine of the texts (only rows
     sharing at least one token are hits). Output: query_id, doc_id, score, rank."""
     q = queries.select(F.col(query_id).cast("long").alias("qid"), tokens_of(query_text).alias("payload"))
     d = corpus.select(F.col(doc_id).cast("long").alias("did"), tokens_of(doc_text).alias("payload"))
     size = F.length(F.concat_ws(" ", "payload")) + F.lit(16)
-    return _blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, block_bytes)
+    return _blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "cosine",
                query_id: str = "id", query_vec: str = "embedding", doc_id: str = "doc_id",
                doc_vec: str = "embedding", exclude_self: bool = False,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-               block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+               corpus_blocks: int | None = None) -> DataFrame:
     """Best k corpus vectors per query vector. Rows with a NULL vector are not
     searched. Output: query_id, doc_id, score, rank."""
     q = queries.where(F.col(query_vec).isNotNull()).select(
@@ -277,4 +278,4 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "
     d = corpus.where(F.col(doc_vec).isNotNull()).select(
         F.col(doc_id).cast("long").alias("did"), F.col(doc_vec).cast("array<double>").alias("payload"))
     size = F.size("payload") * F.lit(8) + F.lit(16)
-    return _blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, block_bytes)
+    return _blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks)

@@ -39,7 +39,7 @@ def test_dense_topk_equals_brute_force(spark, metric, plan):
     vecs[5] = 0.0                                              # zero vector
     rows = [(i, vecs[i].tolist()) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
-    kw = {"broadcast_bytes": 10, "block_bytes": 400} if plan == "grid" else {}
+    kw = {"broadcast_bytes": 10, "corpus_blocks": 4} if plan == "grid" else {}
     got = topk.dense_topk(df, df, 5, metric=metric, doc_id="id", exclude_self=True, **kw)
     got = sorted(tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect())
     exp = brute_dense(rows, rows, 5, metric, True)
@@ -76,7 +76,7 @@ def test_lexical_topk_equals_brute_force_with_hot_token(spark, plan):
     qs = [(i, " ".join(rng.choice(words, size=3))) for i in range(12)] + [(50, "zzz")]
     dq = spark.createDataFrame(qs, "id long, question string")
     dd = spark.createDataFrame(docs, "doc_id long, question string").repartition(4)
-    kw = {"broadcast_bytes": 10, "block_bytes": 200} if plan == "grid" else {}
+    kw = {"broadcast_bytes": 10, "corpus_blocks": 5} if plan == "grid" else {}
     got = sorted(tuple(r) for r in topk.lexical_topk(dq, dd, 4, **kw)
                  .select("query_id", "doc_id", "score", "rank").collect())
     exp = brute_lexical(qs, [(i, t or "") for i, t in docs], 4)
