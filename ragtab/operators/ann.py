@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _TopK, dense_topk
+from ragtab.session import ensure_checkpoint_dir
 
 
 def build_ivf(corpus: DataFrame, nlist: int, *, doc_id: str = "doc_id", vec: str = "embedding",
@@ -40,6 +41,10 @@ def build_ivf(corpus: DataFrame, nlist: int, *, doc_id: str = "doc_id", vec: str
     model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
                    distanceMeasure=distance).fit(train)
     assigned = model.transform(feats).select("did", "payload", F.col("cluster").cast("long"))
+    # the assigned vectors are the index: write them once to the shared
+    # checkpoint folder (read by the size table and by the search)
+    ensure_checkpoint_dir(corpus.sparkSession)
+    assigned = assigned.checkpoint(eager=True)
     centers = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
     return assigned, centers
 
