@@ -17,13 +17,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _TopK, dense_topk
+from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _col, _TopK, dense_topk
 from ragtab.session import ensure_checkpoint_dir
 
 
@@ -82,14 +82,14 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None
 
     kernel = DenseKernel(metric)
 
-    def block(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+    def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
         acc = _TopK(k)
-        if len(qpdf) and len(dpdf):
-            kern = kernel.prepare(qpdf["qid"].to_numpy(), list(qpdf["payload"]))
-            kern.score_into(acc, dpdf["did"].to_numpy(), list(dpdf["payload"]), exclude_self)
-        return acc.frame()
+        if qt.num_rows and dt.num_rows:
+            kern = kernel.prepare(_col(qt, "qid"), qt.column("payload"))
+            kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
+        return pa.Table.from_pandas(acc.frame(), preserve_index=False)
 
-    partial = q.groupBy("cluster", "salt").cogroup(docs.groupBy("cluster", "salt")).applyInPandas(block, HIT_SCHEMA)
+    partial = q.groupBy("cluster", "salt").cogroup(docs.groupBy("cluster", "salt")).applyInArrow(block, HIT_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

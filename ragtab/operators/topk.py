@@ -28,6 +28,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,35 +89,93 @@ class _TopK:
 # --------------------------------------------------------------------------------
 # scoring kernels
 # --------------------------------------------------------------------------------
-def _flatten(token_lists):
-    lens = np.fromiter((0 if t is None else len(t) for t in token_lists), dtype=np.int64, count=len(token_lists))
-    if lens.sum() == 0:
-        return np.empty(0, dtype=object), np.empty(0, np.int64)
-    flat = np.concatenate([np.asarray(t, dtype=object) for t in token_lists if t is not None and len(t)])
-    rows = np.repeat(np.arange(len(token_lists), dtype=np.int64), lens)
-    return flat, rows
-
-
-def _term_counts(token_lists):
-    """(row, code, count) of distinct tokens per row, codes into ``uniques``."""
-    flat, rows = _flatten(token_lists)
-    codes, uniques = pd.factorize(flat)
-    v = max(len(uniques), 1)
+def _col(t, name: str) -> np.ndarray:
+    """A numeric column of an Arrow table or record batch as NumPy."""
+    c = t.column(t.schema.get_field_index(name))
+    if isinstance(c, pa.ChunkedArray):
+        c = c.combine_chunks()
+    return c.to_numpy(zero_copy_only=False)
+
+
+def _as_list_array(x) -> pa.Array:
+    """A list column as one Arrow array (Arrow input, or Python lists from a
+    small collected side)."""
+    if isinstance(x, pa.ChunkedArray):
+        return x.combine_chunks()
+    if isinstance(x, pa.Array):
+        return x
+    return pa.array([None if t is None else list(t) for t in x], type=pa.list_(pa.string()))
+
+
+def _term_counts(tokens):
+    """(row, code, count) of the distinct tokens of each row and the token
+    dictionary; all in Arrow/NumPy (no Python object per token)."""
+    arr = _as_list_array(tokens)
+    lens = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(arr)
+    if len(flat) == 0:
+        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float64),
+                pa.array([], type=pa.string()))
+    enc = pc.dictionary_encode(flat)
+    codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    uniq = enc.dictionary
+    rows = np.repeat(np.arange(len(arr), dtype=np.int64), lens)
+    v = max(len(uniq), 1)
     key, cnt = np.unique(rows * v + codes, return_counts=True)
-    return key // v, key % v, cnt.astype(np.float64), pd.Index(uniques)
+    return key // v, key % v, cnt.astype(np.float64), uniq
+
+
+def _matrix(vectors) -> np.ndarray:
+    """A list<double> column as a (rows x dim) float64 matrix (zero copy when the
+    Arrow values are contiguous)."""
+    arr = _as_vector_array(vectors)
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0))
+    lens = pc.list_value_length(arr).to_numpy(zero_copy_only=False)
+    dim = int(lens[0])
+    if (lens != dim).any():
+        raise ValueError("vectors of different lengths")
+    return pc.list_flatten(arr).to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
+
+
+def _as_vector_array(x) -> pa.Array:
+    if isinstance(x, pa.ChunkedArray):
+        return x.combine_chunks()
+    if isinstance(x, pa.Array):
+        return x
+    return pa.array([list(map(float, v)) for v in x], type=pa.list_(pa.float64()))
 
 
 class LexicalKernel:
-    """Cosine of term-count vectors: ``sum(cq*cd) / (|q| |d|)``, exact in float64."""
+    """Cosine of term-count vectors: ``sum(cq*cd) / (|q| |d|)``, exact in float64.
+
+    Tokens shared by many queries ("hot", e.g. stop words) are scored with a dense
+    BLAS product over a (queries x hot tokens) matrix; the other tokens by
+    expanding their query postings. Both parts sum integer products exactly, so
+    the split changes speed, not results."""
+
+    def __init__(self, hot_share: float = 1 / 32):
+        self.hot_share = hot_share
 
     def prepare(self, qids, qtokens):
         n = len(qids)
         r, c, cnt, vocab = _term_counts(qtokens)
         self.qids = np.asarray(qids, dtype=np.int64)
         self.qnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n))
-        order = np.argsort(c, kind="stable")
-        self.p_row, self.p_cnt = r[order], cnt[order]
-        self.ptr = np.searchsorted(c[order], np.arange(len(vocab) + 1))
+        v = len(vocab)
+        df_q = np.bincount(c, minlength=v)                 # queries holding each token
+        hot = df_q >= max(2, int(math.ceil(n * self.hot_share)))
+        self.hot_col = np.full(v, -1, np.int64)
+        self.hot_col[hot] = np.arange(int(hot.sum()))
+        self.n_hot = int(hot.sum())
+        mh = hot[c] if len(c) else np.zeros(0, bool)
+        self.q_dense = np.zeros((n, self.n_hot))
+        self.q_dense[r[mh], self.hot_col[c[mh]]] = cnt[mh]
+        rc, cc, kc = r[~mh], c[~mh], cnt[~mh]                # postings of the other tokens
+        order = np.argsort(cc, kind="stable")
+        self.p_row, self.p_cnt = rc[order], kc[order]
+        self.ptr = np.searchsorted(cc[order], np.arange(v + 1))
         self.vocab = vocab
         return self
 
@@ -126,11 +186,19 @@ class LexicalKernel:
         dids = np.asarray(dids, dtype=np.int64)
         r, c, cnt, uniq = _term_counts(dtokens)
         dnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n_d))
-        qcode = self.vocab.get_indexer(uniq)[c] if len(uniq) else np.empty(0, np.int64)
+        if len(uniq):
+            pos = pc.fill_null(pc.index_in(uniq, value_set=self.vocab), -1)
+            qcode = pos.to_numpy(zero_copy_only=False).astype(np.int64)[c]
+        else:
+            qcode = np.empty(0, np.int64)
         m = qcode >= 0
         r, qcode, cnt = r[m], qcode[m], cnt[m]
+        hcol = self.hot_col[qcode]
+        is_hot = hcol >= 0
+        rh, hh, kh = r[is_hot], hcol[is_hot], cnt[is_hot]
+        r, qcode, cnt = r[~is_hot], qcode[~is_hot], cnt[~is_hot]
         plen = self.ptr[qcode + 1] - self.ptr[qcode]
-        step = max(1, _CELLS // n_q)
+        step = max(1, _CELLS // max(n_q, self.n_hot, 1))
         for lo in range(0, n_d, step):
             hi = min(n_d, lo + step)
             a, b = np.searchsorted(r, [lo, hi])
@@ -154,6 +222,11 @@ class LexicalKernel:
                     dots += np.bincount(qi * width + di, weights=w, minlength=n_q * width)
                 s = e
             dots = dots.reshape(n_q, width)
+            ah, bh = np.searchsorted(rh, [lo, hi])
+            if bh > ah:
+                d_dense = np.zeros((width, self.n_hot))
+                d_dense[rh[ah:bh] - lo, hh[ah:bh]] = kh[ah:bh]
+                dots += self.q_dense @ d_dense.T
             valid = dots > 0
             if exclude_self:
                 valid &= self.qids[:, None] != dids[None, lo:hi]
@@ -172,7 +245,7 @@ class DenseKernel:
 
     def prepare(self, qids, qvecs):
         self.qids = np.asarray(qids, dtype=np.int64)
-        self.Q = np.vstack([np.asarray(v, dtype=np.float64) for v in qvecs]) if len(qvecs) else np.zeros((0, 0))
+        self.Q = _matrix(qvecs)
         self.qsq = (self.Q * self.Q).sum(axis=1)
         return self
 
@@ -181,7 +254,7 @@ class DenseKernel:
         if n_q == 0 or n_d == 0:
             return
         dids = np.asarray(dids, dtype=np.int64)
-        D = np.vstack([np.asarray(v, dtype=np.float64) for v in dvecs])
+        D = _matrix(dvecs)
         dsq = (D * D).sum(axis=1)
         step = max(1, _CELLS // n_q)
         for lo in range(0, n_d, step):
@@ -216,18 +289,18 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         return empty
 
     if q_bytes <= broadcast_bytes:
-        pdf = q.toPandas()  # proven bounded by broadcast_bytes
-        bc = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), list(pdf["payload"])))
+        qt = q.toArrow()  # proven bounded by broadcast_bytes
+        bc = spark.sparkContext.broadcast((_col(qt, "qid"), qt.column("payload").combine_chunks()))
 
         def scan(batches):
             qids, payload = bc.value
             kern = kernel.prepare(qids, payload)
             acc = _TopK(k)
             for b in batches:
-                kern.score_into(acc, b["did"].to_numpy(), list(b["payload"]), exclude_self)
-            yield acc.frame()
+                kern.score_into(acc, _col(b, "did"), b.column(b.schema.get_field_index("payload")), exclude_self)
+            yield pa.RecordBatch.from_pandas(acc.frame(), preserve_index=False)
 
-        partial = ensure_parallel(d).mapInPandas(scan, HIT_SCHEMA)
+        partial = ensure_parallel(d).mapInArrow(scan, HIT_SCHEMA)
     else:
         # query blocks from the measured query bytes; corpus blocks from the
         # corpus's input splits (file metadata, no pass over the data)
@@ -238,15 +311,15 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         db = d.withColumn("db", F.pmod(F.xxhash64("did"), F.lit(bd))).withColumn(
             "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
 
-        def block(qpdf: pd.DataFrame, dpdf: pd.DataFrame) -> pd.DataFrame:
+        def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
             acc = _TopK(k)
-            if len(qpdf) and len(dpdf):
-                kern = kernel.prepare(qpdf["qid"].to_numpy(), list(qpdf["payload"]))
-                kern.score_into(acc, dpdf["did"].to_numpy(), list(dpdf["payload"]), exclude_self)
-            return acc.frame()
+            if qt.num_rows and dt.num_rows:
+                kern = kernel.prepare(_col(qt, "qid"), qt.column("payload"))
+                kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
+            return pa.Table.from_pandas(acc.frame(), preserve_index=False)
 
         partial = (qb.groupBy("qb", "db").cogroup(db.groupBy("qb", "db"))
-                   .applyInPandas(block, HIT_SCHEMA))
+                   .applyInArrow(block, HIT_SCHEMA))
 
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     out = partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
