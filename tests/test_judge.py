@@ -45,12 +45,13 @@ def _py_cos(a, b):
     return round(sum(ca[t] * cb[t] for t in ca) / (na * nb), 6)
 
 
-@pytest.mark.parametrize("keyed", [False, True])
-def test_sem_score_matches_python(spark, keyed):
+@pytest.mark.parametrize("mode", ["jvm", "keyed", "arrow"])
+def test_sem_score_matches_python(spark, mode):
     pairs = [("a b b c", "b c c d"), ("", "x"), ("Same text", "same TEXT"), ("x y", "z"),
              ("Ünïcode wörds ß", "wörds ß ß"), ("tab\tsep", "tab sep")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id long, response string, llm_response string")
-    got = {r["id"]: r["sem_score"] for r in J.with_sem_score(df, keys=["id"] if keyed else None).collect()}
+    kw = {"keys": ["id"]} if mode == "keyed" else {"engine": mode}
+    got = {r["id"]: r["sem_score"] for r in J.with_sem_score(df, **kw).collect()}
     for i, (a, b) in enumerate(pairs):
         exp = _py_cos(a, b)
         assert (got[i] is None and exp is None) or abs(got[i] - exp) < 1e-9
