@@ -77,3 +77,14 @@ def test_nan_is_not_above_threshold(spark):
     assert r[0]["c"] is None and r[1]["c"] is None and abs(r[2]["c"] - 1.0) < 1e-12
     x = spark.range(1).select(nan_to_null(F.lit(float("nan"))).alias("v")).first()["v"]
     assert x is None
+
+
+def test_cosine_symmetric_and_bounded(spark):
+    import numpy as np
+    from ragtab.functions.vectors import cosine, l2_relevance
+    rng = np.random.default_rng(4)
+    rows = [(rng.normal(size=5).tolist(), rng.normal(size=5).tolist()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    out = df.select(cosine("a", "b").alias("ab"), cosine("b", "a").alias("ba"), l2_relevance("a", "a").alias("self")).collect()
+    assert all(r["ab"] == r["ba"] and -1 - 1e-12 <= r["ab"] <= 1 + 1e-12 for r in out)
+    assert all(r["self"] == 1.0 for r in out)
