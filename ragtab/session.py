@@ -3,7 +3,6 @@ and broadcasts guarded by a size check."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 

@@ -1,6 +1,5 @@
 """The experiment lifecycle end to end on the smallest fixture, with resume."""
 
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from ragtab.operators import experiment as X

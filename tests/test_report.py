@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from ragtab.functions.text import word_count, words_per_second
 from ragtab.operators import report as R

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from ragtab.operators import retrieve as RT
 from ragtab.operators import route as RO
