@@ -44,14 +44,17 @@ SELECT a.experiment, v.verifier, a.model, a.id,
          ELSE '{"consistent": "True" "justification": }' END AS raw_text
 FROM answers a JOIN models m ON m.model = a.model CROSS JOIN verifiers v""",
     "route_questions": """
-SELECT item_id AS id,
-       CASE WHEN item_id % 4 = 0 THEN concat('Does ACME support this? ', text)
-            WHEN item_id % 4 = 1 THEN concat('Is this malware on my network? ', substr(text, 1, 20))
-            WHEN item_id % 4 = 2 THEN concat('What is acme? ', substr(text, 1, 20))
-            ELSE substr(text, 1, 20) END AS question,
-       CASE item_id % 4 WHEN 0 THEN 'company_specific' WHEN 1 THEN 'generic_cyber'
-            WHEN 2 THEN 'company_specific' ELSE 'generic_external' END AS type
-FROM benchmark""",
+SELECT id,
+       CASE WHEN r = 0 THEN concat('Does ACME support this? ', text)
+            WHEN r = 1 THEN concat('Is this malware on my network? ', text)
+            WHEN r = 2 THEN concat('What is acme? ', text)
+            ELSE text END AS question,
+       CASE r WHEN 0 THEN 'company_specific' WHEN 1 THEN 'generic_cyber'
+              WHEN 2 THEN 'company_specific' ELSE 'generic_external' END AS type
+FROM (SELECT item_id AS id, text, item_id % 4 AS r FROM benchmark
+      UNION ALL
+      SELECT -(conv_id * 1000 + turn + 1) AS id, text, (conv_id + turn) % 4 AS r
+      FROM conversations WHERE role = 'user') u""",
     "filter_ids": "SELECT id FROM qa_pairs WHERE contains(lower(question), 'de')",
     "instructions": """
 SELECT id, question AS instruction, response AS output,

@@ -152,16 +152,24 @@ class Tables:
 
     # ---- routing -----------------------------------------------------------------
     def route_questions(self) -> DataFrame:
-        """Labelled routing questions made from benchmark passages."""
-        b = self.table("benchmark")
-        r = F.pmod(F.col("item_id"), F.lit(4))
-        short = F.substring(F.col("text"), 1, 20)
-        return b.select(
-            F.col("item_id").alias("id"),
+        """Labelled routing questions, whole texts only: every benchmark passage
+        (these occur in the documents, so retrieval tends to answer them) and
+        every user turn of the conversations (not in the documents, so the
+        company and cyber tests decide), each framed by a fixed lead-in that
+        sets its label. Conversation ids are negative so both sources keep
+        distinct ids."""
+        b = self.table("benchmark").select(F.col("item_id").alias("id"), "text",
+                                           F.pmod(F.col("item_id"), F.lit(4)).alias("r"))
+        c = (self.table("conversations").where(F.col("role") == "user")
+             .select((-(F.col("conv_id") * 1000 + F.col("turn") + 1)).alias("id"), "text",
+                     F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)).alias("r")))
+        r = F.col("r")
+        return b.unionByName(c).select(
+            "id",
             F.when(r == 0, F.concat(F.lit("Does ACME support this? "), F.col("text")))
-            .when(r == 1, F.concat(F.lit("Is this malware on my network? "), short))
-            .when(r == 2, F.concat(F.lit("What is acme? "), short))
-            .otherwise(short)
+            .when(r == 1, F.concat(F.lit("Is this malware on my network? "), F.col("text")))
+            .when(r == 2, F.concat(F.lit("What is acme? "), F.col("text")))
+            .otherwise(F.col("text"))
             .alias("question"),
             F.when(r == 0, "company_specific")
             .when(r == 1, "generic_cyber")
