@@ -149,10 +149,6 @@ SELECT experiment, model, {'time, tps, ' if with_time else ''}
 FROM g"""
 
 
-def _strip_leading_comma(s: str) -> str:
-    return s.lstrip().lstrip(",")
-
-
 def _board_query(body_sql: str, views=("judge_raw", "answers"), extra=()):
     ctes = O.judged_rows_ctes() + list(extra)
     head = O.with_views(list(views), ctes, "")
