@@ -45,6 +45,16 @@ ROUTE_USER = {
 }
 
 
+# Classification prompts of the model-based route tests (own wording): the model
+# answers "True" or "False"; any answer containing "true" counts as yes.
+COMPANY_CLASSIFIER = ("You detect questions about the company {company} or its services. Answer only "
+                      "\"True\" if the text asks about {company}, otherwise \"False\".")
+CYBER_CLASSIFIER = ("You detect questions about cyber security: networking, cyber defence, APTs and "
+                    "TTPs, hacking. Answer only \"True\" or \"False\".")
+COMPANY_ASK = "Does this question mention {company}? : "
+CYBER_ASK = "Does this question relate to cyber security? : "
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 

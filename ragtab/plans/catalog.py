@@ -648,3 +648,12 @@ def q_retrieve_dense(spark, sf):
     v = Tables(spark, sf).vectors()
     return RT.retrieve_hits(v, v.withColumnRenamed("id", "doc_id"), k=1, threshold=0.35, method="cosine",
                             key="label", query_text="embedding", doc_text="embedding", exclude_self=True)
+
+
+@register("route_questions_model", O.with_views(["route_questions", "corpus_docs"], _ROUTE_CTES,
+                                                "SELECT id, question, type, context, rtype FROM routed"))
+def q_route_questions_model(spark, sf):
+    """G10-G12 through the batch scoring slot (G6) with a stand-in classifier."""
+    t = Tables(spark, sf)
+    return RO.route_with_model(t.route_questions(), t.corpus_docs(), RO.keyword_classifier).select(
+        "id", "question", "type", "context", "rtype")

@@ -69,3 +69,22 @@ def test_judge_prompt_nan_text(spark):
     plain = df.select(P.judge_system("a", "b")).first()[0]
     nan = df.select(P.judge_system("a", "b", nan_text=True)).first()[0]
     assert "information A: \nIS" in plain and "information A: nan\nIS" in nan
+
+
+def test_route_with_model_short_circuits(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def scorer(system, prompt, model):
+        asked.add(1)
+        q = prompt.split(": ", 1)[1].lower()
+        if "company" in system.lower() or "acme" in system.lower():
+            return "True" if "acme" in q else "False."
+        return "TRUE" if ("hack" in q or "network" in q) else "no"
+
+    corpus = spark.createDataFrame([(1, "how do I reset my password", "use the portal")],
+                                   "doc_id long, question string, response string")
+    qs = spark.createDataFrame([(1, "how do I reset my password"), (2, "Is ACME hiring?"),
+                                (3, "my network was hacked"), (4, "why is the sky blue")], "id long, question string")
+    r = {x["id"]: x["rtype"] for x in RO.route_with_model(qs, corpus, scorer).collect()}
+    assert r == {1: "retrieval", 2: "company_specific", 3: "generic_cyber", 4: "generic_external"}
+    assert asked.value == 3 + 2          # company test for 3 questions, cyber test only for the 2 left
