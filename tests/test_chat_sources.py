@@ -70,3 +70,10 @@ def test_tokenizer_length_bound_slot(spark):
     counter = lambda texts: [len(t) for t in texts]          # characters as "tokens"
     got = [tuple(r) for r in df.select(*CH.tokenizer_length_bound("text", counter, limit=3)).collect()]
     assert got == [(5, True), (0, False), (0, False)]
+
+
+def test_dense_positions_are_a_permutation(spark):
+    df = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"), F.col("id")).repartition(13)
+    pos = CH.dense_positions(df, [F.col("k"), F.col("id")], "p", partitions=7)
+    rows = sorted((r["k"], r["id"], r["p"]) for r in pos.collect())
+    assert [r[2] for r in rows] == list(range(5000))
