@@ -289,7 +289,7 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         return empty
 
     if q_bytes <= broadcast_bytes:
-        qt = q.toArrow()  # proven bounded by broadcast_bytes
+        qt = q.select("qid", "payload").toArrow()  # proven bounded by broadcast_bytes
         bc = spark.sparkContext.broadcast((_col(qt, "qid"), qt.column("payload").combine_chunks()))
 
         def scan(batches):
@@ -306,7 +306,7 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         # corpus's input splits (file metadata, no pass over the data)
         bq = max(1, math.ceil(q_bytes / broadcast_bytes))
         bd = corpus_blocks or max(1, d.rdd.getNumPartitions())
-        qb = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))).withColumn(
+        qb = q.select("qid", "payload").withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))).withColumn(
             "db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1)).cast("array<long>")))
         db = d.withColumn("db", F.pmod(F.xxhash64("did"), F.lit(bd))).withColumn(
             "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
@@ -333,9 +333,13 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
                  corpus_blocks: int | None = None) -> DataFrame:
     """Best k corpus rows per query by term-count cosine of the texts (only rows
     sharing at least one token are hits). Output: query_id, doc_id, score, rank."""
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), tokens_of(query_text).alias("payload"))
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), tokens_of(query_text).alias("payload"),
+                       F.coalesce(F.octet_length(query_text), F.lit(0)).alias("_bytes"))
     d = corpus.select(F.col(doc_id).cast("long").alias("did"), tokens_of(doc_text).alias("payload"))
-    size = F.length(F.concat_ws(" ", "payload")) + F.lit(16)
+    # Upper bound of the Arrow size of a row's tokens without tokenizing: lower
+    # case grows UTF-8 by at most 1.5x and there is at most one 4-byte offset per
+    # two bytes of text; so 4 bytes per text byte, plus the id.
+    size = F.col("_bytes") * F.lit(4) + F.lit(16)
     return _blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks)
 
 
