@@ -88,3 +88,13 @@ def test_cosine_symmetric_and_bounded(spark):
     out = df.select(cosine("a", "b").alias("ab"), cosine("b", "a").alias("ba"), l2_relevance("a", "a").alias("self")).collect()
     assert all(r["ab"] == r["ba"] and -1 - 1e-12 <= r["ab"] <= 1 + 1e-12 for r in out)
     assert all(r["self"] == 1.0 for r in out)
+
+
+def test_tokens_split_equals_extract(spark):
+    from ragtab.functions.text import TOKEN_PATTERN, tokens
+    texts = ["", "  lead and trail  ", "Ünïcode wörds ß, x1-y2!", "a", "...", None, "tab\tsep\nline", "İstanbul KELVIN"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(tokens("t").alias("a"),
+                    F.coalesce(F.regexp_extract_all(F.lower("t"), F.lit(TOKEN_PATTERN), 0),
+                               F.array().cast("array<string>")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got)
