@@ -666,7 +666,7 @@ def q_route_questions_model(spark, sf):
     "SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM lg_top"))
 def q_lexical_topk_grid(spark, sf):
     """J2 through the block-grid plan: every Q/A question against every document
-    with the broadcast limit set to 256 KB, so the query side is cut into blocks
+    with the broadcast limit set to 32 KB, so the query side is cut into blocks
     and cogrouped with the corpus blocks (the plan used when questions are many)."""
     t = Tables(spark, sf)
-    return topk.lexical_topk(t.qa_pairs(), t.corpus_docs(), 3, broadcast_bytes=256 * 1024)
+    return topk.lexical_topk(t.qa_pairs(), t.corpus_docs(), 3, broadcast_bytes=32 * 1024)
