@@ -78,7 +78,9 @@ def dense_positions(df: DataFrame, order: list[Column], out: str = "pos", partit
     per partition, broadcast). The ranked rows are checkpointed to the shared
     folder first, so both uses read the same partitioning."""
     spark = df.sparkSession
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+    # at least as many range partitions as the input has splits, so a large
+    # table keeps split-sized partitions
+    n = partitions or max(1, spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
     ranked = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
