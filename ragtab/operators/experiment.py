@@ -36,13 +36,12 @@ def answer_sweep(spark: SparkSession, questions: DataFrame, corpora: dict[str, D
     """Answers for every (setting, model); ``settings`` holds (corpus mode or None
     for no retrieval, advanced). Returns the experiment names written now."""
     done = _existing(spark, out_root, ["experiment", "model"])
+    # the finished (experiment, model) tasks: at most settings x models names
+    have = set() if done is None else {(r["experiment"], r["model"]) for r in done.collect()}
     written = []
     for mode, advanced in settings:
         name = G.NO_RAG if mode is None else f"dataset_{mode}_emb_lexical_rerank_{advanced}"
-        todo = [m for m in models]
-        if done is not None:
-            have = {r["model"] for r in done.where(F.col("experiment") == name).collect()}  # model names only
-            todo = [m for m in models if m not in have]
+        todo = [m for m in models if (name, m) not in have]
         if not todo:
             continue
         ans = A.answer_all(questions, None if mode is None else corpora[mode], todo, name, scorer,
