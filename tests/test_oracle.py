@@ -6,12 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ragtab.plans import catalog
 from tools.oracle_check import TABLES, rows_of
 
 from conftest import SF_SMALL
 
-NAMES = sorted(E.queries())
-SQL = E.oracle_sql()
+NAMES = sorted(catalog.QUERIES)   # the queries of ragtab.llm have their own tests
+SQL = catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
