@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtab.session import work_path
@@ -33,3 +33,18 @@ def keep_documents(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``docs`` whose ``doc_id`` is in ``keys[key]`` (null matches null), columns unchanged."""
     k = keys.select(F.col(key).alias("_llm_key")).distinct()
     return docs.join(k, docs["doc_id"].eqNullSafe(k["_llm_key"]), "left_semi")
+
+
+def sample_by_hash(rows: DataFrame, by: str, most: dict) -> DataFrame:
+    """At most ``most[value]`` rows of each value of ``by``, with their rank (by a hash of doc_id). Only rows whose
+    hash is low enough for about twice as many are ranked, so no value's rows meet in one task."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(by) == value, min(1.0, (2 * most[value] + 100) / n)).otherwise(share)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    limit = F.lit(0)
+    for value in counts:
+        limit = F.when(F.col(by) == value, most[value]).otherwise(limit)
+    return rows.filter(drawn).withColumn("rank", rank).filter(F.col("rank") <= limit)

@@ -19,14 +19,15 @@ sorted order; null ids count as the empty text for the fold; other columns are n
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, keep_documents
+from .common import bucket, keep_documents, sample_by_hash
 
 #: n and log2 of the number of columns that its n-grams are hashed into.
 SPECTRUM = ((2, 13), (3, 15), (4, 15))
@@ -81,9 +82,8 @@ class Model:
 def fit(labelled: DataFrame, per_class: int = 200, landmarks: int = 32, ridge: float = 1e-2) -> Model | None:
     """Fit on at most ``per_class`` rows of each language of ``labelled`` (doc_id, text, lang), the first
     ``landmarks`` of each as landmarks. None where nothing is labelled."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = labelled.filter(F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    picked = usable.select("doc_id", "lang").distinct().withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_class)
+    picked = sample_by_hash(usable.select("doc_id", "lang").distinct(), "lang", defaultdict(lambda: per_class))
     rows = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), ["doc_id", "lang"])
 
     def bitmaps(batches):
