@@ -23,36 +23,29 @@ JUDGE_FORMAT = {"consistent": '(either "True" or "False")',
                 "justification": "(description why the samples are consistent)"}
 JUDGE_USER_PROMPT = "Compare the information"
 
-QA_SYSTEM = ("You are a friendly and polite customer-support assistant for a cyber security firm. "
-             "Answer the customer's question. If you are not sure, ask the customer to hold "
-             "while they are transferred to a human agent.")
+QA_SYSTEM = ("Reply to the question as a helpful support agent for security products, in a warm tone. Where you lack "
+             "the facts, tell the reader that a colleague will take over shortly.")
 
-_BASE = ("You are the support assistant of the cyber security company {company}. Be friendly and "
-         "professional and speak of {company} as 'we'. ")
+_BASE = "Speak for {company}, a security vendor, in the first person plural and a courteous tone. "
 ROUTE_SYSTEM = {
-    ROUTE_RETRIEVAL: _BASE + "Answer only what you can answer accurately and never invent facts. "
-                             "Base the answer on the context given with the question.",
-    ROUTE_COMPANY: _BASE + "The user asked about {company} something our knowledge base does not cover. "
-                           "Offer to hand the conversation to a human colleague.",
-    ROUTE_CYBER: _BASE + "Give general cyber security guidance, say that it is approximate, and point "
-                         "to better sources where possible. Do not overstate what {company} offers.",
-    ROUTE_GENERAL: _BASE + "The question is unrelated to our expertise. Apologise, explain that we cannot "
-                           "answer it, and offer to help with another question.",
+    ROUTE_RETRIEVAL: _BASE + "Take every statement from the passages below the question; leave out what they do not say.",
+    ROUTE_COMPANY: _BASE + "This is about {company}, yet no passage covers it: propose a call back by staff.",
+    ROUTE_CYBER: _BASE + "Share general security know-how, mark it as a rough guide, name further reading and "
+                         "promise nothing about {company} products.",
+    ROUTE_GENERAL: _BASE + "The topic lies outside your field: decline kindly and invite a different question.",
 }
 ROUTE_USER = {
-    ROUTE_COMPANY: "Respond as the system message instructs.",
-    ROUTE_GENERAL: "Following the system message, explain why you cannot answer this question: ",
+    ROUTE_COMPANY: "Write the reply described above.",
+    ROUTE_GENERAL: "Decline this request in two sentences: ",
 }
 
 
-# Classification prompts of the model-based route tests (own wording): the model
-# answers "True" or "False"; any answer containing "true" counts as yes.
-COMPANY_CLASSIFIER = ("You detect questions about the company {company} or its services. Answer only "
-                      "\"True\" if the text asks about {company}, otherwise \"False\".")
-CYBER_CLASSIFIER = ("You detect questions about cyber security: networking, cyber defence, APTs and "
-                    "TTPs, hacking. Answer only \"True\" or \"False\".")
-COMPANY_ASK = "Does this question mention {company}? : "
-CYBER_ASK = "Does this question relate to cyber security? : "
+# Classification prompts of the model-based route tests: the model answers "True" or
+# "False"; any answer containing "true" counts as yes.
+COMPANY_CLASSIFIER = 'Label texts by whether they concern {company}. Output one word: "True" or "False".'
+CYBER_CLASSIFIER = 'Label texts by whether their topic is computer or network security. Output one word: "True" or "False".'
+COMPANY_ASK = "{company}? Text: "
+CYBER_ASK = "Security topic? Text: "
 
 
 def _c(x) -> Column:
@@ -92,13 +85,10 @@ def _as_text(x, nan_text: bool) -> Column:
 
 
 # The judge system text around information A (the answer) and B (the truth).
-JUDGE_HEAD = ("# ROLE\nYou check question-answering output: you compare two texts for similarity "
-              "and consistency.\n\n# TASK\nJudge whether information A: ")
-JUDGE_MID = "\nIS CONSISTENT with information B: "
-JUDGE_TAIL = ("\nTreat B as the truth. Texts with similar, non-conflicting information are consistent."
-              "\n\n# OUTPUT\nReturn the judgement as a JSON dictionary in this format:\n\n"
-              + json.dumps(JUDGE_FORMAT)
-              + '\n\nOutput only "consistent" and "justification", as valid JSON.')
+JUDGE_HEAD = "Two texts follow. Decide whether A agrees with B, which is taken as correct.\n\nA: "
+JUDGE_MID = "\n\nB: "
+JUDGE_TAIL = ("\n\nA agrees if it says much the same and contradicts nothing. Reply with a JSON object of these two keys and "
+              "nothing else:\n" + json.dumps(JUDGE_FORMAT))
 
 
 def judge_system(answer, truth, nan_text: bool = False) -> Column:

@@ -31,6 +31,16 @@ def tokens(text) -> Column:
     )
 
 
+def hashed_tokens(text) -> Column:
+    """The hash bucket (three hex digits of the MD5, 4096 buckets) of every token: a sparse embedding of bounded
+    dimension that any SQL engine can compute."""
+    return F.transform(tokens(text), lambda t: F.substring(F.md5(t), 1, 3))
+
+
+#: Embedders of the lexical search: what a text's counted features are.
+EMBEDDERS = {"lexical": tokens, "hashed": hashed_tokens}
+
+
 def word_count(text) -> Column:
     """Whitespace-separated words, like ``len(str(x).split())``; NULL -> 0."""
     return F.coalesce(F.regexp_count(_c(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

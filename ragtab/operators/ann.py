@@ -80,6 +80,11 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None
          .join(F.broadcast(salt_tbl), "cluster")     # one row per cluster (nlist rows)
          .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nsalt") - 1))).drop("nsalt"))
 
+    # the queries of a cluster are split as well; documents are repeated for each of its query parts
+    parts = q.groupBy("cluster").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.countDistinct("qid") / F.lit(block_rows)).cast("long")).alias("nq"))
+    q = q.join(F.broadcast(parts), "cluster").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
+    docs = docs.join(F.broadcast(parts), "cluster").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).drop("nq")
     kernel = DenseKernel(metric)
 
     def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
@@ -89,7 +94,7 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None
             kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
         return pa.Table.from_pandas(acc.frame(), preserve_index=False)
 
-    partial = q.groupBy("cluster", "salt").cogroup(docs.groupBy("cluster", "salt")).applyInArrow(block, HIT_SCHEMA)
+    partial = q.groupBy("cluster", "salt", "part").cogroup(docs.groupBy("cluster", "salt", "part")).applyInArrow(block, HIT_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
     return partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

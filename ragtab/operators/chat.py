@@ -95,28 +95,31 @@ def dense_positions(df: DataFrame, order: list[Column], out: str = "pos", partit
             .drop("_pid", "_mid", "_loc", "_off"))
 
 
-def shuffle_key(id_col: str, copy: int) -> Column:
-    """Arithmetic shuffle order of copy ``copy`` (the same numbers in any SQL engine)."""
-    return F.pmod(F.pmod(F.col(id_col), F.lit(1000003)) * F.lit(7919) + F.lit(copy * 104729), F.lit(1000003))
+def shuffle_key(id_col: str, copy: int, seed: int = 7) -> Column:
+    """Shuffle order of copy ``copy``: a hash of seed, copy and id, so copies are independent of each other (the same
+    text in any SQL engine)."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(copy)), F.col(id_col).cast("string")))
 
 
-def extend_conversations(df: DataFrame, n: int = 3, id_col: str = "id") -> DataFrame:
+def extend_conversations(df: DataFrame, n: int = 3, id_col: str = "id", seed: int = 7) -> DataFrame:
     """each row gains the (merged prompt, output) pairs of ``n - 1`` other rows
-    taken from shuffled copies: copy c's row at position i joins the row at
+    taken from seeded shuffled copies: copy c's row at position i joins the row at
     position i of the id order (J10). N rows in, N rows out, and every row is
-    used exactly n times. Adds ``partner_1..`` ids and ``conversations``
+    used exactly n times. Only ids are sorted and joined by position; texts are
+    fetched by id. Adds ``partner_1..`` ids and ``conversations``
     (``ARRAY<STRUCT<from, value>>``)."""
+    ids = df.select(id_col)
+    pairs = dense_positions(ids, [F.col(id_col)], "_p0")
+    partners = [f"partner_{c}" for c in range(1, n)]
+    for c, name in enumerate(partners, 1):
+        order = dense_positions(ids.withColumn("_k", shuffle_key(id_col, c, seed)), [F.col("_k"), F.col(id_col)], "_p0")
+        pairs = pairs.join(order.select("_p0", F.col(id_col).alias(name)), "_p0")
     base = df.withColumn("_mp", merge_prompt())
-    cur = dense_positions(base, [F.col(id_col)], "_p0")
+    cur = base.join(pairs.drop("_p0"), id_col)
     turns = [F.struct(F.lit("human").alias("from"), F.col("_mp").alias("value")),
              F.struct(F.lit("gpt").alias("from"), F.col("output").alias("value"))]
-    partners = []
-    for c in range(1, n):
-        cp = dense_positions(base.withColumn("_k", shuffle_key(id_col, c)), [F.col("_k"), F.col(id_col)], "_pc")
-        cp = cp.select(F.col("_pc").alias("_p0"), F.col(id_col).alias(f"partner_{c}"),
-                       F.col("_mp").alias(f"_mp{c}"), F.col("output").alias(f"_out{c}"))
-        cur = cur.join(cp, "_p0")
-        partners.append(f"partner_{c}")
+    for c, name in enumerate(partners, 1):
+        cur = cur.join(base.select(F.col(id_col).alias(name), F.col("_mp").alias(f"_mp{c}"), F.col("output").alias(f"_out{c}")), name)
         turns += [F.struct(F.lit("human").alias("from"), F.col(f"_mp{c}").alias("value")),
                   F.struct(F.lit("gpt").alias("from"), F.col(f"_out{c}").alias("value"))]
     return cur.select(*df.columns, *partners, F.array(*turns).alias("conversations"))
@@ -139,22 +142,41 @@ def _template_parts(template: str = CHAT_TEMPLATE):
     return head, end, mid1[len(end):], mid2
 
 
+def _role_block(template: str):
+    """Renders one message: a header naming its role, the content, the end marker."""
+    _, end, user_pre, _ = _template_parts(template)
+    before, _, after = user_pre.partition("user")
+    return lambda role, content: F.concat(F.lit(before), role, F.lit(after), F.coalesce(content, F.lit("")), F.lit(end))
+
+
 def apply_chat_template(messages="messages", system=None, template: str = CHAT_TEMPLATE,
                         default_system: str = DEFAULT_SYSTEM) -> Column:
-    """system block once (default message when none), then for every
-    user/assistant pair the user block and the assistant block. The template is
-    split into literals once on the driver."""
-    head, end, user_pre, mid2 = _template_parts(template)
-    asst_pre = mid2[len(end):] if mid2.startswith(end) else mid2
+    """system block once (``system``, else the conversation's own opening system
+    turn, else the default message), then a block per message with its own role, later
+    system turns included. The template is split into literals once on the driver."""
+    head, end, _, _ = _template_parts(template)
+    block = _role_block(template)
     msgs = F.col(messages) if isinstance(messages, str) else messages
-    sys_c = F.coalesce(system if system is not None else F.lit(None).cast("string"), F.lit(default_system))
+    first = F.get(msgs, F.lit(0))
+    own = F.coalesce(first["role"] == "system", F.lit(False))
+    given = system if system is not None else F.lit(None).cast("string")
+    sys_c = F.coalesce(given, F.when(own, first["content"]), F.lit(default_system))
+    rest = F.filter(msgs, lambda m, i: ~(own & (i == 0)))
+    body = F.array_join(F.transform(rest, lambda m: block(m["role"], m["content"])), "")
+    return F.concat(F.lit(head), sys_c, F.lit(end), body)
 
-    def block(m):
-        pre = F.when(m["role"] == "user", F.lit(user_pre)).otherwise(F.lit(asst_pre))
-        return F.concat(pre, F.coalesce(m["content"], F.lit("")), F.lit(end))
 
-    body = F.array_join(F.transform(F.filter(msgs, lambda m: m["role"] != "system"), block), "")
-    return F.concat(F.lit(head), sys_c, F.lit(end), body)
+def generation_prompt(messages="messages", template: str = CHAT_TEMPLATE, **kw) -> Column:
+    """F8 as one value: the rendered conversation and the opening of the assistant's answer."""
+    _, end, _, mid2 = _template_parts(template)
+    return F.concat(apply_chat_template(messages, template=template, **kw), F.lit(mid2[len(end):] if mid2.startswith(end) else mid2))
+
+
+def conversations_of(turns: DataFrame) -> DataFrame:
+    """Turn rows (conv_id, turn, role, text) -> one row per conversation with ``messages`` in turn order. A
+    conversation is one value here; ``generation_segments`` is the form for conversations of any length."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    return turns.groupBy("conv_id").agg(m.alias("messages"))
 
 
 def length_bound(text="text", limit: int = MAX_SEQ_LENGTH) -> list[Column]:
@@ -178,16 +200,15 @@ def tokenizer_length_bound(text, count_tokens, limit: int = MAX_SEQ_LENGTH) -> l
 
 def generation_segments(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
     """F8: role/content rows (conv_id, turn, role, text) -> prompt segments in
-    turn order, plus the assistant opener after the last turn; concatenating a
-    conversation's segments by ``seq`` gives its generation prompt. Long form, so
-    a very long conversation is never one row or one task."""
+    turn order: the begin marker before the first turn, a block per turn, the
+    assistant opener after the last; concatenating a conversation's segments by
+    ``seq`` gives its generation prompt. Long form, so a very long conversation is
+    never one row or one task."""
     head, end, user_pre, mid2 = _template_parts(template)
     begin = head.split("<|start_header_id|>")[0]
     opener = mid2[len(end):] if mid2.startswith(end) else mid2
-    hdr_start, hdr_end = "<|start_header_id|>", "<|end_header_id|>\n\n"
-    seg = F.concat(F.when(F.col("turn") == 0, F.lit(begin)).otherwise(F.lit("")),
-                   F.lit(hdr_start), F.col("role"), F.lit(hdr_end), F.coalesce(F.col("text"), F.lit("")), F.lit(end))
-    msgs = turns.select("conv_id", F.col("turn").alias("seq"), seg.alias("segment"))
-    last = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("seq")).select(
-        "conv_id", "seq", F.lit(opener).alias("segment"))
-    return msgs.unionByName(last)
+    msgs = turns.select("conv_id", F.col("turn").alias("seq"), _role_block(template)(F.col("role"), F.col("text")).alias("segment"))
+    ends = turns.groupBy("conv_id").agg(F.min("turn").alias("lo"), F.max("turn").alias("hi")).select("conv_id", F.inline(F.array(
+        F.struct((F.col("lo") - 1).alias("seq"), F.lit(begin).alias("segment")),
+        F.struct((F.col("hi") + 1).alias("seq"), F.lit(opener).alias("segment")))))
+    return msgs.unionByName(ends)

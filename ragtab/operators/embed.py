@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ragtab.functions.text import TOKEN_PATTERN, tokens
+from ragtab.functions.text import tokens
 
 
 def fit_hashing_embedder(corpus: DataFrame, text: str = "question", num_features: int = 1 << 12) -> PipelineModel:
@@ -44,22 +45,18 @@ def embed_batch(df: DataFrame, fn: Callable[[pd.Series], pd.Series], text: str =
 
 @F.pandas_udf(DoubleType())
 def pandas_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    """X2 example: token Jaccard of two texts per row in Arrow batches (same
-    tokens as the JVM pattern)."""
-    import regex
-
-    pat = regex.compile(TOKEN_PATTERN)
-
-    def toks(x):
-        return set(pat.findall(x.lower())) if isinstance(x, str) else set()
-
-    out = []
-    for x, y in zip(a, b):
-        sa, sb = toks(x), toks(y)
-        u = len(sa | sb)
-        out.append(len(sa & sb) / u if u else 0.0)
-    return pd.Series(out, dtype="float64")
+    """X2 example: Jaccard of two token columns on whole Arrow batches, without a loop
+    over rows."""
+    n = len(a)
+    rows = [pd.Series(x.to_numpy(), index=np.arange(n)).explode().dropna() for x in (a, b)]
+    codes, _ = pd.factorize(pd.concat([r.astype(str) for r in rows], ignore_index=True))
+    row = np.concatenate([r.index.to_numpy(np.int64) for r in rows])
+    side = np.repeat([1, 2], [len(r) for r in rows])
+    seen = pd.DataFrame({"row": row, "code": codes, "side": side}).drop_duplicates().groupby(["row", "code"])["side"].sum().reset_index()
+    union = np.bincount(seen["row"], minlength=n)
+    both = np.bincount(seen["row"][seen["side"] == 3], minlength=n)
+    return pd.Series(np.where(union > 0, both / np.maximum(union, 1), 0.0))
 
 
 def pandas_pair_score(query_text: Column, doc_text: Column) -> Column:
-    return pandas_jaccard(query_text, doc_text)
+    return pandas_jaccard(tokens(query_text), tokens(doc_text))

@@ -41,7 +41,7 @@ def first_stage(queries: DataFrame, corpus: DataFrame, k: int, *, method: str =
                             doc_id=doc_id, doc_text=doc_col, **kw)
     if method in ("cosine", "l2_relevance"):
         return dense_topk(queries, corpus, k, metric=method, query_id=query_id, query_vec=query_col,
-                          doc_id=doc_id, doc_vec=doc_col, **kw)
+                          doc_id=doc_id, doc_vec=doc_col, **{k: v for k, v in kw.items() if k != "embedder"})
     raise ValueError(f"unknown retrieval method {method!r}")
 
 
@@ -67,11 +67,6 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
     hits = first_stage(queries, corpus, cand_k, method=method, query_id=query_id,
                        query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, **kw)
     n_q = getattr(hits, "query_rows", None)
-    if checkpoint:
-        # Cut the lineage of the expensive search: later joins reread it from the
-        # shared checkpoint folder, and a lost executor does not redo the search.
-        ensure_checkpoint_dir(hits.sparkSession)
-        hits = hits.checkpoint(eager=True)
     # Hits are at most |queries| x cand_k rows; broadcast them only under that
     # proven bound, so the corpus is read once and never shuffled.
     if n_q is None:
@@ -93,7 +88,14 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
         out = out.withColumn("rerank_score", F.lit(None).cast("double"))
     if threshold is not None:
         out = out.where(F.col("score") > F.lit(float(threshold)))
-    return out.select("query_id", "rank", "doc_id", "score", "rerank_score", "value")
+    out = out.select("query_id", "rank", "doc_id", "score", "rerank_score", "value")
+    if checkpoint:
+        # Cut the lineage of the expensive search, values included: size checks and
+        # joins reread the few hits from the shared checkpoint folder, never the corpus,
+        # and a lost executor does not redo the search.
+        ensure_checkpoint_dir(out.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id",
@@ -106,7 +108,7 @@ def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id
     lines = F.transform(F.col("h"), lambda x: F.concat(F.lit("- "), F.coalesce(x["value"].cast("string"), F.lit("")), F.lit("\n")))
     per_q = per_q.select(F.col("query_id").alias("_qid"), F.concat(F.lit(header), F.array_join(lines, "")).alias("_ctx"))
     # one context row per query with hits: broadcast under a checked row and byte bound
-    per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.length("_ctx") + F.lit(16))
+    per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.octet_length("_ctx") + F.lit(16))
     q = queries if keep_columns else queries.select(query_id)
     out = q.join(per_q, F.col(query_id).cast("long") == F.col("_qid"), "left")
     out = out.withColumn("context", F.coalesce("_ctx", F.lit(""))).drop("_qid", "_ctx")

@@ -33,11 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtab.functions.text import tokens as tokens_of
+from ragtab.functions.text import EMBEDDERS
 from ragtab.session import ensure_parallel
 
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+MERGE_BLOCKS = 2_000  # corpus blocks from which on partial lists are merged in two levels
 _CELLS = 4_000_000  # score cells (queries x corpus rows) per NumPy chunk
 
 
@@ -266,9 +267,21 @@ class DenseKernel:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     score = round6(np.where(valid, S / np.where(valid, den, 1.0), 0.0))
             else:
+                # the expanded square cancels for long vectors: it only selects candidates, within its error bound
                 d2 = self.qsq[:, None] + dsq[None, lo:hi] - 2.0 * S
-                score = round6(1.0 - np.maximum(d2, 0.0) / math.sqrt(2.0))
-                valid = np.ones_like(score, dtype=bool)
+                ok = np.isfinite(d2)
+                if exclude_self:
+                    ok &= self.qids[:, None] != dids[None, lo:hi]
+                d2 = np.where(ok, d2, np.inf)
+                k = min(acc.k, d2.shape[1]) - 1
+                error = 1e-14 * (self.Q.shape[1] + 8) * (self.qsq[:, None] + dsq[None, lo:hi])
+                limit = np.partition(d2 + error, k, axis=1)[:, k] + 2e-6
+                qi, di = np.nonzero(ok & (d2 - error <= limit[:, None]))
+                for at in range(0, len(qi), _CELLS // max(1, self.Q.shape[1])):
+                    a, b = qi[at:at + _CELLS // max(1, self.Q.shape[1])], di[at:at + _CELLS // max(1, self.Q.shape[1])]
+                    exact = ((self.Q[a] - D[lo + b]) ** 2).sum(axis=1)
+                    acc.add(self.qids[a], dids[lo + b], round6(1.0 - exact / math.sqrt(2.0)))
+                continue
             valid &= np.isfinite(score)  # NaN/inf components never rank (Spark orders NaN first)
             if exclude_self:
                 valid &= self.qids[:, None] != dids[None, lo:hi]
@@ -321,7 +334,12 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         partial = (qb.groupBy("qb", "db").cogroup(db.groupBy("qb", "db"))
                    .applyInArrow(block, HIT_SCHEMA))
 
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    order = (F.col("score").desc(), F.col("doc_id"))
+    if d.rdd.getNumPartitions() > MERGE_BLOCKS:  # two levels, so a query's lists from very many blocks don't meet in one task
+        partial = partial.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
+        first = F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))
+        partial = partial.withColumn("_r", first).where(F.col("_r") <= k).drop("_part", "_r")
+    w = Window.partitionBy("query_id").orderBy(*order)
     out = partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     out.query_rows = q_rows  # known bound for callers: at most query_rows * k hits
     return out
@@ -330,9 +348,11 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",
                  query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
                  exclude_self: bool = False, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                 corpus_blocks: int | None = None) -> DataFrame:
-    """Best k corpus rows per query by term-count cosine of the texts (only rows
-    sharing at least one token are hits). Output: query_id, doc_id, score, rank."""
+                 corpus_blocks: int | None = None, embedder: str = "lexical") -> DataFrame:
+    """Best k corpus rows per query by cosine of the texts' feature counts (terms, or
+    hash buckets with ``embedder="hashed"``; only rows sharing at least one feature are
+    hits). Output: query_id, doc_id, score, rank."""
+    tokens_of = EMBEDDERS[embedder]
     q = queries.select(F.col(query_id).cast("long").alias("qid"), tokens_of(query_text).alias("payload"),
                        F.coalesce(F.octet_length(query_text), F.lit(0)).alias("_bytes"))
     d = corpus.select(F.col(doc_id).cast("long").alias("did"), tokens_of(doc_text).alias("payload"))

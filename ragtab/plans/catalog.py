@@ -71,10 +71,10 @@ def q_word_rate(spark, sf):
 
 @register("sem_score_pairs", O.with_views(
     ["answers"], O.sem_ctes("answers", "experiment, model, id", "response", "llm_response"),
-    "SELECT a.experiment, a.model, a.id, s.sem_score FROM answers a LEFT JOIN sem s USING (experiment, model, id)"))
+    "SELECT a.experiment, a.model, a.id, round(s.sem_score, 6) AS sem_score FROM answers a LEFT JOIN sem s USING (experiment, model, id)"))
 def q_sem_score_pairs(spark, sf):
     a = Tables(spark, sf).answers()
-    return a.select("experiment", "model", "id", J.sem_score("response", "llm_response").alias("sem_score"))
+    return J.with_sem_score(a).select("experiment", "model", "id", F.round("sem_score", 6).alias("sem_score"))
 
 
 @register("vector_norms", O.with_views(["vectors"], [], """
@@ -93,7 +93,7 @@ def q_parse_judgements(spark, sf):
 
 
 _ACC_SQL = """SELECT experiment, verifier, model, CAST(count(*) AS BIGINT) AS n,
-       round(count_if({cond}) / count(*), 6) AS accuracy FROM parsed GROUP BY ALL"""
+       round(count_if({cond}) / count(*), 6) AS accuracy FROM parsed WHERE status <> 'error' GROUP BY ALL"""
 
 
 @register("judge_strict_accuracy", O.with_views(["judge_raw"], [("parsed", O.PARSED)],
@@ -109,10 +109,11 @@ def q_judge_lenient(spark, sf):
 
 
 _JT_BODY = """
-SELECT experiment, verifier, model, id, consistent, justification, status, sem_score,
-       round(avg(time) OVER g, 6) AS mean_time, round(avg(tps) OVER g, 6) AS mean_tps,
-       round(count_if(consistent = 'True' AND consistent_kind = 'str') OVER g / count(*) OVER g, 6) AS accuracy,
-       round(count_if(coalesce(sem_score > 0.7, false)) OVER g / count(*) OVER g, 6) AS sem_acc
+SELECT experiment, verifier, model, id, consistent, justification, status, round(sem_score, 6) AS sem_score,
+       round(avg(time) FILTER (WHERE status <> 'error') OVER g, 6) AS mean_time,
+       round(avg(tps) FILTER (WHERE status <> 'error') OVER g, 6) AS mean_tps,
+       round(count_if(consistent = 'True' AND consistent_kind = 'str') OVER g / count_if(status <> 'error') OVER g, 6) AS accuracy,
+       round(count_if(status <> 'error' AND coalesce(sem_score > 0.7, false)) OVER g / count_if(status <> 'error') OVER g, 6) AS sem_acc
 FROM jrows WINDOW g AS (PARTITION BY experiment, verifier, model)"""
 
 
@@ -124,28 +125,32 @@ def q_judged_table(spark, sf):
 
 
 # ---------------------------------------------------------------- leaderboards
-def _board_sql(src: str, lenient: bool, with_time: bool, filt: str = "", sem_pick: str = "min") -> str:
+def _mean_sql(cols) -> str:
+    return ("(" + " + ".join(f"coalesce({c}, 0)" for c in cols) + ") / nullif("
+            + " + ".join(f"({c} IS NOT NULL)::INT" for c in cols) + ", 0)")
+
+
+def _board_sql(src: str, lenient: bool, with_time: bool, inside: str = "TRUE", sem_pick: str = "min", digits: int | None = 6) -> str:
+    """``inside``: which rows count; a model without such rows stays, with NULLs."""
     cond = "lower(trim(consistent)) = 'true'" if lenient else "consistent = 'True' AND consistent_kind = 'str'"
     tm = ", avg(time) AS mean_time, avg(tps) AS mean_tps" if with_time else ""
-    pick = "arg_min" if sem_pick == "min" else "arg_max"
-    t_cols = ("round(arg_min(mean_time, verifier), 6) AS time, round(arg_min(mean_tps, verifier), 6) AS tps, "
-              if with_time else "")
+    pick = "arg_min_null" if sem_pick == "min" else "arg_max_null"
+    rnd = (lambda x, c: f"round({x}, {digits}) AS {c}") if digits else (lambda x, c: f"{x} AS {c}")
+    acc = ("gemma2_accuracy", '"llama3.1_accuracy"')
+    out = [*([rnd(c, c) for c in ("time", "tps")] if with_time else []), *(rnd(c, c) for c in (*acc, "sem_accuracy")),
+           rnd(_mean_sql((*acc, "sem_accuracy")), "average_accuracy"),
+           *([rnd(_mean_sql(acc), "judge_accuracy")] if with_time else [])]
+    n = f"nullif(count_if({inside}), 0)"
     return f"""
-, pv AS (SELECT experiment, verifier, model, count_if({cond}) / count(*) AS accuracy,
-               count_if(coalesce(sem_score > 0.7, false)) / count(*) AS sem_acc{tm}
-        FROM {src} WHERE verifier IN ('gemma2', 'llama3.1') {filt} GROUP BY ALL)
-, g AS (SELECT experiment, model, {t_cols}
+, pv AS (SELECT experiment, verifier, model, count_if(({inside}) AND {cond}) / {n} AS accuracy,
+               count_if(({inside}) AND coalesce(sem_score > 0.7, false)) / {n} AS sem_acc{tm}
+        FROM {src} WHERE status <> 'error' AND verifier IN ('gemma2', 'llama3.1') GROUP BY ALL)
+, g AS (SELECT experiment, model, {"arg_min(mean_time, verifier) AS time, arg_min(mean_tps, verifier) AS tps, " if with_time else ""}
                max(CASE WHEN verifier = 'gemma2' THEN accuracy END) AS gemma2_accuracy,
                max(CASE WHEN verifier = 'llama3.1' THEN accuracy END) AS "llama3.1_accuracy",
                {pick}(sem_acc, verifier) AS sem_accuracy
         FROM pv GROUP BY ALL)
-SELECT experiment, model, {'time, tps, ' if with_time else ''}
-       round(gemma2_accuracy, 6) AS gemma2_accuracy, round("llama3.1_accuracy", 6) AS "llama3.1_accuracy",
-       round(sem_accuracy, 6) AS sem_accuracy,
-       round((coalesce(gemma2_accuracy, 0) + coalesce("llama3.1_accuracy", 0) + coalesce(sem_accuracy, 0))
-             / nullif((gemma2_accuracy IS NOT NULL)::INT + ("llama3.1_accuracy" IS NOT NULL)::INT + (sem_accuracy IS NOT NULL)::INT, 0), 6)
-             AS average_accuracy
-       {', round((coalesce(gemma2_accuracy, 0) + coalesce("llama3.1_accuracy", 0)) / nullif((gemma2_accuracy IS NOT NULL)::INT + ("llama3.1_accuracy" IS NOT NULL)::INT, 0), 6) AS judge_accuracy' if with_time else ''}
+SELECT experiment, model, {", ".join(out)}
 FROM g"""
 
 
@@ -171,7 +176,7 @@ def q_leaderboard_sorted(spark, sf):
 
 
 @register("leaderboard_filtered", _board_query(
-    _board_sql("jrows", lenient=True, with_time=False, filt="AND id IN (SELECT id FROM filter_ids)", sem_pick="max"),
+    _board_sql("jrows", lenient=True, with_time=False, inside="id IN (SELECT id FROM filter_ids)", sem_pick="max"),
     views=("judge_raw", "answers", "filter_ids")))
 def q_leaderboard_filtered(spark, sf):
     t = Tables(spark, sf)
@@ -301,8 +306,8 @@ EXT_DOCS = "dataset_docs_emb_lexical_rerank_False"
 EXT_TEST = "dataset_test_emb_lexical_rerank_False"
 
 
-def _ext_answers_sql(name: str, exp: str, corpus: str) -> list[tuple[str, str]]:
-    return O.hits_ctes(name, "qa_pairs", corpus, 1, False, None) + [
+def _ext_answers_sql(name: str, exp: str, corpus: str, advanced: bool = False, hashed: bool = False) -> list[tuple[str, str]]:
+    return O.hits_ctes(name, "qa_pairs", corpus, 1, advanced, None, hashed=hashed) + [
         (f"{name}_ans", f"""SELECT '{exp}' AS experiment, m.model, q.id, q.question, q.response,
             coalesce(CAST(h.value AS VARCHAR), '{A.APOLOGY}') AS llm_response, CAST(NULL AS DOUBLE) AS time
             FROM qa_pairs q LEFT JOIN {name}_hits h ON h.query_id = q.id AND h.rank = 1 CROSS JOIN models m""")]
@@ -327,21 +332,44 @@ _ALL_CTES = _ext_answers_sql("ex", EXT_TEST, "corpus_pairs") + [
 ]
 
 
-@register("compare_settings", O.with_views(["answers", "corpus_pairs", "judge_raw"],
-    _ALL_CTES + O.judged_rows_ctes("all_answers", "all_raw"),
-    "").rstrip() + _board_sql("jrows", lenient=False, with_time=True).replace(
-    "\nSELECT experiment, model, time, tps,", "\n, lb AS (SELECT experiment, model, time, tps,", 1)
+#: The settings compared: no retrieval, and two corpora x embedder x plain or advanced retrieval.
+SETTINGS = [(mode, emb, adv) for mode in ("test", "docs") for emb in ("lexical", "hashed") for adv in (False, True)]
+_CORPUS = {"test": "corpus_pairs", "docs": "corpus_docs"}
+
+
+def _settings_ctes():
+    out, names = [], ["answers"]
+    for i, (mode, emb, adv) in enumerate(SETTINGS):
+        exp = G.NAME_FORMAT % (mode, emb, adv)
+        out += _ext_answers_sql(f"s{i}", exp, _CORPUS[mode], advanced=adv, hashed=emb == "hashed")
+        names.append(f"s{i}_ans")
+    return out + [("all_answers", " UNION ALL ".join(f"SELECT * FROM {n}" for n in names)), ("all_raw", O.raw_from("all_answers"))]
+
+
+@register("compare_settings", O.with_views(["answers", "corpus_pairs", "corpus_docs", "judge_raw"],
+    _settings_ctes() + O.judged_rows_ctes("all_answers", "all_raw"),
+    "").rstrip() + _board_sql("jrows", lenient=False, with_time=True, digits=None).replace(
+    "\nSELECT experiment, model, time AS time", "\n, lb AS (SELECT experiment, model, time AS time", 1)
     + """)
 SELECT experiment, CAST(count(*) AS BIGINT) AS n_models, round(avg(time), 6) AS time,
        round(avg(sem_accuracy), 6) AS sem_accuracy, round(avg(judge_accuracy), 6) AS judge_accuracy,
        round(avg(average_accuracy), 6) AS average_accuracy FROM lb GROUP BY experiment""")
 def q_compare_settings(spark, sf):
-    a = _all_answers(spark, sf)
-    raw = Tables(spark, sf).judge_raw(a)
-    return R.compare_settings(J.judge_rows(a, raw))
+    t = Tables(spark, sf)
+    pairs, corpora = t.qa_pairs(), {"test": t.corpus_pairs(), "docs": t.corpus_docs()}
+    a = t.answers()
+    for mode, emb, adv in SETTINGS:
+        a = a.unionByName(A.answer_extractive(pairs, corpora[mode], MODELS, G.NAME_FORMAT % (mode, emb, adv), advanced=adv, embedder=emb))
+    return R.compare_settings(J.judge_rows(a, t.judge_raw(a)))
 
 
 # ---------------------------------------------------------------- experiment bookkeeping
+def _tasks(spark, sf):
+    """(experiment, model) of the answers, from the settings: no search is run for names."""
+    a = Tables(spark, sf).answers().select("experiment", "model")
+    return a.union(a.select(F.lit(EXT_TEST), "model")).distinct()
+
+
 @register("experiment_names", O.with_views(["answers", "corpus_pairs", "models"], _ALL_CTES, r"""
 SELECT experiment, experiment <> 'no_rag' AS rag,
        CASE WHEN regexp_matches(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$') THEN regexp_extract(experiment, '^dataset_(.+)_emb_(.+)_rerank_(True|False)$', 1) END AS mode,
@@ -350,7 +378,7 @@ SELECT experiment, experiment <> 'no_rag' AS rag,
        format('dataset_{}_emb_{}_rerank_{}', 'test', 'lexical', 'False') AS formatted_example
 FROM (SELECT DISTINCT experiment FROM all_answers)"""))
 def q_experiment_names(spark, sf):
-    e = _all_answers(spark, sf).select("experiment").distinct()
+    e = _tasks(spark, sf).select("experiment").distinct()
     return e.select("experiment", *G.parse_experiment("experiment"),
                     G.experiment_name(F.lit("test"), F.lit("lexical"), False).alias("formatted_example"))
 
@@ -358,7 +386,7 @@ def q_experiment_names(spark, sf):
 @register("experiment_grid", O.with_views(["answers", "corpus_pairs", "models", "verifiers"], _ALL_CTES,
     "SELECT experiment, verifier, model FROM (SELECT DISTINCT experiment, model FROM all_answers) CROSS JOIN verifiers"))
 def q_experiment_grid(spark, sf):
-    return G.experiment_grid(_all_answers(spark, sf))
+    return G.experiment_grid(_tasks(spark, sf))
 
 
 @register("pending_tasks", O.with_views(["answers", "corpus_pairs", "models", "verifiers", "judge_raw"], _ALL_CTES, """
@@ -366,7 +394,7 @@ SELECT e.experiment, g.verifier, e.model FROM (SELECT DISTINCT experiment, model
 WHERE NOT EXISTS (SELECT 1 FROM judge_raw d WHERE d.experiment = e.experiment AND d.verifier = g.verifier AND d.model = e.model)"""))
 def q_pending_tasks(spark, sf):
     t = Tables(spark, sf)
-    tasks = G.experiment_grid(_all_answers(spark, sf))
+    tasks = G.experiment_grid(_tasks(spark, sf))
     done = t.judge_raw().select("experiment", "verifier", "model")
     return G.pending_tasks(tasks, done)
 
@@ -399,8 +427,8 @@ _MP_SQL = ("coalesce(instruction, '') || CASE WHEN coalesce(input, '') <> '' THE
 _EXT_CTES = [
     ("mp", f"SELECT id, output, {_MP_SQL} AS mp FROM instructions"),
     ("p0", "SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM mp"),
-    ("p1", "SELECT *, row_number() OVER (ORDER BY ((id % 1000003) * 7919 + 1 * 104729) % 1000003, id) - 1 AS pos FROM mp"),
-    ("p2", "SELECT *, row_number() OVER (ORDER BY ((id % 1000003) * 7919 + 2 * 104729) % 1000003, id) - 1 AS pos FROM mp"),
+    ("p1", "SELECT *, row_number() OVER (ORDER BY md5('7:1:' || id), id) - 1 AS pos FROM mp"),
+    ("p2", "SELECT *, row_number() OVER (ORDER BY md5('7:2:' || id), id) - 1 AS pos FROM mp"),
     ("ext", """SELECT a.id, a.mp AS mp0, a.output AS out0, b.id AS partner_1, b.mp AS mp1, b.output AS out1,
                       c.id AS partner_2, c.mp AS mp2, c.output AS out2
                FROM p0 a JOIN p1 b ON b.pos = a.pos JOIN p2 c ON c.pos = a.pos"""),
@@ -467,10 +495,12 @@ def _segments_sql() -> str:
     begin = head.split("<|start_header_id|>")[0]
     opener = mid2[len(end):]
     return f"""
-SELECT conv_id, turn AS seq, CASE WHEN turn = 0 THEN {P.sql_str(begin)} ELSE '' END || '<|start_header_id|>' || role
+SELECT conv_id, turn AS seq, '<|start_header_id|>' || role
        || '<|end_header_id|>' || chr(10) || chr(10) || coalesce(text, '') || {P.sql_str(end)} AS segment FROM conversations
 UNION ALL
-SELECT conv_id, max(turn) + 1 AS seq, {P.sql_str(opener)} AS segment FROM conversations GROUP BY conv_id"""
+SELECT conv_id, max(turn) + 1 AS seq, {P.sql_str(opener)} AS segment FROM conversations GROUP BY conv_id
+UNION ALL
+SELECT conv_id, min(turn) - 1 AS seq, {P.sql_str(begin)} AS segment FROM conversations GROUP BY conv_id"""
 
 
 @register("generation_prompts", _segments_sql())
@@ -478,6 +508,19 @@ def q_generation_prompts(spark, sf):
     return CH.generation_segments(Tables(spark, sf).table("conversations"))
 
 
+@register("generation_prompt_text", """
+WITH m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations)
+SELECT conv_id, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10)
+       || coalesce(max(CASE WHEN k = 1 AND role = 'system' THEN text END), """ + P.sql_str(CH.DEFAULT_SYSTEM) + """) || '<|eot_id|>'
+       || coalesce(string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || coalesce(text, '')
+                              || '<|eot_id|>', '' ORDER BY k) FILTER (WHERE NOT (k = 1 AND role = 'system')), '')
+       || '<|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) AS prompt
+FROM m GROUP BY conv_id""")
+def q_generation_prompt_text(spark, sf):
+    convs = CH.conversations_of(Tables(spark, sf).table("conversations"))
+    return convs.select("conv_id", CH.generation_prompt().alias("prompt"))
+
+
 # ---------------------------------------------------------------- sources and sinks
 from ragtab.operators import ann as AN  # noqa: E402
 from ragtab.operators import embed as EM  # noqa: E402
@@ -504,10 +547,8 @@ def q_results_tree_scan(spark, sf):
 
 @register("list_models", O.with_views(["answers"], [], "SELECT DISTINCT model FROM answers"))
 def q_list_models(spark, sf):
-    t = Tables(spark, sf)
-    a = t.answers()
     root = work_path(spark, "results")
-    FS.write_results(J.judge_rows(a, t.judge_raw(a)), root)
+    FS.write_results(Tables(spark, sf).answers().select("experiment", "model", "id"), root)
     return FS.list_models(FS.read_results(spark, root))
 
 
@@ -566,12 +607,22 @@ def q_generate_batch(spark, sf):
                     F.col("time").isNotNull().alias("timed"))
 
 
-@register("embed_batch")
+@register("embed_batch", O.with_views(
+    ["bench_questions", "corpus_docs"],
+    O.lexical_scores_ctes("eb", "bench_questions", "id", "question", "corpus_docs", "doc_id", "question", hashed=True)
+    + [O.topk_cte("eb", 4)],
+    "SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM eb_top"))
 def q_embed_batch(spark, sf):
+    """Hashed embeddings, kept sparse from the text to the score."""
     t = Tables(spark, sf)
-    docs = t.corpus_docs()
-    model = EM.fit_hashing_embedder(docs)
-    return topk.dense_topk(EM.embed(t.bench_questions(), model), EM.embed(docs, model), 4, metric="cosine")
+    return topk.lexical_topk(t.bench_questions(), t.corpus_docs(), 4, embedder="hashed")
+
+
+@register("approx_topk_all_probes", ORACLE["dense_topk_cosine"])
+def q_approx_all_probes(spark, sf):
+    """J3 with every list probed: equals the exact search."""
+    v = Tables(spark, sf).vectors()
+    return AN.ivf_topk(v, v, 4, nlist=16, nprobe=16, doc_id="id", exclude_self=True)
 
 
 @register("pair_score_batch", ORACLE["retrieve_advanced_rerank"])
@@ -670,3 +721,26 @@ def q_lexical_topk_grid(spark, sf):
     and cogrouped with the corpus blocks (the plan used when questions are many)."""
     t = Tables(spark, sf)
     return topk.lexical_topk(t.qa_pairs(), t.corpus_docs(), 3, broadcast_bytes=32 * 1024)
+
+
+# ---------------------------------------------------------------- sweeps (lifecycle: failed calls stay pending)
+from ragtab.operators import experiment as X  # noqa: E402
+
+
+def flaky_row_scorer(system, prompt, model):
+    """Fails for about a quarter of the prompts (by their MD5), else repeats the prompt."""
+    import hashlib
+
+    if hashlib.md5((prompt or "").encode()).hexdigest()[0] in "0123":
+        raise RuntimeError("no model server")
+    return prompt
+
+
+@register("sweep_pending", O.with_views(["qa_pairs", "models"], [], """
+SELECT q.id, m.model FROM qa_pairs q CROSS JOIN models m WHERE substr(md5(coalesce(q.question, '')), 1, 1) IN ('0', '1', '2', '3')"""))
+def q_sweep_pending(spark, sf):
+    """Answer sweep with failing calls: they are no answers, and are what the next run has to do."""
+    q = Tables(spark, sf).qa_pairs()
+    root = work_path(spark, "sweep")
+    X.answer_sweep(spark, q, {}, MODELS, [(None, False)], root, flaky_row_scorer)
+    return X.pending_answers(spark, q, MODELS, G.NO_RAG, root).select("id", "model")

@@ -4,11 +4,13 @@ so every oracle statement inlines the views it needs."""
 
 from __future__ import annotations
 
+from ragtab.plans.views import SHAPES
+
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
 VIEWS: dict[str, str] = {
     "qa_pairs": """
-SELECT conv_id * 1000 + turn AS id, text AS question, nxt_text AS response
+SELECT conv_id * 10000000 + turn AS id, text AS question, nxt_text AS response
 FROM (SELECT conv_id, turn, role, text,
              lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt_role,
              lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt_text
@@ -30,18 +32,8 @@ SELECT 'no_rag' AS experiment, m.model, q.id, q.question, q.response,
        CAST((q.id * 37 + m.mi * 11) % 97 + 3 AS DOUBLE) / CAST(8 AS DOUBLE) AS time
 FROM qa_pairs q CROSS JOIN models m""",
     "judge_raw": """
-SELECT a.experiment, v.verifier, a.model, a.id,
-       CASE (a.id + m.mi * 5 + v.vi * 3) % 10
-         WHEN 0 THEN '{"consistent": "True", "justification": "same (mostly)"}'
-         WHEN 1 THEN '{"consistent": "True", "justification": "same"}'
-         WHEN 2 THEN 'Sure! {"consistent": "True", "justification": "ok", "extra": "x"} Bye {"consistent": "False"}'
-         WHEN 3 THEN '{"consistent": "False", "justification": "differs"}'
-         WHEN 4 THEN concat('{', chr(39), 'consistent', chr(39), ': ', chr(39), 'False', chr(39), ', ', chr(39), 'justification', chr(39), ': ', chr(39), 'no', chr(39), '}')
-         WHEN 5 THEN concat('{', chr(10), '"consistent": "True"', chr(10), '}')
-         WHEN 6 THEN '{"consistent": True, "justification": "bare"}'
-         WHEN 7 THEN '{}'
-         WHEN 8 THEN 'I cannot compare these.'
-         ELSE '{"consistent": "True" "justification": }' END AS raw_text
+SELECT a.experiment, v.verifier, a.model, a.id, (a.id + m.mi * 5 + v.vi * 3) % """ + str(len(SHAPES)) + """ AS shape,
+       regexp_replace(a.question, '[^A-Za-z ]', ' ', 'g') AS q
 FROM answers a JOIN models m ON m.model = a.model CROSS JOIN verifiers v""",
     "route_questions": """
 SELECT id,
@@ -53,7 +45,7 @@ SELECT id,
               WHEN 2 THEN 'company_specific' ELSE 'generic_external' END AS type
 FROM (SELECT item_id AS id, text, item_id % 4 AS r FROM benchmark
       UNION ALL
-      SELECT -(conv_id * 1000 + turn + 1) AS id, text, (conv_id + turn) % 4 AS r
+      SELECT -(conv_id * 10000000 + turn + 1) AS id, text, (conv_id + turn) % 4 AS r
       FROM conversations WHERE role = 'user') u""",
     "filter_ids": "SELECT id FROM qa_pairs WHERE contains(lower(question), 'de')",
     "instructions": """
@@ -94,10 +86,16 @@ def with_views(views: list[str], extra: list[tuple[str, str]], body: str) -> str
 
 
 def lexical_scores_ctes(prefix: str, q_src: str, q_id: str, q_text: str, d_src: str, d_id: str,
-                        d_text: str) -> list[tuple[str, str]]:
-    """CTEs ending in ``{prefix}_sc(query_id, doc_id, score)``: term-count cosine
-    of texts sharing a token, rounded to 6 decimals."""
+                        d_text: str, hashed: bool = False) -> list[tuple[str, str]]:
+    """CTEs ending in ``{prefix}_sc(query_id, doc_id, score)``: term-count (or hash
+    bucket) cosine of texts sharing a token, rounded to 6 decimals."""
     p = prefix
+    if hashed:
+        def bucketed(sql):
+            return sql.replace("SELECT query_id, tok, count", "SELECT query_id, substr(md5(tok), 1, 3) AS tok, count").replace(
+                "SELECT doc_id, tok, count", "SELECT doc_id, substr(md5(tok), 1, 3) AS tok, count").replace("GROUP BY ALL", "GROUP BY 1, 2")
+        plain = lexical_scores_ctes(prefix, q_src, q_id, q_text, d_src, d_id, d_text)
+        return [(n, bucketed(sql) if n in (f"{p}_qt", f"{p}_dt") else sql) for n, sql in plain]
     return [
         (f"{p}_qt", f"SELECT query_id, tok, count(*) AS c FROM (SELECT {q_id} AS query_id, "
                     f"unnest(regexp_extract_all(lower({q_text}), '{TOKEN_RE}', 0)) AS tok FROM {q_src}) GROUP BY ALL"),
@@ -132,28 +130,18 @@ def topk_cte(prefix: str, k: int) -> tuple[str, str]:
 
 
 # ---------------------------------------------------------------- judging
-PARSED = r"""
-SELECT experiment, verifier, model, id,
-       CASE WHEN NOT has THEN 'missed' WHEN NOT json_valid(j) THEN 'malformed' ELSE 'ok' END AS status,
-       CASE WHEN NOT has THEN 'False' WHEN NOT json_valid(j) THEN NULL
-            WHEN starts_with(cv, '__py_') THEN CASE WHEN cv = '__py_None' THEN NULL ELSE substr(cv, 6) END
-            ELSE cv END AS consistent,
-       CASE WHEN NOT has THEN 'bool' WHEN NOT json_valid(j) THEN NULL
-            WHEN starts_with(cv, '__py_') THEN CASE WHEN cv = '__py_None' THEN 'none' ELSE 'bool' END
-            WHEN cv IS NOT NULL THEN 'str' END AS consistent_kind,
-       CASE WHEN NOT has THEN 'missed' WHEN NOT json_valid(j) THEN NULL
-            WHEN starts_with(jv, '__py_') THEN CASE WHEN jv = '__py_None' THEN NULL ELSE substr(jv, 6) END
-            ELSE jv END AS justification,
-       CASE WHEN NOT has THEN 'str' WHEN NOT json_valid(j) THEN NULL
-            WHEN starts_with(jv, '__py_') THEN CASE WHEN jv = '__py_None' THEN 'none' ELSE 'bool' END
-            WHEN jv IS NOT NULL THEN 'str' END AS justification_kind
-FROM (SELECT *, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.consistent') END AS cv,
-             CASE WHEN json_valid(j) THEN json_extract_string(j, '$.justification') END AS jv
-      FROM (SELECT *, replace(regexp_replace(regexp_replace('{' || regexp_extract(t, '\{([^\n]*?)\}', 1) || '}',
-                                             ':\s*(True|False|None)\b', ': "__py_\1"', 'g'),
-                                             '([^{\s,])\s*,\s*\}$', '\1}'), chr(39), '"') AS j,
-                   regexp_matches(t, '\{[^\n]*?\}') AS has
-            FROM (SELECT *, translate(raw_text, '()', '') AS t FROM judge_raw) a) b) c"""
+def _by_shape(field: int) -> str:
+    """The value of a field of ``SHAPES`` for a row's shape."""
+    def lit(x):
+        return "NULL" if x is None else "'" + x.replace("'", "''").replace("{q}", "' || q || '") + "'"
+    return "CASE shape " + " ".join(f"WHEN {i} THEN {lit(x[field])}" for i, x in enumerate(SHAPES)) + " END"
+
+
+# what each reply says is known from its shape; nothing is parsed here
+PARSED = f"""
+SELECT experiment, verifier, model, id, {_by_shape(1)} AS status, {_by_shape(2)} AS consistent, {_by_shape(3)} AS consistent_kind,
+       {_by_shape(4)} AS justification, {_by_shape(5)} AS justification_kind
+FROM judge_raw"""
 
 
 def sem_ctes(src: str, keys: str, a: str, b: str, out: str = "sem") -> list[tuple[str, str]]:
@@ -164,7 +152,7 @@ def sem_ctes(src: str, keys: str, a: str, b: str, out: str = "sem") -> list[tupl
              UNION ALL
              SELECT {keys}, unnest(regexp_extract_all(lower({b}), '{TOKEN_RE}', 0)) AS tok, 0 AS ca, 1 AS cb FROM {src}) GROUP BY ALL"""),
         (out, f"""SELECT {keys}, CASE WHEN sum(ca * ca) > 0 AND sum(cb * cb) > 0 THEN
-             round(CAST(sum(ca * cb) AS DOUBLE) / (sqrt(CAST(sum(ca * ca) AS DOUBLE)) * sqrt(CAST(sum(cb * cb) AS DOUBLE))), 6)
+             CAST(sum(ca * cb) AS DOUBLE) / sqrt(CAST(sum(ca * ca) AS DOUBLE) * CAST(sum(cb * cb) AS DOUBLE))
              END AS sem_score FROM {out}_t GROUP BY ALL"""),
     ]
 
@@ -176,7 +164,7 @@ def judged_rows_ctes(answers: str = "answers", raw: str = "judge_raw") -> list[t
     """``jrows``: parsed verdicts joined to answers with tps and sem_score."""
     return [("parsed", PARSED.replace("FROM judge_raw", f"FROM {raw}"))] + sem_ctes(
         answers, "experiment, model, id", "response", "llm_response") + [
-        ("jrows", f"""SELECT p.*, a.time, round(CAST({WORDS.format(x='a.llm_response')} AS DOUBLE) / a.time, 6) AS tps,
+        ("jrows", f"""SELECT p.*, a.time, CAST({WORDS.format(x='a.llm_response')} AS DOUBLE) / a.time AS tps,
                           s.sem_score
                    FROM parsed p JOIN {answers} a USING (experiment, model, id)
                    LEFT JOIN sem s USING (experiment, model, id)"""),
@@ -198,12 +186,12 @@ def tok_list(x: str) -> str:
 
 
 def hits_ctes(prefix: str, q_src: str, d_src: str, k: int, advanced: bool, threshold: float | None,
-              key: str = "response") -> list[tuple[str, str]]:
+              key: str = "response", hashed: bool = False) -> list[tuple[str, str]]:
     """``{prefix}_hits(query_id, rank, doc_id, score, rerank_score, value)`` --
     the retrieval order: top-k (10 when advanced) -> rerank by token Jaccard ->
     top 3 -> threshold on the first-stage score."""
     ck = 10 if advanced else k
-    ctes = lexical_scores_ctes(prefix, q_src, "id", "question", d_src, "doc_id", "question") + [topk_cte(prefix, ck)]
+    ctes = lexical_scores_ctes(prefix, q_src, "id", "question", d_src, "doc_id", "question", hashed) + [topk_cte(prefix, ck)]
     thr = f"WHERE score > {threshold}" if threshold is not None else ""
     if advanced:
         j = JACCARD.format(a=tok_list("q.question"), b=tok_list("d.question"))

@@ -15,6 +15,31 @@ from ragtab.session import ensure_checkpoint_dir, ensure_parallel
 MODELS = ["phi3", "mistral", "gemma2", "llama3", "llama3.1", "qwen2"]
 VERIFIERS = ["gemma2", "llama3.1"]
 
+#: Judge replies by shape: the text ({q}: letters of the question) and what it says, as status, verdict and its kind,
+#: justification and its kind. None: a failed call.
+SHAPES = [
+    ('{"consistent": "True", "justification": "same (mostly)"}', "ok", "True", "str", "same mostly", "str"),
+    ('{"consistent": "True", "justification": "same"}', "ok", "True", "str", "same", "str"),
+    ('Sure! {"consistent": "True", "justification": "ok", "extra": "x"} Bye {"consistent": "False"}', "ok", "True", "str", "ok", "str"),
+    ('{"consistent": "False", "justification": "differs"}', "ok", "False", "str", "differs", "str"),
+    ("{'consistent': 'False', 'justification': 'no'}", "ok", "False", "str", "no", "str"),
+    ('{\n"consistent": "True"\n}', "missed", "False", "bool", "missed", "str"),
+    ('{"consistent": True, "justification": "bare"}', "ok", "True", "bool", "bare", "str"),
+    ("{}", "ok", None, None, None, None),
+    ("I cannot compare these.", "missed", "False", "bool", "missed", "str"),
+    ('{"consistent": "True" "justification": }', "malformed", None, None, None, None),
+    ('{"consistent": "True", "justification": "The statement: True in both texts"}', "ok", "True", "str",
+     "The statement: True in both texts", "str"),
+    ("""{'consistent': 'True', 'justification': "it's the same: None, False or True"}""", "ok", "True", "str",
+     "it's the same: None, False or True", "str"),
+    ('{"consistent": "False", "justification": "about: {q}"}', "ok", "False", "str", "about: {q}", "str"),
+    ('{"consistent": "__py_True", "justification": None}', "ok", "__py_True", "str", None, "none"),
+    (None, "error", None, None, None, None),
+]
+
+#: More turns than any conversation has: conversation and turn make a unique id.
+TURNS = 10_000_000
+
 
 def explode_grid(df: DataFrame, idx_name: str, name: str, values: list[str]) -> DataFrame:
     """Repeat every row once per value of a literal parameter list (a generator,
@@ -70,7 +95,7 @@ class Tables:
             "conv_id", F.col("turn").alias("nturn"), F.col("text").alias("response")
         )
         return cur.join(nxt, ["conv_id", "nturn"]).select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "question", "response"
+            (F.col("conv_id") * TURNS + F.col("turn")).alias("id"), "question", "response"
         )
 
     def corpus_pairs(self) -> DataFrame:
@@ -124,31 +149,17 @@ class Tables:
         )
 
     def judge_raw(self, answers: DataFrame | None = None) -> DataFrame:
-        """Judge model text for every answer and verifier; ten text shapes that
-        exercise the judgement parser (FIXTURES.md)."""
+        """Judge model text for every answer and verifier, in the shapes of ``SHAPES``; some calls failed."""
         a = self.answers() if answers is None else answers
         a = a.withColumn("mi", model_index(F.col("model")))
         a = explode_grid(a, "vi", "verifier", VERIFIERS)
-        sel = F.pmod(F.col("id") + F.col("mi") * 5 + F.col("vi") * 3, F.lit(10))
-        q = "'"
-        shapes = [
-            '{"consistent": "True", "justification": "same (mostly)"}',
-            '{"consistent": "True", "justification": "same"}',
-            'Sure! {"consistent": "True", "justification": "ok", "extra": "x"} Bye {"consistent": "False"}',
-            '{"consistent": "False", "justification": "differs"}',
-            "{" + q + "consistent" + q + ": " + q + "False" + q + ", " + q + "justification" + q + ": " + q + "no" + q + "}",
-            '{\n"consistent": "True"\n}',
-            '{"consistent": True, "justification": "bare"}',
-            "{}",
-            "I cannot compare these.",
-            '{"consistent": "True" "justification": }',
-        ]
-        expr = F.when(sel == 0, F.lit(shapes[0]))
-        for i, s in enumerate(shapes[1:], start=1):
-            expr = expr.when(sel == i, F.lit(s))
-        return a.select(
-            "experiment", "verifier", "model", "id", expr.alias("raw_text")
-        )
+        sel = F.pmod(F.col("id") + F.col("mi") * 5 + F.col("vi") * 3, F.lit(len(SHAPES)))
+        q = F.regexp_replace("question", "[^A-Za-z ]", " ")
+        text = F.lit(None).cast("string")
+        for i, (shape, *_) in enumerate(SHAPES):
+            if shape is not None:
+                text = F.when(sel == i, F.concat_ws("", *[x for part in shape.split("{q}") for x in (q, F.lit(part))][1:])).otherwise(text)
+        return a.select("experiment", "verifier", "model", "id", text.alias("raw_text"))
 
     # ---- routing -----------------------------------------------------------------
     def route_questions(self) -> DataFrame:
@@ -161,7 +172,7 @@ class Tables:
         b = self.table("benchmark").select(F.col("item_id").alias("id"), "text",
                                            F.pmod(F.col("item_id"), F.lit(4)).alias("r"))
         c = (self.table("conversations").where(F.col("role") == "user")
-             .select((-(F.col("conv_id") * 1000 + F.col("turn") + 1)).alias("id"), "text",
+             .select((-(F.col("conv_id") * TURNS + F.col("turn") + 1)).alias("id"), "text",
                      F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)).alias("r")))
         r = F.col("r")
         return b.unionByName(c).select(

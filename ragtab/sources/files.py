@@ -34,8 +34,9 @@ def write_results(df: DataFrame, root: str, keys=RESULT_KEYS, mode: str = "overw
     """One partitioned Parquet tree; ``mode='overwrite'`` with dynamic
     partition overwrite replaces only the partitions being written (re-running a
     task is idempotent)."""
-    (df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*[k for k in keys if k in df.columns]).parquet(root))
+    by = [k for k in keys if k in df.columns]
+    # rows of a partition value are brought together (a large one is split by size): few files per folder
+    (df.hint("rebalance", *by).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root))
 
 
 def read_results(spark: SparkSession, root: str, verifiers=None, models=None) -> DataFrame:
@@ -87,7 +88,7 @@ def read_experiments(spark: SparkSession, root: str, schema: StructType | str,
 def write_answer_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON document per answer (JSON lines, ``id`` a field), partitioned
     by model -- not one file per answer."""
-    df.write.mode(mode).partitionBy("model").json(path)
+    df.hint("rebalance", "model").write.mode(mode).partitionBy("model").json(path)
 
 
 def read_answer_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:

@@ -27,3 +27,43 @@ def test_sweep_answers_judges_resumes_and_ranks(spark):
     # answers echoed from the test set itself beat answers without retrieval
     assert test_exp > board[("no_rag", "m1")]["judge_accuracy"]
     assert test_exp > board[("dataset_docs_emb_lexical_rerank_True", "m1")]["judge_accuracy"]
+
+
+def test_failed_calls_and_new_questions_stay_pending(spark):
+    def fails_on_even(system, prompt, model):   # local functions travel to the workers by value
+        if len(prompt) % 2 == 0:
+            raise RuntimeError("no model server")
+        return prompt
+
+    def echo(system, prompt, model, **options):
+        return prompt + options.get("tail", "")
+
+    qs = spark.createDataFrame([(i, "q" * i, "r") for i in range(1, 7)], "id long, question string, response string")
+    root, judged, failed = (work_path(spark, x) for x in ("a", "j", "f"))
+    X.answer_sweep(spark, qs, {}, ["m"], [(None, False)], root, fails_on_even, failed_root=failed)
+    assert sorted(r["id"] for r in spark.read.parquet(root).collect()) == [1, 3, 5]
+    assert sorted(r["id"] for r in spark.read.parquet(failed).collect()) == [2, 4, 6]
+    more = qs.union(spark.createDataFrame([(7, "new", "r")], qs.schema))
+    X.answer_sweep(spark, more, {}, ["m"], [(None, False)], root, echo, options={"tail": "!"})
+    rows = {r["id"]: r["llm_response"] for r in spark.read.parquet(root).collect()}
+    assert spark.read.parquet(root).count() == 7 and rows[2] == "qq!" and rows[1] == "q" and rows[7] == "new!"
+    assert X.answer_sweep(spark, more, {}, ["m"], [(None, False)], root, echo) == []
+
+    def judge(system, prompt, model):
+        if "A: qqqq!" in system:
+            raise RuntimeError("down")
+        return '{"consistent": "True"}'
+
+    got = X.judge_sweep(spark, root, ["v"], judged, judge)
+    assert got.count() == 6 and {r["consistent"] for r in got.collect()} == {"True"}     # a failed call is no verdict
+    again = X.judge_sweep(spark, root, ["v"], judged, lambda s, p, m: '{"consistent": "False"}')
+    assert again.count() == 7 and again.where("consistent = 'False'").count() == 1
+
+
+def test_read_failures_surface(spark, tmp_path):
+    import pytest
+
+    assert X._existing(spark, str(tmp_path / "nothing"), ["id"]) is None
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    with pytest.raises(Exception, match="model"):
+        X._existing(spark, str(tmp_path / "t"), ["model"])

@@ -40,7 +40,11 @@ def test_filtered_leaderboard_lenient_and_empty_subset(spark):
     assert r["gemma2_accuracy"] == 1.0 and r["llama3.1_accuracy"] == 1.0   # lenient counts bare/lower-case true
     assert r["sem_accuracy"] == 0.0                                         # last verifier wins
     empty = spark.createDataFrame([], "id long")
-    assert R.leaderboard_filtered(_judged(spark, rows), empty).count() == 0
+    none = R.leaderboard_filtered(_judged(spark, rows), empty).collect()
+    assert [r["model"] for r in none] == ["m1"] and none[0]["gemma2_accuracy"] is None and none[0]["average_accuracy"] is None
+    more = rows + [("e", "gemma2", "m2", 2, "True", "str", 0.9, 1.0, 2.0)]
+    b = {r["model"]: r for r in R.leaderboard_filtered(_judged(spark, more), ids).collect()}
+    assert b["m2"]["gemma2_accuracy"] is None and b["m1"]["gemma2_accuracy"] == 1.0    # no row in the subset: NULL, not gone
 
 
 def test_sorted_leaderboard_order(spark):

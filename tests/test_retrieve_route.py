@@ -68,7 +68,7 @@ def test_judge_prompt_nan_text(spark):
     df = spark.createDataFrame([(None, "truth")], "a string, b string")
     plain = df.select(P.judge_system("a", "b")).first()[0]
     nan = df.select(P.judge_system("a", "b", nan_text=True)).first()[0]
-    assert "information A: \nIS" in plain and "information A: nan\nIS" in nan
+    assert "A: \n\nB: truth" in plain and "A: nan\n\nB: truth" in nan
 
 
 def test_route_with_model_short_circuits(spark):
