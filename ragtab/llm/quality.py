@@ -2,8 +2,8 @@
 
 Each rule votes 1 (good), -1 (bad) or abstains (0) on a document. Documents with the same votes
 count as one row of a table of at most 3 ** len(RULES) rows; on it expectation-maximisation
-estimates the share of good documents and, for every rule, how often it is right on good and on
-bad documents when it votes. A document stays if it passes the base rules and its posterior
+estimates, over the documents that pass the base rules, the share of good ones and, for every rule,
+how often it is right on good and on bad documents when it votes. A document stays if it passes the base rules and its posterior
 probability of being good is at least ``KEEP_FROM``; no single vote decides.
 
 Defined cases: a null text has no words and fails the base rules, as does an empty one; a table
@@ -56,7 +56,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("lines").alias("n_lines"), ends.alias("n_ended"), known.alias("n_known"),
-        F.regexp_count("t", F.lit(r"\p{L}+")).cast("long").alias("n_letter_runs"),
+        F.length(F.regexp_replace("t", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
         F.regexp_count("t", F.lit(r"\p{Lu}\p{Lu}+")).cast("long").alias("n_upper_runs"),
         F.regexp_count("t", F.lit(r"[!?]{2,}")).cast("long").alias("n_shouts"))
 
@@ -77,7 +77,7 @@ RULES = {
     "repeat_words": lambda: _vote((F.col("n_words") >= 40) & (_share("n_repeat_words") <= 0.05), _share("n_repeat_words") > 0.2),
     "length": lambda: _vote(F.col("n_words") >= 60, F.col("n_words") < 20),
     "function_words": lambda: _vote(_share("n_known") >= 0.05, (F.col("n_words") >= 40) & (F.col("n_known") == 0)),
-    "letters": lambda: _vote(_share("n_letter_runs") >= 0.9, _share("n_letter_runs") < 0.6),
+    "letters": lambda: _vote(_share("n_letters", "word_chars") >= 0.85, _share("n_letters", "word_chars") < 0.75),
     "line_ends": lambda: _vote(_share("n_ended", "n_lines") >= 0.6, _share("n_ended", "n_lines") < 0.1),
     "shouting": lambda: _vote((_share("n_shouts") <= 0.01) & (_share("n_upper_runs") <= 0.05),
                               (_share("n_shouts") > 0.1) | (_share("n_upper_runs") > 0.5)),
@@ -127,8 +127,9 @@ def quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the base counts, base_failed, kept and the posterior of every row of ``docs``."""
     voted = stored(votes(features(docs)), "quality-votes")
     names = [f"v_{r}" for r in RULES]
-    model = fit(stored(voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-patterns"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    # only documents that the base rules leave are for the votes to decide
+    model = fit(stored(voted.filter(~failed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-patterns"))
     p = posterior(model)
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), (~failed & (p >= keep_from)).alias("kept"), p.alias("posterior"), *names)

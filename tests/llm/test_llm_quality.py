@@ -20,8 +20,9 @@ def counts(t):
     return len(ws), sum(map(len, ws)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(at)
 
 
-def em(votes, rounds):
-    """Plain EM over all documents."""
+def em(every, fitted, rounds):
+    """Plain EM over the fitted documents, posteriors of every document."""
+    votes = every[fitted]
     prior, good, bad = 0.8, np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.7)
     for _ in range(rounds):
         odds = math.log(prior / (1 - prior)) + (votes == 1) @ np.log(good / (1 - bad)) + (votes == -1) @ np.log((1 - good) / bad)
@@ -30,7 +31,7 @@ def em(votes, rounds):
         cast = votes != 0
         good = np.clip((q @ (votes == 1) + 0.8) / (q @ cast + 1), 0.5, 0.999)
         bad = np.clip(((1 - q) @ (votes == -1) + 0.7) / ((1 - q) @ cast + 1), 0.5, 0.999)
-    odds = math.log(prior / (1 - prior)) + (votes == 1) @ np.log(good / (1 - bad)) + (votes == -1) @ np.log((1 - good) / bad)
+    odds = math.log(prior / (1 - prior)) + (every == 1) @ np.log(good / (1 - bad)) + (every == -1) @ np.log((1 - good) / bad)
     return 1 / (1 + np.exp(-odds))
 
 
@@ -54,8 +55,7 @@ def test_base_counts(spark):
 def test_posterior_against_plain_em(spark):
     got = X.quality(C.frame(spark, rows())).toPandas()
     votes = got[[f"v_{r}" for r in X.RULES]].to_numpy()
-    model_rounds = X.ROUNDS
-    assert np.abs(em(votes, model_rounds) - got["posterior"]).max() < 1e-2
+    assert np.abs(em(votes, ~got["base_failed"].to_numpy(), X.ROUNDS) - got["posterior"]).max() < 1e-2
     assert (got["kept"] == (~got["base_failed"] & (got["posterior"] >= 0.5))).all()
 
 
@@ -77,3 +77,13 @@ def test_stage_keeps_columns(spark):
     out = X.quality_stage(docs)
     assert out.columns == docs.columns
     assert 0 < out.count() < docs.count()
+
+
+def test_clean_documents_stay_and_marked_ones_go(spark):
+    from conftest import SF_MID
+
+    docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
+    got = X.quality(docs).join(labels, "doc_id").toPandas()
+    left = got[~got["base_failed"]]
+    assert left[left["quality"] == 1]["kept"].mean() > 0.98
+    assert left[left["quality"] == 0]["kept"].mean() < 0.5
