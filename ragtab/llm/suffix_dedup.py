@@ -90,32 +90,46 @@ def cut(text: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(hash, text key, place) of the anchors of all texts."""
+    """(hash, known, text key, place) of the anchors of all texts. Where a task sees a hash at several places, these are
+    known to be repeated: they get a key of their own instead of the hash, so that they're dealt evenly, and one of
+    them stands for them under the hash."""
+
+    def settle(h, key, place) -> pa.RecordBatch:
+        by = np.lexsort((place, key, h))
+        h, key, place = h[by], key[by], place[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])])  # copies of a text
+        h, key, place = h[new], key[new], place[new]
+        same = h[1:] == h[:-1]
+        known = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        first = np.concatenate([[True], ~same])
+        own = (h ^ (key * 2654435761) ^ (place * 40503 << 20)) * -7046029254386353131
+        rows = [np.concatenate([x[first], y[known]]) for x, y in ((h, own), (np.zeros(len(h), bool), known), (key, key), (place, place))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["hash", "known", "text_key", "place"])
 
     def run(batches):
         for b in batches:
-            held, keys, starts, size = [], [], [], 0
+            found, held, keys, starts, size = [], [], [], [], 0
 
             def done():
                 owner, place, h = anchors(held)
-                place = place + np.array(starts, np.int64)[owner] if len(owner) else place
-                return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(keys, np.int64)[owner] if len(owner) else owner), pa.array(place)],
-                                                  ["hash", "text_key", "place"])
+                if len(owner):
+                    found.append((h, np.array(keys, np.int64)[owner], place + np.array(starts, np.int64)[owner]))
 
             for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 for start, part in cut(t.as_py()):
                     if held and size + len(part) > PIECE + MATCH:
-                        yield done()
+                        done()
                         held.clear(), keys.clear(), starts.clear()
                         size = 0
                     held.append((start, part))
                     keys.append(key)
                     starts.append(start)
                     size += len(part)
-            if held:
-                yield done()
+            done()
+            if found:
+                yield settle(*(np.concatenate(c) for c in zip(*found, strict=True)))
 
-    return texts.select("text_key", "t").mapInArrow(run, "hash long, text_key long, place long")
+    return texts.select("text_key", "t").mapInArrow(run, "hash long, known boolean, text_key long, place long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -126,21 +140,21 @@ def repeated(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            h, key, place = (c.to_numpy() for c in b.columns)
+            h, known, key, place = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if held is not None:
-                h, key, place = (np.concatenate([[x], y]) for x, y in zip(held[0], (h, key, place), strict=True))
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
-            h, key, place = h[new], key[new], place[new]
-            same = h[1:] == h[:-1]
-            good = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+                h, known, key, place = (np.concatenate([[x], y]) for x, y in zip(held[0], (h, known, key, place), strict=True))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (known[1:] != known[:-1]) | (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
+            h, known, key, place = h[new], known[new], key[new], place[new]
+            same = (h[1:] == h[:-1]) & ~known[1:] & ~known[:-1]
+            good = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | known
             before = held is not None and held[1]
             after = bool(good[-1]) or (len(h) == 1 and before)
             if before:
                 good[0] = False
-            held = ((h[-1], key[-1], place[-1]), after)
+            held = ((h[-1], known[-1], key[-1], place[-1]), after)
             yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(place[good])], ["text_key", "place"])
 
-    return rows.repartition("hash").sortWithinPartitions("hash", "text_key", "place").mapInArrow(run, "text_key long, place long")
+    return rows.repartition("hash").sortWithinPartitions("hash", "known", "text_key", "place").mapInArrow(run, "text_key long, place long")
 
 
 def surroundings(text: bytes, places: np.ndarray) -> np.ndarray:
@@ -390,7 +404,7 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
     rows = stored(keyed.select("doc_id", "order", "sha", "text_key", F.octet_length("t").cast("long").alias("n_bytes")), "texts")
     firsts = stored(rows.groupBy("sha", "text_key").agg(F.min("order").alias("first_order")), "first-texts")
     found = repeated(anchor_rows(keyed.filter(F.octet_length("t") >= MATCH)))
-    wanted = stored(found.groupBy("text_key").agg(F.collect_list("place").alias("places"))
+    wanted = stored(found.groupBy("text_key").agg(F.collect_set("place").alias("places"))
                     .join(firsts.select("text_key", F.col("first_order").alias("order")), "text_key"), "anchor-places")
     candidates = stored(keyed.select("order", "text_key", "t").join(wanted, ["text_key", "order"]), "candidates")
     n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
@@ -442,3 +456,20 @@ def suffix_stage(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("_llm_kept").isNotNull(), F.length("_llm_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return d.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 99, 0))) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+           SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (
+             SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM again)) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, b AS f, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS t FROM runs
+         UNION ALL SELECT doc_id, 0, min(a) FROM runs GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f) AS k FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN sums.doc_id IS NULL THEN d.h ELSE coalesce(k, '') END)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
