@@ -11,15 +11,19 @@ from ragtab.session import work_path
 SPACE = r"[\x20\x09-\x0D]"
 #: The same characters as bytes.
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
+ROWS_A_FILE = 200_000
 #: A-Z to a-z on bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into a fresh folder below ``spark.checkpoint.dir`` and read it
-    back: later steps start from files that survive a lost executor."""
+    back: later steps start from files that survive a lost executor. ``rows``, an upper bound
+    of a narrow table's rows, gives fewer files (a task for every ROWS_A_FILE)."""
     spark = df.sparkSession
     path = work_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,9 @@ is extended until it covers enough. If two linked sets shared no key, they'd mis
 than they may (each class would miss all but one). Any choice of "frequent" gives whole results;
 it is made from counts over all texts, of which the largest ``MAX_FREQUENT`` are broadcast.
 
-Sets that are equal are one node, so copies cost nothing. Candidates of one key are compared to
+Sets that are equal are one node, so copies cost nothing. Candidates are first compared by parity
+signatures of a few bits a shingle, which bound how much two sets differ from below; only pairs
+that these can't rule out are verified by their whole texts. Candidates of one key are compared to
 one member first, links are joined into components, and then only members of different components
 are compared, until every candidate pair is verified or lies within one component. So a group of
 near copies is never expanded into its pairs.
@@ -22,6 +24,8 @@ looked at.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragtab.session import work_path
+
 from .common import LOWER, keep_documents, stored
 from .components import components
 
@@ -39,7 +45,9 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MAX_FREQUENT = 32, 1 << 18
 #: Shingles that are counted at a time in a task.
 BLOCK = 2 << 20
-#: Rounds in which a key's members are compared with one of them, before all pairs between components are.
+#: A key with this many members at most has all of them compared at once.
+SMALL_KEY = 8
+#: Rounds in which larger keys' members are compared with one of them, before all pairs between components are.
 STAR_ROUNDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB], np.uint64)
@@ -114,6 +122,23 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Two to four bits for each shingle: whether a bit's number of shingles is odd. The signatures' difference is
+    that of the sets' symmetric difference, so its ones are at most that one's size."""
+    bits = 1 << max(6, int(2 * len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(n_x: int, x: bytes, n_y: int, y: bytes) -> bool:
+    """False only where the signatures show that sets of these sizes differ by too much: linked sets differ by a ninth
+    of their sizes' sum at most."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)  # a bit's place in the shorter one is its place modulo that one's length
+    return (100 + PERCENT) * int(np.bitwise_count(a ^ b).sum()) <= (100 - PERCENT) * (n_x + n_y)
+
+
 def _column(values: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)]))
@@ -150,7 +175,7 @@ def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MAX_F
 
 
 def with_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), keys."""
+    """doc_id, n, d1, d2 (a digest of the set), signature, keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -161,9 +186,10 @@ def with_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 sets = [shingles(t.as_py()) for t in part.column(1)]
                 sums = [np.array([mixed(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (11, 12)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
-                                                  _column([keys_of(s, often) for s in sets])], ["doc_id", "n", "d1", "d2", "keys"])
+                                                  pa.array([signature(s) for s in sets], pa.binary()), _column([keys_of(s, often) for s in sets])],
+                                                 ["doc_id", "n", "d1", "d2", "signature", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signature binary, keys array<long>")
 
 
 def shared_keys(index: DataFrame) -> DataFrame:
@@ -196,18 +222,41 @@ def _sizes_fit(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with whether they are linked."""
-    s = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+def near_pairs(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the signatures can't rule out."""
+    side = lambda c: signatures.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("signature").alias(f"{c}_s"))
+
+    def run(batches):
+        for b in batches:
+            good = pa.array([may_link(*(x.as_py() for x in row)) for row in zip(*b.columns[2:], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(good)
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "a_s", "b_n", "b_s")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are linked, by their whole texts."""
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
 
     def run(batches):
         for b in batches:
-            sets_a, sets_b = ([np.frombuffer(x.as_py(), np.uint64) for x in b.column(i)] for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([linked(x, y) for x, y in zip(sets_a, sets_b, strict=True)], pa.bool_())],
-                                             ["a", "b", "linked"])
+            known = functools.lru_cache(64)(shingles)  # a hub's rows follow each other
+            good = pa.array([linked(known(x.as_py()), known(y.as_py())) for x, y in zip(*b.columns[2:], strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(good)
 
-    both = pairs.join(s("a"), "a").join(s("b"), "b").select("a", "b", "a_set", "b_set")
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def bucketed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes, stored in buckets by node: joined again and again, but shuffled once."""
+    spark = docs.sparkSession
+    name = f"shingle_texts_{uuid.uuid4().hex[:16]}"
+    rows = docs.withColumnRenamed("doc_id", "node").hint("merge").join(nodes.hint("merge"), "node", "left_semi")
+    rows.write.option("compression", "zstd").option("path", work_path(spark, "shingle-texts")) \
+        .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").saveAsTable(name)
+    return spark.table(name)
 
 
 def similarity_join(docs: DataFrame) -> DataFrame:
@@ -221,44 +270,42 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     hubs = stored(shared_keys(index.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")), "shared-keys")
 
     # every member of a key that several nodes have, hubs included
-    first = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).filter(_sizes_fit("hub_n", "n")).distinct()
-    members = stored(hubs.select("key", "node", "n").union(hubs.select("key", F.col("hub"), F.col("hub_n")).distinct()), "shared-members")
-    needed = members.select(F.col("node")).distinct()
-
-    def set_of(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
-
-    sets = stored(docs.join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-                  .select("doc_id", "text").mapInArrow(set_of, "node long, shingles binary"), "shingle-sets")
-    seen = stored(verified(first, sets), "pairs")
-    found = components(seen.filter("linked").select("a", "b"))
+    members = stored(hubs.select("key", "node", "n").union(hubs.select("key", "hub", "hub_n").distinct()), "shared-members")
+    pairs = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).filter(_sizes_fit("hub_n", "n"))
+    needed = members.select("node").distinct()
+    signatures = stored(rows.select(F.col("doc_id").alias("node"), "n", "signature").join(needed, "node", "left_semi"), "signatures")
+    texts = bucketed_texts(docs, needed)
+    seen = stored(pairs.distinct(), "pairs")
+    found = components(linked_pairs(stored(near_pairs(seen, signatures), "near-pairs"), texts))
     for turn in range(STAR_ROUNDS + 1):
         marked = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+        # the two members of a key have been compared already
         open_keys = marked.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "n", "component")).alias("hub")).filter("low < high")
+            F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "n", "component")).alias("hub")).filter("low < high and size > 2")
         open_keys = stored(open_keys.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
                                             F.col("hub.component").alias("hub_component")), "open-keys")
-        work = open_keys.agg(F.sum("size").alias("rows"), F.sum(F.expr("size * (size - 1) div 2")).alias("pairs")).first()
-        if not work["rows"]:
-            break
-        last = turn == STAR_ROUNDS or work["pairs"] <= 4 * work["rows"]
         live = stored(marked.join(open_keys, "key"), "open-members")
-        if last:  # all pairs of a key that lie in two components
-            x, y = (live.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component"))) for k in "xy")
-            pairs = x.join(y, "key").filter("component_x < component_y").filter(_sizes_fit("n_x", "n_y")) \
-                .select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-        else:  # one member against those of other components
-            pairs = live.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")) \
-                .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        members = live.select("key", "node", "n")
-        new = stored(verified(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), sets), "pairs")
+        if live.isEmpty():
+            break
+        # small keys, and in the last round all: all pairs of a key that lie in two components
+        whole = live if turn == STAR_ROUNDS else live.filter(F.col("size") <= SMALL_KEY)
+        x, y = (whole.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component"))) for k in "xy")
+        pairs = x.join(y, "key").filter("component_x < component_y").filter(_sizes_fit("n_x", "n_y")).select(
+            F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        if turn < STAR_ROUNDS:  # larger ones: one member against those of other components
+            members = live.filter(F.col("size") > SMALL_KEY)
+            pairs = pairs.union(members.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")).select(
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+            members = members.select("key", "node", "n")
+        new = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         seen = seen.union(new)
-        links = new.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            found = components(links.union(found.select("node", "component")))
-        if last:
+        near = stored(near_pairs(new, signatures), "near-pairs")
+        if not near.isEmpty():
+            links = stored(linked_pairs(near, texts), "links")
+            if not links.isEmpty():
+                found = components(links.union(found.select("node", "component")))
+        if turn == STAR_ROUNDS:
             break
     of_set = stored(nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component")), "set-components")
     return rows.join(of_set, same, "left").select(
@@ -269,3 +316,20 @@ def near_dedup_stage(docs: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component, columns unchanged."""
     kept = similarity_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return keep_documents(docs, kept, "doc_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                               ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles FROM s),
+u AS (SELECT doc_id, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n_shingles + y.n_shingles - c)),
+e AS (SELECT a AS x, b AS y FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT n.doc_id, n.n_shingles, m.component_id FROM n JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""

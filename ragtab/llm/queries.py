@@ -54,4 +54,5 @@ def op10_langid(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_toxicity, op5_exact_dedup, op6_bpe, op7_packing, op8_quality,
                                   op9_suffix_dedup, op10_langid)}
-ORACLE = {"op2_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE = {"op2_warc": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE,
+          "op9_suffix_dedup": suffix_dedup.ORACLE}

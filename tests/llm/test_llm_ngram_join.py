@@ -67,6 +67,20 @@ def test_linked_sets_share_a_key():
             assert np.intersect1d(X.keys_of(x, frequent), X.keys_of(y, frequent)).size
 
 
+def test_signatures_never_rule_out_links():
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(500):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > rng.choice([0.02, 0.1, 0.5])], rng.integers(0, 1 << 62, n // 20).astype(np.uint64)]))
+        if len(y):
+            may = X.may_link(len(x), X.signature(x), len(y), X.signature(y))
+            assert may or not X.linked(x, y)
+            ruled_out += not may
+    assert ruled_out > 100
+
+
 def test_empty_table(spark):
     assert X.similarity_join(C.frame(spark, [])).count() == 0
 
