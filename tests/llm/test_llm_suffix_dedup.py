@@ -97,3 +97,16 @@ def test_stage_cuts_texts(spark):
     assert out.columns == docs.columns
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert got == {1: rows[0][1], 3: "own words éé too", 4: "clean", 5: None}
+
+
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(4)
+    passage = C.prose(rng, 40)
+    first, second = (1, "first. " + passage + " end", "en", "s", 5), (2, "own words " + passage + " too", "en", "s", 5)
+    rows = [first, first, second, first, second]
+    docs = C.frame(spark, rows, parts=4)
+    got = X.suffix_dedup(docs).collect()
+    assert len(got) == len(rows) and sorted({tuple(r) for r in got}) == brute(rows)
+    assert {r["n_removed"] for r in got if r["doc_id"] == 1} == {0}
+    texts = [r["text"] for r in X.suffix_stage(docs).collect()]
+    assert len(texts) == len(rows) and texts.count(first[1]) == 3
