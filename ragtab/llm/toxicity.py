@@ -2,8 +2,8 @@
 
 Both classes have a model of the letters of words (n-grams of ``ORDER`` letters within the padded
 lower-cased word), fitted on a bounded sample of labelled documents. Where a class has seen little,
-it backs off to lower-order continuation counts that both share; those are gathered from every
-document. So a rare form of an expression is judged by the parts it shares with others. A context
+it backs off to lower-order continuation counts that both share, from ``ORDER`` - 1 letters down to
+one; those are of every n-gram of every document, in a table that grows with them. So a rare form of an expression is judged by the parts it shares with others. A context
 that one class lacks has that class's probabilities by the shared counts alone.
 
 A document's evidence is log-likelihood under the toxic minus under the ordinary model, divided by
@@ -12,8 +12,9 @@ other words don't hide a passage. A logistic regression on other labelled rows t
 turns these into the score.
 
 Bounds: at most ``per_class`` documents of each class for the models and ``calibrate`` of each for
-the regression, taken by a hash of the id; the models' table is bounded by that sample. The counts
-for the shared backoff and the scores cover all documents and whole texts.
+the regression, taken by a hash of the id; the models' table is bounded by that sample, and so are
+the shared counts that are looked up for it. The shared counts themselves and the scores cover all
+documents and whole texts.
 
 Defined cases: a null text, or one without letters, has no evidence and the score of the intercept
 (less than 0.5); labels that are null or given twice for an id count as missing, or as the largest;
@@ -84,12 +85,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def backoff_counts(docs: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """For each n-gram of ORDER - 1 letters in ``wanted``: how many letters stand before it, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)  # bounded by the sample
+def backoff_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables over all documents. counts: gram (of 1 to ORDER - 1 letters), n: how many letters stand before it.
+    contexts: context (an n-gram without its last letter), total, kinds: sum and number of its n-grams' counts."""
 
     def types(batches):
-        need, seen, done = shared.value, set(), set()
+        seen, done = set(), set()
         for pdf in batches:
             fresh = set()
             for t in pdf["text"]:
@@ -98,16 +99,38 @@ def backoff_counts(docs: DataFrame, wanted: set[str]) -> dict[str, int]:
             new = {g for w in fresh for g in grams(w)} - done
             done |= new
             seen = seen | fresh if len(seen) < 300_000 else fresh  # a word seen again costs time only
-            good = [g for g in new if g[1:] in need]
-            yield pd.DataFrame({"rest": [g[1:] for g in good], "before": [g[0] for g in good]})
-
-    found = docs.filter("text is not null").select("text").mapInPandas(types, "rest string, before string")
-    rows = found.distinct().groupBy("rest").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    return dict(zip(rows["rest"], rows["n"].astype(int), strict=True))
-
-
-def kneser_ney(toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str, int], d: float = DISCOUNT) -> Model:
-    """Evidence tables from the class's n-gram counts and the shared continuation counts."""
+            yield pd.DataFrame({"gram": list(new)})
+
+    longest = docs.filter("text is not null").select("text").mapInPandas(types, "gram string").distinct()
+    ends = F.array("gram", *(F.expr(f"substring(gram, {k})") for k in range(2, ORDER)))
+    found = longest.select(F.explode(ends).alias("gram")).distinct()
+    counts = stored(found.groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "toxic-counts")
+    contexts = stored(counts.groupBy(F.expr("substring(gram, 1, length(gram) - 1)").alias("context"))
+                      .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")), "toxic-contexts")
+    return counts, contexts
+
+
+def backoff(docs: DataFrame, wanted: set[str], d: float = DISCOUNT) -> dict[str, float]:
+    """Of each n-gram of ORDER - 1 letters in ``wanted``, the probability of its last letter after the others by the
+    continuation counts of all documents, interpolated down to single letters. Only the counts that these need are gathered."""
+    counts, contexts = backoff_counts(docs)
+    ends = {g[k:] for g in wanted for k in range(ORDER - 1)}
+
+    def of(table: DataFrame, key: str, keys: set[str]) -> list:  # bounded by ``wanted``
+        need = docs.sparkSession.createDataFrame([(k,) for k in sorted(keys)], f"{key} string")
+        return table.join(need, key, "left_semi").collect()
+
+    n = {r["gram"]: r["n"] for r in of(counts, "gram", ends)}
+    context = {r["context"]: (r["total"], r["kinds"]) for r in of(contexts, "context", {"", *(g[:-1] for g in ends)})}
+    prob = {"": 1 / (context.get("", (0, 0))[1] + 1)}  # any letter, or one that no document has
+    for g in sorted(ends, key=len):
+        total, kinds = context.get(g[:-1], (0, 0))
+        prob[g] = max(n.get(g, 0) - d, 0) / total + d * kinds / total * prob[g[1:]] if total else prob[g[1:]]
+    return {g: prob[g] for g in wanted}
+
+
+def kneser_ney(toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str, float], d: float = DISCOUNT) -> Model:
+    """Evidence tables from the class's n-gram counts and what the shared counts give the n-grams without their first letter."""
     totals = []
     for counts in (toxic, ordinary):
         total, kinds = Counter(), Counter()
@@ -115,19 +138,6 @@ def kneser_ney(toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str
             total[g[:-1]] += c
             kinds[g[:-1]] += 1
         totals.append((counts, total, kinds))
-    low_total, low_kinds, letters = Counter(), Counter(), Counter()
-    for g, n in shared.items():
-        low_total[g[:-1]] += n
-        low_kinds[g[:-1]] += 1
-        letters[g[-1]] += 1
-    n_letters = sum(letters.values()) + len(letters) + 1
-
-    def backoff(g: str) -> float:  # of ORDER - 1 letters
-        base = (letters[g[-1]] + 1) / n_letters
-        h = g[:-1]
-        if not low_total[h]:
-            return base
-        return max(shared.get(g, 0) - d, 0) / low_total[h] + d * low_kinds[h] / low_total[h] * base
 
     def prob(g: str, p: float, counts, total, kinds) -> float:
         h = g[:-1]
@@ -135,7 +145,7 @@ def kneser_ney(toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str
             return p
         return max(counts.get(g, 0) - d, 0) / total[h] + d * kinds[h] / total[h] * p
 
-    table = {g: log(prob(g, p := backoff(g[1:]), *totals[0])) - log(prob(g, p, *totals[1])) for g in {*toxic, *ordinary}}
+    table = {g: log(prob(g, p := shared[g[1:]], *totals[0])) - log(prob(g, p, *totals[1])) for g in {*toxic, *ordinary}}
     rest = lambda h, _, total, kinds: d * kinds[h] / total[h] if h in total else 1.0
     default = {h: log(rest(h, *totals[0])) - log(rest(h, *totals[1])) for h in {*totals[0][1], *totals[1][1]}}
     return Model(table, default)
@@ -186,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
         .mapInPandas(count, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toPandas()
     by = {c: dict(zip(x["gram"], x["n"].astype(int), strict=True)) for c, x in counted.groupby("toxic")}
     toxic, ordinary = by.get(1, {}), by.get(0, {})
-    model = kneser_ney(toxic, ordinary, backoff_counts(docs, {g[1:] for g in {*toxic, *ordinary}}))
+    model = kneser_ney(toxic, ordinary, backoff(docs, {g[1:] for g in {*toxic, *ordinary}}))
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.default))
 
     def measure(batches):

@@ -107,3 +107,41 @@ def test_rare_forms_share_their_parts(spark):
     rows += [(1000, "word word nastyzu word", "", "", 0), (1001, "word word word", "", "", 0)]
     got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(C.frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic long")).collect()}
     assert got[1000] > 0.5 > got[1001]
+
+
+def test_backoff_counts_cover_all_documents(spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 9)))
+    rows = [(i, " ".join(word("abcé" if i < 40 else "abcdefgh") for _ in range(30)), "", "", 0) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic long")  # the others are outside the sample
+    seen, real = [], toxicity.kneser_ney
+    monkeypatch.setattr(toxicity, "kneser_ney", lambda *a: seen.append(a) or real(*a))
+    model = toxicity.fit(C.frame(spark, rows), labels)
+    toxic, ordinary = seen[0][:2]
+
+    found = {g[k:] for _, t, *_ in rows for w in toxicity.words(t) for g in toxicity.grams(w) for k in range(toxicity.ORDER - 1)}
+    n = Counter(g[1:] for g in found)
+    d, total, kinds = toxicity.DISCOUNT, Counter(), Counter()
+    for g, c in n.items():
+        total[g[:-1]] += c
+        kinds[g[:-1]] += 1
+
+    def shared(g):
+        if not g:
+            return 1 / (kinds[""] + 1)
+        h = g[:-1]
+        return max(n[g] - d, 0) / total[h] + d * kinds[h] / total[h] * shared(g[1:])
+
+    assert sum(map(shared, [h + c for h in ["abc"] for c in kinds_of(n)])) == pytest.approx(1, abs=0.01)
+    want = {}
+    for g in {*toxic, *ordinary}:
+        p = []
+        for counts in (toxic, ordinary):
+            of = [c for x, c in counts.items() if x[:-1] == g[:-1]]
+            p.append((max(counts.get(g, 0) - d, 0) + d * len(of) * shared(g[1:])) / sum(of) if of else shared(g[1:]))
+        want[g] = math.log(p[0]) - math.log(p[1])
+    assert model.table == pytest.approx(want)
+
+
+def kinds_of(n):
+    return [g for g in n if len(g) == 1]
