@@ -13,8 +13,12 @@ the strings that are equal, and of these the earliest stays.
 
 Texts that are equal as a whole are one text: only the smallest id's goes through the sort, the
 copies are removed entirely. Of suffixes with equal surroundings in one task, only the earliest is
-exchanged. So neither a group of copies nor a passage inside many documents is gathered with its
-repeats.
+exchanged. Where a bucket still has over 2 x ``BUCKET`` suffixes (a passage's edges, or a line
+shorter than a string, with other surroundings in every document), its suffixes are dealt anew: the
+strings around an anchor are split by its offset in them into ranges of ``NARROWER`` offsets, and a
+range goes by the hash of the bytes that all its strings share. Bytes outside its strings don't
+count, so suffixes with equal strings collapse in the task. With one offset the key is the whole
+string, of which a run has one suffix: no key has more suffixes than there are runs.
 
 Defined cases: a null text counts as empty; texts under 100 bytes lose nothing; a document that is
 left empty has the digest of the empty string; a null id comes after all ids; rows that repeat an
@@ -42,6 +46,7 @@ LEFT = SHIFTS - 1  # bytes before an anchor that a string around it may have
 WIDTH = LEFT + MATCH
 #: Long texts are taken in pieces of this many bytes when anchors are chosen; suffixes of a run; suffixes of a bucket, on average.
 PIECE, RUN, BUCKET = 1 << 20, 100_000, 50_000
+NARROWER = (18, 6, 1)  # each divides the one before
 _POSITION = 22
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 LAST = (1 << 63) - 1
@@ -306,13 +311,32 @@ def repeats(same: np.ndarray, left: np.ndarray, info: dict[str, np.ndarray]) ->
     return rows[hit], place - last[hit], place - first[hit] + MATCH
 
 
-def sorted_runs(candidates: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, run) rows, and (text_key, order, first, after) rows of repeats that a task has found by itself, of
-    (text_key, order, t, places)."""
+_RUNS = "bucket int, n int, run binary, text_key long, `order` long, first long, after long"
+
+
+def _batch(bucket=None, n=None, run=None, text_key=None, order=None, first=None, after=None) -> pa.RecordBatch:
+    rows = len(run if run is not None else text_key)
+    cols = [(bucket, pa.int32()), (n, pa.int32()), (run, pa.binary()), (text_key, pa.int64()), (order, pa.int64()),
+            (first, pa.int64()), (after, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.nulls(rows, t) if c is None else pa.array(c, t) for c, t in cols],
+                                      ["bucket", "n", "run", "text_key", "order", "first", "after"])
 
-    def flush(held) -> Iterator[pa.RecordBatch]:
-        around = np.concatenate([h[0] for h in held])
-        info = {c: np.concatenate([h[1][c] for h in held]) for c, _ in _RUN}
+
+def _flush(held: list, buckets: int, base: int = 0, width: int = SHIFTS) -> Iterator[pa.RecordBatch]:
+    """Runs and repeats of (surroundings, columns) pairs, for each range of ``width`` offsets; buckets count from ``base``."""
+    all_around = np.concatenate([h[0] for h in held])
+    all_info = {c: np.concatenate([h[1][c] for h in held]) for c, _ in _RUN}
+    for a in range(0, SHIFTS, width):
+        z = min(a + width, SHIFTS) - 1  # strings that have the anchor at offsets a to z
+        around, info = all_around, all_info
+        if width < SHIFTS:
+            there = (info["low"] <= z) & (info["high"] >= a)
+            if not there.any():
+                continue
+            around, info = around[there], {c: x[there] for c, x in info.items()}
+            around[:, :LEFT - z] = 0
+            around[:, WIDTH - a:] = 0
+            info["low"], info["high"] = np.maximum(info["low"], a), np.minimum(info["high"], z)
         by = np.lexsort((info["place"], info["text_key"], info["order"]))
         by = by[np.argsort(around[by].view(f"S{WIDTH}").ravel(), kind="stable")]
         around, info = around[by], {c: x[by] for c, x in info.items()}
@@ -320,21 +344,26 @@ def sorted_runs(candidates: DataFrame, buckets: int) -> DataFrame:
         equal = np.concatenate([[False], (around[1:] == around[:-1]).all(1) & (info["low"][1:] == info["low"][:-1]) & (info["high"][1:] == info["high"][:-1])])
         gone = {c: x[equal] for c, x in info.items()}
         if equal.any():
-            yield batch(text_key=gone["text_key"], order=gone["order"], first=gone["place"] - gone["high"], after=gone["place"] - gone["low"] + MATCH)
+            yield _batch(text_key=gone["text_key"], order=gone["order"], first=gone["place"] - gone["high"], after=gone["place"] - gone["low"] + MATCH)
         around, info = around[~equal], {c: x[~equal] for c, x in info.items()}
-        bucket = (_hash(around[:, LEFT:LEFT + K], 1)[:, 0] >> np.uint64(11)) % np.uint64(buckets)
+        if width < SHIFTS:
+            key = np.zeros(len(around), np.uint64)
+            for column in around[:, LEFT - a:LEFT + MATCH - z].T:  # what all the strings share
+                key = (key + column + np.uint64(1)) * np.uint64(_ODD[0])
+                key ^= key >> np.uint64(29)
+        else:
+            key = _hash(around[:, LEFT:LEFT + K], 1)[:, 0]
+        bucket = (key >> np.uint64(11)) % np.uint64(buckets)
         by = np.lexsort((np.argsort(np.argsort(np.ascontiguousarray(around[:, LEFT:]).view(f"S{MATCH}").ravel(), kind="stable")), bucket))
         starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by].astype(np.int64)) != 0]))
-        for a, b in zip(starts, [*starts[1:], len(by)], strict=True):
-            rows = by[a:b]
-            yield batch(bucket=[int(bucket[rows[0]])], run=[pack_run(around[rows], {c: x[rows] for c, x in info.items()})])
+        for x, y in zip(starts, [*starts[1:], len(by)], strict=True):
+            rows = by[x:y]
+            yield _batch(bucket=[base + int(bucket[rows[0]])], n=[len(rows)], run=[pack_run(around[rows], {c: v[rows] for c, v in info.items()})])
+
 
-    def batch(bucket=None, run=None, text_key=None, order=None, first=None, after=None) -> pa.RecordBatch:
-        n = len(run if run is not None else text_key)
-        cols = [(bucket, pa.int32()), (run, pa.binary()), (text_key, pa.int64()), (order, pa.int64()),
-                (first, pa.int64()), (after, pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in cols],
-                                          ["bucket", "run", "text_key", "order", "first", "after"])
+def sorted_runs(candidates: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, n, run) rows of n suffixes, and (text_key, order, first, after) rows of repeats that a task has found by
+    itself, of (text_key, order, t, places)."""
 
     def run(batches):
         held, size = [], 0
@@ -351,13 +380,49 @@ def sorted_runs(candidates: DataFrame, buckets: int) -> DataFrame:
                         "low": np.clip(p + MATCH - n, 0, 255), "high": np.minimum(p, LEFT)}))
                     size += len(p)
                     if size >= RUN:
-                        yield from flush(held)
+                        yield from _flush(held, buckets)
                         held, size = [], 0
         if held:
-            yield from flush(held)
+            yield from _flush(held, buckets)
+
+    return candidates.select("text_key", "order", "t", "places").mapInArrow(run, _RUNS)
+
+
+def narrowed(runs: DataFrame, buckets: int, base: int, width: int) -> DataFrame:
+    """The suffixes of ``runs`` (run) in runs by ranges of ``width`` offsets."""
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for x in b.column(0):
+                _, suffixes, left, info = unpack_run(x.as_py())
+                right = np.frombuffer(b"".join(suffixes), np.uint8).reshape(-1, MATCH)
+                held.append((np.concatenate([left, right], 1), info))
+                size += len(suffixes)
+                if size >= RUN:
+                    yield from _flush(held, buckets, base, width)
+                    held, size = [], 0
+        if held:
+            yield from _flush(held, buckets, base, width)
+
+    return runs.select("run").mapInArrow(run, _RUNS)
+
 
-    return candidates.select("text_key", "order", "t", "places").mapInArrow(
-        run, "bucket int, run binary, text_key long, `order` long, first long, after long")
+def split_buckets(runs: DataFrame, buckets: int) -> DataFrame:
+    """``runs`` with the buckets of over 2 x BUCKET suffixes dealt anew, until there are none or a key is a whole string."""
+    least, base, done = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0, []
+    for width in NARROWER:
+        large = stored(runs.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * BUCKET), "large-buckets", rows=1)
+        n = large.agg(F.sum("n")).first()[0]
+        if not n:
+            break
+        large = F.broadcast(large.select("bucket"))  # at most one for each 2 x BUCKET suffixes
+        done.append(runs.join(large, "bucket", "left_anti"))
+        base, buckets = base + buckets, max(least, 4 * n // BUCKET)  # a suffix may go to several ranges
+        runs = stored(narrowed(runs.join(large, "bucket", "left_semi"), buckets, base, width), f"runs-{width}")
+    for part in done:
+        runs = runs.union(part.select(runs.columns))
+    return runs
 
 
 def merged_repeats(runs: DataFrame) -> DataFrame:
@@ -410,7 +475,7 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
     candidates = stored(keyed.select("order", "text_key", "t").dropDuplicates(["text_key", "order"]).join(wanted, ["text_key", "order"]), "candidates")
     n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)
-    runs = stored(sorted_runs(candidates, buckets), "runs")
+    runs = split_buckets(stored(sorted_runs(candidates, buckets), "runs"), buckets)
     covered = merged_repeats(runs.filter("run is not null").select("bucket", "run")) \
         .union(runs.filter("run is null").select("text_key", "order", "first", "after"))
     by_text = stored(covered.groupBy("text_key", "order").agg(F.collect_list(F.struct("first", "after")).alias("covered")), "covered")

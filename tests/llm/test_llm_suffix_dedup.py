@@ -110,3 +110,24 @@ def test_repeated_rows_are_one_document(spark):
     assert {r["n_removed"] for r in got if r["doc_id"] == 1} == {0}
     texts = [r["text"] for r in X.suffix_stage(docs).collect()]
     assert len(texts) == len(rows) and texts.count(first[1]) == 3
+
+
+@pytest.mark.parametrize("length", [60, 250])
+def test_no_bucket_grows_with_a_common_passage(spark, monkeypatch, length):
+    """A line shorter than a string, and a passage's edges, in documents that differ around it."""
+    monkeypatch.setattr(X, "BUCKET", 30)
+    sizes, real = [], X.merged_repeats
+
+    def merged(runs):
+        n = {}
+        for r in runs.select("bucket", "run").collect():
+            n[r["bucket"]] = n.get(r["bucket"], 0) + len(X.unpack_run(r["run"])[0])
+        sizes.append(max(n.values()))
+        return real(runs)
+
+    monkeypatch.setattr(X, "merged_repeats", merged)
+    rng = random.Random(length)
+    passage = C.prose(rng, 100)[:length]
+    rows = [(i, C.prose(rng, 30, 10**6) + passage + C.prose(rng, 30, 10**6) + (passage[-90:] if i % 3 else ""), "", "", 0) for i in range(300)]
+    assert result(X.suffix_dedup(C.frame(spark, rows))) == brute(rows)
+    assert sizes[0] <= 4 * X.BUCKET
