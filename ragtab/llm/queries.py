@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, langid, license_scan, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from . import (bpe, exact_dedup, langid, license_scan, merkle, mtree, ngram_join, packing, quality, suffix_dedup, toxicity, warc,
+               whitening)
 
 
 def _read(spark, sf_dir, table):
@@ -52,7 +53,19 @@ def op10_langid(spark, sf_dir):
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op11_mtree_topk(spark, sf_dir):
+    return mtree.exact_top_k(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark, sf_dir):
+    return merkle.merkle_manifest(_read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_warc, op3_ngram_join, op4_toxicity, op5_exact_dedup, op6_bpe, op7_packing, op8_quality,
-                                  op9_suffix_dedup, op10_langid)}
+                                  op9_suffix_dedup, op10_langid, op11_mtree_topk, op12_merkle_manifest, op13_whitening)}
 ORACLE = {"op2_warc": warc.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE,
-          "op9_suffix_dedup": suffix_dedup.ORACLE}
+          "op9_suffix_dedup": suffix_dedup.ORACLE, "op11_mtree_topk": mtree.ORACLE, "op12_merkle_manifest": merkle.ORACLE}
