@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragtab.functions.text import token_jaccard, tokens
-from ragtab.operators.topk import dense_topk, lexical_topk
+from ragtab.operators.lexical_index import LexicalIndex
+from ragtab.operators.topk import dense_topk, id_type, lexical_topk
 from ragtab.session import ensure_checkpoint_dir, sized_broadcast
 
 # Candidate widening of the advanced mode and the context header.
@@ -36,6 +37,10 @@ def jaccard_pair_score(query_text: Column, doc_text: Column) -> Column:
 def first_stage(queries: DataFrame, corpus: DataFrame, k: int, *, method: str = "lexical",
                 query_id: str = "id", query_col: str = "question", doc_id: str = "doc_id",
                 doc_col: str = "question", **kw) -> DataFrame:
+    if isinstance(corpus, LexicalIndex):  # stored postings: no text of the corpus is read
+        if method != "lexical" or (doc_id, doc_col) != (corpus.doc_id, corpus.text) or kw.get("embedder", corpus.embedder) != corpus.embedder:
+            raise ValueError("the index was made for another search")
+        return corpus.topk(queries, k, query_id=query_id, query_text=query_col, exclude_self=kw.get("exclude_self", False))
     if method == "lexical":
         return lexical_topk(queries, corpus, k, query_id=query_id, query_text=query_col,
                             doc_id=doc_id, doc_text=doc_col, **kw)
@@ -55,10 +60,16 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
 
     ``advanced`` widens the candidates to 10, reranks them by ``pair_score`` and
     keeps 3 (the caller's k is ignored, as in the reference). ``threshold`` keeps
-    ``score > threshold`` and acts last, on the first-stage score."""
+    ``score > threshold`` and acts last, on the first-stage score. ``corpus`` is a
+    table, or a ``LexicalIndex``: then only the values of the hits are read from its documents."""
     _require(corpus, [doc_id, doc_text, key], "corpus")
     _require(queries, [query_id, query_text], "queries")
     cand_k = ADVANCED_CANDIDATES if advanced else k
+    stored = isinstance(corpus, LexicalIndex)
+    if stored:
+        if dedupe_questions:
+            raise ValueError("an index has no search without repeated questions; ingest one document of each")
+        corpus = corpus.snapshot()
     if dedupe_questions:
         # off by default: the reference keeps one document per record, so top-k
         # may repeat a question; on, the lowest doc_id of each question text stays
@@ -73,13 +84,16 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
         n_q = queries.select(query_id).count()
     small = n_q * cand_k <= MAX_BROADCAST_HITS
     hb = F.broadcast(hits) if small else hits
-    need = [F.col(doc_id).cast("long").alias("doc_id"), F.col(key).alias("value")]
+    if stored:
+        corpus = corpus.documents()
+    ids = lambda df, name: F.col(name).cast(id_type(df.schema[name].dataType))
+    need = [ids(corpus, doc_id).alias("doc_id"), F.col(key).alias("value")]
     if advanced:
         need.append(F.col(doc_text).alias("doc_text"))
     docs = corpus.select(*need)
     out = docs.join(hb, "doc_id")
     if advanced:
-        qtext = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_text).alias("query_text"))
+        qtext = queries.select(ids(queries, query_id).alias("query_id"), F.col(query_text).alias("query_text"))
         out = out.join(qtext, "query_id")
         out = out.withColumn("rerank_score", F.round(pair_score(F.col("query_text"), F.col("doc_text")), 6))
         w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("doc_id"))
@@ -110,7 +124,7 @@ def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id
     # one context row per query with hits: broadcast under a checked row and byte bound
     per_q = sized_broadcast(per_q, MAX_BROADCAST_HITS, row_bytes=F.octet_length("_ctx") + F.lit(16))
     q = queries if keep_columns else queries.select(query_id)
-    out = q.join(per_q, F.col(query_id).cast("long") == F.col("_qid"), "left")
+    out = q.join(per_q, F.col(query_id).cast(id_type(q.schema[query_id].dataType)) == F.col("_qid"), "left")
     out = out.withColumn("context", F.coalesce("_ctx", F.lit(""))).drop("_qid", "_ctx")
     return out if keep_columns else out.select(query_id, "context")
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from ragtab.functions.text import EMBEDDERS
 from ragtab.session import ensure_parallel
@@ -39,21 +40,27 @@ from ragtab.session import ensure_parallel
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 MERGE_BLOCKS = 2_000  # corpus blocks from which on partial lists are merged in two levels
+_ID_DTYPES = {"long": np.int64, "string": "U1"}
 _CELLS = 4_000_000  # score cells (queries x corpus rows) per NumPy chunk
 
 
+def id_type(t: DataType) -> str:
+    """How ids of this type are carried: text stays text, numbers are longs."""
+    return "string" if isinstance(t, StringType) else "long"
+
+
 def round6(x: np.ndarray) -> np.ndarray:
     y = x * 1e6
     return np.sign(y) * np.floor(np.abs(y) + 0.5) / 1e6
 
 
 class _TopK:
-    """Running top-k per query under the order (score desc, doc_id asc)."""
+    """Running top-k per query under the order (score desc, doc_id asc). Ids are numbers or text."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, q_type: str = "long", d_type: str = "long"):
         self.k = k
-        self.q = np.empty(0, np.int64)
-        self.d = np.empty(0, np.int64)
+        self.q = np.empty(0, _ID_DTYPES[q_type])
+        self.d = np.empty(0, _ID_DTYPES[d_type])
         self.s = np.empty(0, np.float64)
 
     def add(self, q, d, s):
@@ -64,7 +71,7 @@ class _TopK:
         s = np.concatenate([self.s, s])
         order = np.lexsort((d, -s, q))
         q, d, s = q[order], d[order], s[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1]
+        starts = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
         sizes = np.diff(np.r_[starts, len(q)])
         pos = np.arange(len(q)) - np.repeat(starts, sizes)
         keep = pos < self.k
@@ -95,7 +102,8 @@ def _col(t, name: str) -> np.ndarray:
     c = t.column(t.schema.get_field_index(name))
     if isinstance(c, pa.ChunkedArray):
         c = c.combine_chunks()
-    return c.to_numpy(zero_copy_only=False)
+    x = c.to_numpy(zero_copy_only=False)
+    return x.astype(str) if x.dtype == object else x  # text ids: code point order, as Spark's
 
 
 def _as_list_array(x) -> pa.Array:
@@ -162,7 +170,7 @@ class LexicalKernel:
     def prepare(self, qids, qtokens):
         n = len(qids)
         r, c, cnt, vocab = _term_counts(qtokens)
-        self.qids = np.asarray(qids, dtype=np.int64)
+        self.qids = np.asarray(qids)
         self.qnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n))
         v = len(vocab)
         df_q = np.bincount(c, minlength=v)                 # queries holding each token
@@ -184,7 +192,7 @@ class LexicalKernel:
         n_q, n_d = len(self.qids), len(dids)
         if n_q == 0 or n_d == 0:
             return
-        dids = np.asarray(dids, dtype=np.int64)
+        dids = np.asarray(dids)
         r, c, cnt, uniq = _term_counts(dtokens)
         dnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n_d))
         if len(uniq):
@@ -245,7 +253,7 @@ class DenseKernel:
         self.metric = metric
 
     def prepare(self, qids, qvecs):
-        self.qids = np.asarray(qids, dtype=np.int64)
+        self.qids = np.asarray(qids)
         self.Q = _matrix(qvecs)
         self.qsq = (self.Q * self.Q).sum(axis=1)
         return self
@@ -254,7 +262,7 @@ class DenseKernel:
         n_q, n_d = len(self.qids), len(dids)
         if n_q == 0 or n_d == 0:
             return
-        dids = np.asarray(dids, dtype=np.int64)
+        dids = np.asarray(dids)
         D = _matrix(dvecs)
         dsq = (D * D).sum(axis=1)
         step = max(1, _CELLS // n_q)
@@ -295,9 +303,11 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
                   broadcast_bytes: int, corpus_blocks: int | None) -> DataFrame:
     """q: (qid, payload); d: (did, payload). Returns (query_id, doc_id, score, rank)."""
     spark = q.sparkSession
+    q_type, d_type = id_type(q.schema["qid"].dataType), id_type(d.schema["did"].dataType)
+    hit_schema = f"query_id {q_type}, doc_id {d_type}, score double"
     q_rows, q_bytes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_col), F.lit(0))).first()
     if q_rows == 0:
-        empty = spark.createDataFrame([], HIT_SCHEMA + ", rank long")
+        empty = spark.createDataFrame([], hit_schema + ", rank long")
         empty.query_rows = 0
         return empty
 
@@ -308,12 +318,12 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
         def scan(batches):
             qids, payload = bc.value
             kern = kernel.prepare(qids, payload)
-            acc = _TopK(k)
+            acc = _TopK(k, q_type, d_type)
             for b in batches:
                 kern.score_into(acc, _col(b, "did"), b.column(b.schema.get_field_index("payload")), exclude_self)
             yield pa.RecordBatch.from_pandas(acc.frame(), preserve_index=False)
 
-        partial = ensure_parallel(d).mapInArrow(scan, HIT_SCHEMA)
+        partial = ensure_parallel(d).mapInArrow(scan, hit_schema)
     else:
         # query blocks from the measured query bytes; corpus blocks from the
         # corpus's input splits (file metadata, no pass over the data)
@@ -325,14 +335,14 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
             "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
 
         def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
-            acc = _TopK(k)
+            acc = _TopK(k, q_type, d_type)
             if qt.num_rows and dt.num_rows:
                 kern = kernel.prepare(_col(qt, "qid"), qt.column("payload"))
                 kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
             return pa.Table.from_pandas(acc.frame(), preserve_index=False)
 
         partial = (qb.groupBy("qb", "db").cogroup(db.groupBy("qb", "db"))
-                   .applyInArrow(block, HIT_SCHEMA))
+                   .applyInArrow(block, hit_schema))
 
     order = (F.col("score").desc(), F.col("doc_id"))
     if d.rdd.getNumPartitions() > MERGE_BLOCKS:  # two levels, so a query's lists from very many blocks don't meet in one task
@@ -345,6 +355,10 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
     return out
 
 
+def _id(df: DataFrame, name: str):
+    return F.col(name).cast(id_type(df.schema[name].dataType))
+
+
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",
                  query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
                  exclude_self: bool = False, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
@@ -353,9 +367,9 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
     hash buckets with ``embedder="hashed"``; only rows sharing at least one feature are
     hits). Output: query_id, doc_id, score, rank."""
     tokens_of = EMBEDDERS[embedder]
-    q = queries.select(F.col(query_id).cast("long").alias("qid"), tokens_of(query_text).alias("payload"),
+    q = queries.select(_id(queries, query_id).alias("qid"), tokens_of(query_text).alias("payload"),
                        F.coalesce(F.octet_length(query_text), F.lit(0)).alias("_bytes"))
-    d = corpus.select(F.col(doc_id).cast("long").alias("did"), tokens_of(doc_text).alias("payload"))
+    d = corpus.select(_id(corpus, doc_id).alias("did"), tokens_of(doc_text).alias("payload"))
     # Upper bound of the Arrow size of a row's tokens without tokenizing: lower
     # case grows UTF-8 by at most 1.5x and there is at most one 4-byte offset per
     # two bytes of text; so 4 bytes per text byte, plus the id.
@@ -371,8 +385,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "
     """Best k corpus vectors per query vector. Rows with a NULL vector are not
     searched. Output: query_id, doc_id, score, rank."""
     q = queries.where(F.col(query_vec).isNotNull()).select(
-        F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("payload"))
+        _id(queries, query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("payload"))
     d = corpus.where(F.col(doc_vec).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("did"), F.col(doc_vec).cast("array<double>").alias("payload"))
+        _id(corpus, doc_id).alias("did"), F.col(doc_vec).cast("array<double>").alias("payload"))
     size = F.size("payload") * F.lit(8) + F.lit(16)
     return _blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks)

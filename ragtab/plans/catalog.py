@@ -744,3 +744,6 @@ def q_sweep_pending(spark, sf):
     root = work_path(spark, "sweep")
     X.answer_sweep(spark, q, {}, MODELS, [(None, False)], root, flaky_row_scorer)
     return X.pending_answers(spark, q, MODELS, G.NO_RAG, root).select("id", "model")
+
+
+from ragtab.plans import catalog_stored  # noqa: E402,F401  (registers the queries over stored tables)
