@@ -92,7 +92,7 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None
         if qt.num_rows and dt.num_rows:
             kern = kernel.prepare(_col(qt, "qid"), qt.column("payload"))
             kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
-        return pa.Table.from_pandas(acc.frame(), preserve_index=False)
+        return pa.Table.from_pandas(acc.frame(raw=False), preserve_index=False)
 
     partial = q.groupBy("cluster", "salt", "part").cogroup(docs.groupBy("cluster", "salt", "part")).applyInArrow(block, HIT_SCHEMA)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))

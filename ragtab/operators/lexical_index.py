@@ -128,12 +128,12 @@ class LexicalIndex:
         return grouped.applyInArrow(build, self.postings_schema), total
 
     def topk(self, queries: DataFrame, k: int, *, query_id: str = "id", query_text: str = "question", exclude_self: bool = False,
-             report: bool = False, block_bytes: int = BLOCK_BYTES):
-        """query_id, doc_id, score, rank: the rows of ``topk.lexical_topk`` over all documents. With ``report`` also a
+             report: bool = False, raw: bool = False, block_bytes: int = BLOCK_BYTES):
+        """query_id, doc_id, score, rank (and raw): the rows of ``topk.lexical_topk`` over all documents. With ``report`` also a
         table query_id, sharing (documents that have a term of the query), looked_at (of these, in how many a term was
         counted) and scored (in how many all terms were)."""
         if self.store.pinned is None:
-            return self.snapshot().topk(queries, k, query_id=query_id, query_text=query_text, exclude_self=exclude_self, report=report,
+            return self.snapshot().topk(queries, k, query_id=query_id, query_text=query_text, exclude_self=exclude_self, report=report, raw=raw,
                                         block_bytes=block_bytes)
         q_type = id_type(queries.schema[query_id].dataType)
         terms = queries.select(F.col(query_id).cast(q_type).alias("qid"), F.explode(EMBEDDERS[self.embedder](query_text)).alias("term"))
@@ -142,11 +142,12 @@ class LexicalIndex:
         rows, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0))).first()
         blocks = -(-size // block_bytes)
         found = [self._block(terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b), k, q_type, exclude_self) for b in range(blocks)]
-        schema = f"query_id {q_type}, doc_id {self.id_type}, score double, rank long"
+        schema = f"query_id {q_type}, doc_id {self.id_type}, score double, raw double, rank long"
         hits, cells = self.spark.createDataFrame([], schema), self.spark.createDataFrame(
             [], f"query_id {q_type}, sharing long, looked_at long, scored long")
         for at, (h, c) in enumerate(found):
             hits, cells = (h, c) if at == 0 else (hits.union(h), cells.union(c))
+        hits = hits if raw else hits.drop("raw")
         hits.query_rows = terms.select("qid").distinct().count() if rows else 0
         return (hits, cells) if report else hits
 
@@ -165,10 +166,10 @@ class LexicalIndex:
         for r in terms.toArrow().to_pylist():  # BLOCK_BYTES at most
             asked.setdefault(r["qid"], ({}, r["qn"]))[0][r["term"]] = r["c"]
         shared = spark.sparkContext.broadcast(asked)
-        out_schema = (f"query_id {q_type}, doc_id {self.id_type}, score double, sharing long, looked_at long, scored long")
+        out_schema = (f"query_id {q_type}, doc_id {self.id_type}, score double, raw double, sharing long, looked_at long, scored long")
         fields = pa.schema([("query_id", pa.string() if q_type == "string" else pa.int64()),
                             ("doc_id", pa.string() if self.id_type == "string" else pa.int64()), ("score", pa.float64()),
-                            ("sharing", pa.int64()), ("looked_at", pa.int64()), ("scored", pa.int64())])
+                            ("raw", pa.float64()), ("sharing", pa.int64()), ("looked_at", pa.int64()), ("scored", pa.int64())])
 
         def visit(asks: pa.Table, rows: pa.Table) -> pa.Table:
             segment = _Segment(rows) if asks.num_rows else None
@@ -195,7 +196,7 @@ class LexicalIndex:
         both = first.unionByName(run(open_.select("visited", "qid", "least")))
         hits = both.where("score is not null").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
         cells = both.where("score is null").groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("sharing", "looked_at", "scored")))
-        return hits.select("query_id", "doc_id", "score", "rank"), cells
+        return hits.select("query_id", "doc_id", "score", "raw", "rank"), cells
 
 
 class _Segment:
@@ -247,10 +248,11 @@ class _Segment:
                 rest = np.minimum(sums[i + 1], lengths[i + 1] * np.sqrt(np.maximum(1.0 - mass[live] / self.norms[live] ** 2, 0.0)))
                 alive[live[part + rest < floor]] = False
         live = np.flatnonzero(seen & alive)
-        score = round6(dots[live] / (qn * self.norms[live]))
-        good = (dots[live] > 0) & (score >= least - SLACK)
-        live, score = live[good], score[good]
+        exact = dots[live] / (qn * self.norms[live])
+        good = (dots[live] > 0) & (exact >= least - SLACK)
+        live, exact = live[good], exact[good]
+        score = round6(exact)
         top = np.lexsort((self.key[live], -score))[:k]
-        rows = [(qid, self.ids[int(live[j])].as_py(), float(score[j]), None, None, None) for j in top]
-        return [*rows, (qid, None, None, int(sharing.sum()), int(seen.sum()), len(live))]
+        rows = [(qid, self.ids[int(live[j])].as_py(), float(score[j]), float(exact[j]), None, None, None) for j in top]
+        return [*rows, (qid, None, None, None, int(sharing.sum()), int(seen.sum()), len(live))]
 

@@ -40,7 +40,7 @@ def first_stage(queries: DataFrame, corpus: DataFrame, k: int, *, method: str =
     if isinstance(corpus, LexicalIndex):  # stored postings: no text of the corpus is read
         if method != "lexical" or (doc_id, doc_col) != (corpus.doc_id, corpus.text) or kw.get("embedder", corpus.embedder) != corpus.embedder:
             raise ValueError("the index was made for another search")
-        return corpus.topk(queries, k, query_id=query_id, query_text=query_col, exclude_self=kw.get("exclude_self", False))
+        return corpus.topk(queries, k, query_id=query_id, query_text=query_col, exclude_self=kw.get("exclude_self", False), raw=kw.get("raw", False))
     if method == "lexical":
         return lexical_topk(queries, corpus, k, query_id=query_id, query_text=query_col,
                             doc_id=doc_id, doc_text=doc_col, **kw)
@@ -76,7 +76,7 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
         first = corpus.groupBy(doc_text).agg(F.min(doc_id).alias("_keep"))
         corpus = corpus.join(first.select(F.col("_keep").alias(doc_id)), doc_id, "left_semi")
     hits = first_stage(queries, corpus, cand_k, method=method, query_id=query_id,
-                       query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, **kw)
+                       query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, raw=True, **kw)
     n_q = getattr(hits, "query_rows", None)
     # Hits are at most |queries| x cand_k rows; broadcast them only under that
     # proven bound, so the corpus is read once and never shuffled.
@@ -101,7 +101,7 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
     else:
         out = out.withColumn("rerank_score", F.lit(None).cast("double"))
     if threshold is not None:
-        out = out.where(F.col("score") > F.lit(float(threshold)))
+        out = out.where(F.col("raw") > F.lit(float(threshold)))  # the score before rounding
     out = out.select("query_id", "rank", "doc_id", "score", "rerank_score", "value")
     if checkpoint:
         # Cut the lineage of the expensive search, values included: size checks and

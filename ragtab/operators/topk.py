@@ -62,36 +62,39 @@ class _TopK:
         self.q = np.empty(0, _ID_DTYPES[q_type])
         self.d = np.empty(0, _ID_DTYPES[d_type])
         self.s = np.empty(0, np.float64)
+        self.raw = np.empty(0, np.float64)
 
-    def add(self, q, d, s):
+    def add(self, q, d, raw):
         if len(q) == 0:
             return
         q = np.concatenate([self.q, q])
         d = np.concatenate([self.d, d])
-        s = np.concatenate([self.s, s])
+        raw = np.concatenate([self.raw, raw])
+        s = round6(raw)
         order = np.lexsort((d, -s, q))
-        q, d, s = q[order], d[order], s[order]
+        q, d, s, raw = q[order], d[order], s[order], raw[order]
         starts = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
         sizes = np.diff(np.r_[starts, len(q)])
         pos = np.arange(len(q)) - np.repeat(starts, sizes)
         keep = pos < self.k
-        self.q, self.d, self.s = q[keep], d[keep], s[keep]
+        self.q, self.d, self.s, self.raw = q[keep], d[keep], s[keep], raw[keep]
 
-    def add_matrix(self, qids, dids, score, valid):
-        """Add the best k candidates of each row of a score matrix (ties at the
-        k-th value are kept here and cut exactly by ``add``)."""
-        n_d = score.shape[1]
-        masked = np.where(valid, score, -np.inf)
+    def add_matrix(self, qids, dids, raw, valid):
+        """Add the best k candidates of each row of a matrix of unrounded scores
+        (ties at the k-th rounded value are kept here and cut exactly by ``add``)."""
+        n_d = raw.shape[1]
+        masked = np.where(valid, round6(raw), -np.inf)
         if n_d > self.k:
             kth = np.partition(masked, n_d - self.k, axis=1)[:, n_d - self.k]
             cand = valid & (masked >= kth[:, None])
         else:
             cand = valid
         qi, di = np.nonzero(cand)
-        self.add(qids[qi], dids[di], score[qi, di])
+        self.add(qids[qi], dids[di], raw[qi, di])
 
-    def frame(self) -> pd.DataFrame:
-        return pd.DataFrame({"query_id": self.q, "doc_id": self.d, "score": self.s})
+    def frame(self, raw: bool = True) -> pd.DataFrame:
+        out = pd.DataFrame({"query_id": self.q, "doc_id": self.d, "score": self.s})
+        return out.assign(raw=self.raw) if raw else out
 
 
 # --------------------------------------------------------------------------------
@@ -240,7 +243,7 @@ class LexicalKernel:
             if exclude_self:
                 valid &= self.qids[:, None] != dids[None, lo:hi]
             with np.errstate(divide="ignore", invalid="ignore"):
-                score = round6(dots / (self.qnorm[:, None] * dnorm[None, lo:hi]))
+                score = dots / (self.qnorm[:, None] * dnorm[None, lo:hi])
             acc.add_matrix(self.qids, dids[lo:hi], score, valid)
 
 
@@ -273,7 +276,7 @@ class DenseKernel:
                 den = np.sqrt(self.qsq)[:, None] * np.sqrt(dsq[lo:hi])[None, :]
                 valid = den > 0
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    score = round6(np.where(valid, S / np.where(valid, den, 1.0), 0.0))
+                    score = np.where(valid, S / np.where(valid, den, 1.0), 0.0)
             else:
                 # the expanded square cancels for long vectors: it only selects candidates, within its error bound
                 d2 = self.qsq[:, None] + dsq[None, lo:hi] - 2.0 * S
@@ -288,7 +291,7 @@ class DenseKernel:
                 for at in range(0, len(qi), _CELLS // max(1, self.Q.shape[1])):
                     a, b = qi[at:at + _CELLS // max(1, self.Q.shape[1])], di[at:at + _CELLS // max(1, self.Q.shape[1])]
                     exact = ((self.Q[a] - D[lo + b]) ** 2).sum(axis=1)
-                    acc.add(self.qids[a], dids[lo + b], round6(1.0 - exact / math.sqrt(2.0)))
+                    acc.add(self.qids[a], dids[lo + b], 1.0 - exact / math.sqrt(2.0))
                 continue
             valid &= np.isfinite(score)  # NaN/inf components never rank (Spark orders NaN first)
             if exclude_self:
@@ -301,10 +304,11 @@ class DenseKernel:
 # --------------------------------------------------------------------------------
 def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_self: bool,
                   broadcast_bytes: int, corpus_blocks: int | None) -> DataFrame:
-    """q: (qid, payload); d: (did, payload). Returns (query_id, doc_id, score, rank)."""
+    """q: (qid, payload); d: (did, payload). Returns (query_id, doc_id, score, raw, rank); raw is the score before
+    rounding, which thresholds are compared with."""
     spark = q.sparkSession
     q_type, d_type = id_type(q.schema["qid"].dataType), id_type(d.schema["did"].dataType)
-    hit_schema = f"query_id {q_type}, doc_id {d_type}, score double"
+    hit_schema = f"query_id {q_type}, doc_id {d_type}, score double, raw double"
     q_rows, q_bytes = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_col), F.lit(0))).first()
     if q_rows == 0:
         empty = spark.createDataFrame([], hit_schema + ", rank long")
@@ -355,6 +359,12 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
     return out
 
 
+def _public(hits: DataFrame, raw: bool) -> DataFrame:
+    out = hits if raw else hits.drop("raw")
+    out.query_rows = hits.query_rows
+    return out
+
+
 def _id(df: DataFrame, name: str):
     return F.col(name).cast(id_type(df.schema[name].dataType))
 
@@ -362,10 +372,10 @@ def _id(df: DataFrame, name: str):
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",
                  query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
                  exclude_self: bool = False, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                 corpus_blocks: int | None = None, embedder: str = "lexical") -> DataFrame:
+                 corpus_blocks: int | None = None, embedder: str = "lexical", raw: bool = False) -> DataFrame:
     """Best k corpus rows per query by cosine of the texts' feature counts (terms, or
     hash buckets with ``embedder="hashed"``; only rows sharing at least one feature are
-    hits). Output: query_id, doc_id, score, rank."""
+    hits). Output: query_id, doc_id, score, rank, and with ``raw`` the unrounded score."""
     tokens_of = EMBEDDERS[embedder]
     q = queries.select(_id(queries, query_id).alias("qid"), tokens_of(query_text).alias("payload"),
                        F.coalesce(F.octet_length(query_text), F.lit(0)).alias("_bytes"))
@@ -374,19 +384,19 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
     # case grows UTF-8 by at most 1.5x and there is at most one 4-byte offset per
     # two bytes of text; so 4 bytes per text byte, plus the id.
     size = F.col("_bytes") * F.lit(4) + F.lit(16)
-    return _blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks)
+    return _public(_blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks), raw)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "cosine",
                query_id: str = "id", query_vec: str = "embedding", doc_id: str = "doc_id",
                doc_vec: str = "embedding", exclude_self: bool = False,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-               corpus_blocks: int | None = None) -> DataFrame:
+               corpus_blocks: int | None = None, raw: bool = False) -> DataFrame:
     """Best k corpus vectors per query vector. Rows with a NULL vector are not
-    searched. Output: query_id, doc_id, score, rank."""
+    searched. Output: query_id, doc_id, score, rank, and with ``raw`` the unrounded score."""
     q = queries.where(F.col(query_vec).isNotNull()).select(
         _id(queries, query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("payload"))
     d = corpus.where(F.col(doc_vec).isNotNull()).select(
         _id(corpus, doc_id).alias("did"), F.col(doc_vec).cast("array<double>").alias("payload"))
     size = F.size("payload") * F.lit(8) + F.lit(16)
-    return _blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks)
+    return _public(_blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks), raw)
