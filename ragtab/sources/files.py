@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ragtab.functions.vectors import norm
+from ragtab.sources.quoted_csv import read_quoted_csv
 
 RESULT_KEYS = ("experiment", "verifier", "model")
 
 
 def read_qa_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Header CSV whose cells may hold commas, doubled quotes and newlines;
-    explicit schema, never inferred."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').csv(path))
+    explicit schema, never inferred. A large file is read by many tasks."""
+    return read_quoted_csv(spark, path, schema)
 
 
 def write_qa_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite") -> None:
-    """S5 (CSV export): same dialect as ``read_qa_csv``."""
-    w = df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+    """S5 (CSV export): same dialect as ``read_qa_csv``. Rows of a partition value are
+    brought together (a large one is split by size): few files per folder."""
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path)
@@ -57,7 +58,7 @@ def read_results_csv(spark: SparkSession, root: str, schema: StructType | str, v
     ``llama3.1``), both percent-decoded; allow-lists filter both."""
     from ragtab.functions.text import file_stem
 
-    df = read_qa_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema).select("*", "_metadata.file_path")
+    df = read_quoted_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema, with_path=True)
     df = (df.withColumn("verifier", F.url_decode(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)))
           .withColumn("model", F.url_decode(file_stem("file_path"))).drop("file_path"))
     if verifiers is not None:
@@ -77,7 +78,7 @@ def read_experiments(spark: SparkSession, root: str, schema: StructType | str,
     """S3: CSV answer files laid out as ``<experiment>/<model>/<file>.csv`` (or
     ``experiment=<..>/model=<..>/``); the two folder names become columns
     (percent-decoded), and folders whose name contains ``.ipynb`` are skipped (P9)."""
-    df = read_qa_csv(spark, f"{root.rstrip('/')}/{pattern}", schema).select("*", "_metadata.file_path")
+    df = read_quoted_csv(spark, f"{root.rstrip('/')}/{pattern}", schema, with_path=True)
     seg = r"([^/]+)/([^/]+)/[^/]+$"
     exp = F.url_decode(F.regexp_replace(F.regexp_extract("file_path", seg, 1), r"^[^=]+=", ""))
     mod = F.url_decode(F.regexp_replace(F.regexp_extract("file_path", seg, 2), r"^[^=]+=", ""))
