@@ -50,21 +50,16 @@ def first_stage(queries: DataFrame, corpus: DataFrame, k: int, *, method: str =
     raise ValueError(f"unknown retrieval method {method!r}")
 
 
-def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str = "response",
-                  advanced: bool = False, threshold: float | None = None, method: str = "lexical",
-                  query_id: str = "id", query_text: str = "question", doc_id: str = "doc_id",
-                  doc_text: str = "question", query_vec: str | None = None, doc_vec: str | None = None,
-                  pair_score: Callable[[Column, Column], Column] = jaccard_pair_score,
-                  checkpoint: bool = True, dedupe_questions: bool = False, **kw) -> DataFrame:
-    """Surviving hits: query_id, rank, doc_id, score, rerank_score, value.
-
-    ``advanced`` widens the candidates to 10, reranks them by ``pair_score`` and
-    keeps 3 (the caller's k is ignored, as in the reference). ``threshold`` keeps
-    ``score > threshold`` and acts last, on the first-stage score. ``corpus`` is a
-    table, or a ``LexicalIndex``: then only the values of the hits are read from its documents."""
+def candidates(queries: DataFrame, corpus: DataFrame, k: int, *, key: str = "response", method: str = "lexical",
+               query_id: str = "id", query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
+               query_vec: str | None = None, doc_vec: str | None = None, with_text: bool = True, checkpoint: bool = True,
+               dedupe_questions: bool = False, **kw) -> DataFrame:
+    """First-stage hits with their values: query_id, rank, doc_id, score, raw, value and, ``with_text``, doc_text.
+
+    One search serves every setting with the same corpus and embedder: see ``cut``. ``corpus`` is a table, or a
+    ``LexicalIndex``: then only the values of the hits are read from its documents."""
     _require(corpus, [doc_id, doc_text, key], "corpus")
     _require(queries, [query_id, query_text], "queries")
-    cand_k = ADVANCED_CANDIDATES if advanced else k
     stored = isinstance(corpus, LexicalIndex)
     if stored:
         if dedupe_questions:
@@ -75,34 +70,20 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
         # may repeat a question; on, the lowest doc_id of each question text stays
         first = corpus.groupBy(doc_text).agg(F.min(doc_id).alias("_keep"))
         corpus = corpus.join(first.select(F.col("_keep").alias(doc_id)), doc_id, "left_semi")
-    hits = first_stage(queries, corpus, cand_k, method=method, query_id=query_id,
+    hits = first_stage(queries, corpus, k, method=method, query_id=query_id,
                        query_col=query_vec or query_text, doc_id=doc_id, doc_col=doc_vec or doc_text, raw=True, **kw)
     n_q = getattr(hits, "query_rows", None)
-    # Hits are at most |queries| x cand_k rows; broadcast them only under that
+    # Hits are at most |queries| x k rows; broadcast them only under that
     # proven bound, so the corpus is read once and never shuffled.
     if n_q is None:
         n_q = queries.select(query_id).count()
-    small = n_q * cand_k <= MAX_BROADCAST_HITS
-    hb = F.broadcast(hits) if small else hits
+    hb = F.broadcast(hits) if n_q * k <= MAX_BROADCAST_HITS else hits
     if stored:
         corpus = corpus.documents()
-    ids = lambda df, name: F.col(name).cast(id_type(df.schema[name].dataType))
-    need = [ids(corpus, doc_id).alias("doc_id"), F.col(key).alias("value")]
-    if advanced:
+    need = [_id(corpus, doc_id).alias("doc_id"), F.col(key).alias("value")]
+    if with_text:
         need.append(F.col(doc_text).alias("doc_text"))
-    docs = corpus.select(*need)
-    out = docs.join(hb, "doc_id")
-    if advanced:
-        qtext = queries.select(ids(queries, query_id).alias("query_id"), F.col(query_text).alias("query_text"))
-        out = out.join(qtext, "query_id")
-        out = out.withColumn("rerank_score", F.round(pair_score(F.col("query_text"), F.col("doc_text")), 6))
-        w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("doc_id"))
-        out = out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= ADVANCED_KEEP)
-    else:
-        out = out.withColumn("rerank_score", F.lit(None).cast("double"))
-    if threshold is not None:
-        out = out.where(F.col("raw") > F.lit(float(threshold)))  # the score before rounding
-    out = out.select("query_id", "rank", "doc_id", "score", "rerank_score", "value")
+    out = corpus.select(*need).join(hb, "doc_id").select("query_id", "rank", "doc_id", "score", "raw", "value", *(["doc_text"] if with_text else []))
     if checkpoint:
         # Cut the lineage of the expensive search, values included: size checks and
         # joins reread the few hits from the shared checkpoint folder, never the corpus,
@@ -112,6 +93,41 @@ def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, key: str
     return out
 
 
+def _id(df: DataFrame, name: str) -> Column:
+    return F.col(name).cast(id_type(df.schema[name].dataType))
+
+
+def cut(found: DataFrame, queries: DataFrame, *, k: int = 4, advanced: bool = False, threshold: float | None = None,
+        query_id: str = "id", query_text: str = "question",
+        pair_score: Callable[[Column, Column], Column] = jaccard_pair_score) -> DataFrame:
+    """The surviving hits of a setting from candidates of a search with at least its k (10 if ``advanced``)."""
+    if advanced:
+        out = found.where(F.col("rank") <= ADVANCED_CANDIDATES).drop("rank")
+        out = out.join(queries.select(_id(queries, query_id).alias("query_id"), F.col(query_text).alias("query_text")), "query_id")
+        out = out.withColumn("rerank_score", F.round(pair_score(F.col("query_text"), F.col("doc_text")), 6))
+        w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("doc_id"))
+        out = out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= ADVANCED_KEEP)
+    else:
+        out = found.where(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
+    if threshold is not None:
+        out = out.where(F.col("raw") > F.lit(float(threshold)))  # the score before rounding
+    return out.select("query_id", "rank", "doc_id", "score", "rerank_score", "value")
+
+
+def retrieve_hits(queries: DataFrame, corpus: DataFrame, *, k: int = 4, advanced: bool = False, threshold: float | None = None,
+                  query_id: str = "id", query_text: str = "question",
+                  pair_score: Callable[[Column, Column], Column] = jaccard_pair_score, checkpoint: bool = True, **kw) -> DataFrame:
+    """Surviving hits: query_id, rank, doc_id, score, rerank_score, value.
+
+    ``advanced`` widens the candidates to 10, reranks them by ``pair_score`` and
+    keeps 3 (the caller's k is ignored, as in the reference). ``threshold`` keeps
+    ``score > threshold`` and acts last, on the first-stage score. ``corpus`` is a
+    table or a ``LexicalIndex``."""
+    found = candidates(queries, corpus, ADVANCED_CANDIDATES if advanced else k, query_id=query_id, query_text=query_text,
+                       with_text=advanced, checkpoint=checkpoint, **kw)
+    return cut(found, queries, k=k, advanced=advanced, threshold=threshold, query_id=query_id, query_text=query_text, pair_score=pair_score)
+
+
 def assemble_context(queries: DataFrame, hits: DataFrame, *, query_id: str = "id",
                      header: str = CONTEXT_HEADER, keep_columns: bool = False) -> DataFrame:
     """G1: one row per query: header then ``- value`` lines in rank order, or ''

@@ -357,9 +357,12 @@ SELECT experiment, CAST(count(*) AS BIGINT) AS n_models, round(avg(time), 6) AS
 def q_compare_settings(spark, sf):
     t = Tables(spark, sf)
     pairs, corpora = t.qa_pairs(), {"test": t.corpus_pairs(), "docs": t.corpus_docs()}
-    a = t.answers()
+    a, found = t.answers(), {}
     for mode, emb, adv in SETTINGS:
-        a = a.unionByName(A.answer_extractive(pairs, corpora[mode], MODELS, G.NAME_FORMAT % (mode, emb, adv), advanced=adv, embedder=emb))
+        if (mode, emb) not in found:  # one search for plain and reranked answers
+            found[mode, emb] = RT.candidates(pairs, corpora[mode], RT.ADVANCED_CANDIDATES, embedder=emb)
+        a = a.unionByName(A.answer_extractive(pairs, corpora[mode], MODELS, G.NAME_FORMAT % (mode, emb, adv), advanced=adv, found=found[mode, emb]))
+    a = a.checkpoint(eager=True)  # judged, and joined with its judgements
     return R.compare_settings(J.judge_rows(a, t.judge_raw(a)))
 
 

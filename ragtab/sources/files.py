@@ -6,6 +6,8 @@ other characters in them), never file names."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,6 +61,7 @@ def read_results_csv(spark: SparkSession, root: str, schema: StructType | str, v
     from ragtab.functions.text import file_stem
 
     df = read_quoted_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema, with_path=True)
+    df = df.where(~F.col("file_path").contains(".ipynb"))  # P9
     df = (df.withColumn("verifier", F.url_decode(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)))
           .withColumn("model", F.url_decode(file_stem("file_path"))).drop("file_path"))
     if verifiers is not None:
@@ -68,6 +71,24 @@ def read_results_csv(spark: SparkSession, root: str, schema: StructType | str, v
     return df
 
 
+def write_results_csv(df: DataFrame, root: str) -> None:
+    """The results as a tree of CSV files ``<root>/<verifier>/<model>.csv``, one file each, for tools that read this layout
+    (``write_results`` is the layout for large tables). Names are percent-encoded where they hold ``/`` or ``%``."""
+    spark = df.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in df.select("verifier", "model").distinct().collect():  # the grid of verifiers and models
+        verifier, model = (r[c].replace("%", "%25").replace("/", "%2F") for c in ("verifier", "model"))
+        part = f"{root.rstrip('/')}/_{uuid.uuid4().hex}"
+        own = df.where((F.col("verifier") == r["verifier"]) & (F.col("model") == r["model"])).drop("verifier", "model")
+        write_qa_csv(own.coalesce(1), part)
+        target = fs_path(f"{root.rstrip('/')}/{verifier}")
+        fs.mkdirs(target)
+        for f in fs.globStatus(fs_path(f"{part}/part-*.csv")):
+            fs.rename(f.getPath(), fs_path(target, f"{model}.csv"))
+        fs.delete(fs_path(part), True)
+
+
 def list_models(results: DataFrame) -> DataFrame:
     """Distinct model names of a results tree (a partition column)."""
     return results.select("model").distinct()
