@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ragtab.functions.text import EMBEDDERS
-from ragtab.operators.topk import id_type, round6
+from ragtab.operators.topk import id_type, round6, term_counts
 from ragtab.session import ensure_checkpoint_dir
 from ragtab.sources.batches import BatchTables, one_row_per_key
 
@@ -107,9 +107,7 @@ class LexicalIndex:
                             ("norms", pa.list_(pa.float64()))])
 
         def build(t: pa.Table) -> pa.Table:
-            from ragtab.operators.topk import _term_counts
-
-            row, term, count, names = _term_counts(t["tokens"])
+            row, term, count, names = term_counts(t["tokens"])
             norms = np.sqrt(np.bincount(row, weights=count * count, minlength=t.num_rows))
             order = np.lexsort((row, term))
             row, term, count = row[order], term[order], count[order]

@@ -14,7 +14,7 @@ Plan (the same for lexical and dense scoring):
    * Grid plan: otherwise both sides are hashed into blocks; each query block is
      replicated once per corpus block and vice versa, and ``cogroup`` gives each
      task one (query block, corpus block) pair. Query blocks are sized from the
-     measured query bytes, corpus blocks follow the corpus's input splits.
+     measured query bytes, corpus blocks from the measured corpus bytes.
 3. Final top-k: ``row_number`` over ``(query_id)`` ordered by (score desc,
    doc_id asc) ``<= k`` -- Spark plans it with ``WindowGroupLimit``.
 
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType
 
 from ragtab.functions.text import EMBEDDERS
-from ragtab.session import ensure_parallel
+from ragtab.session import ensure_parallel, sized_broadcast
 
 HIT_SCHEMA = "query_id long, doc_id long, score double"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
+BLOCK_BYTES = 32 * 1024 * 1024  # of a corpus block in the grid plan
 MERGE_BLOCKS = 2_000  # corpus blocks from which on partial lists are merged in two levels
 _ID_DTYPES = {"long": np.int64, "string": "U1"}
 _CELLS = 4_000_000  # score cells (queries x corpus rows) per NumPy chunk
@@ -119,7 +120,7 @@ def _as_list_array(x) -> pa.Array:
     return pa.array([None if t is None else list(t) for t in x], type=pa.list_(pa.string()))
 
 
-def _term_counts(tokens):
+def term_counts(tokens):
     """(row, code, count) of the distinct tokens of each row and the token
     dictionary; all in Arrow/NumPy (no Python object per token)."""
     arr = _as_list_array(tokens)
@@ -170,9 +171,14 @@ class LexicalKernel:
     def __init__(self, hot_share: float = 1 / 32):
         self.hot_share = hot_share
 
+    @staticmethod
+    def terms(payload):
+        """(row, code, weight) of each row's features, and the features."""
+        return term_counts(payload)
+
     def prepare(self, qids, qtokens):
         n = len(qids)
-        r, c, cnt, vocab = _term_counts(qtokens)
+        r, c, cnt, vocab = self.terms(qtokens)
         self.qids = np.asarray(qids)
         self.qnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n))
         v = len(vocab)
@@ -196,7 +202,7 @@ class LexicalKernel:
         if n_q == 0 or n_d == 0:
             return
         dids = np.asarray(dids)
-        r, c, cnt, uniq = _term_counts(dtokens)
+        r, c, cnt, uniq = self.terms(dtokens)
         dnorm = np.sqrt(np.bincount(r, weights=cnt * cnt, minlength=n_d))
         if len(uniq):
             pos = pc.fill_null(pc.index_in(uniq, value_set=self.vocab), -1)
@@ -247,6 +253,20 @@ class LexicalKernel:
             acc.add_matrix(self.qids, dids[lo:hi], score, valid)
 
 
+class WeightedKernel(LexicalKernel):
+    """Cosine of sparse vectors given as (index, weight) pairs, an index at most once a row; weights above 0."""
+
+    @staticmethod
+    def terms(payload):
+        arr = payload.combine_chunks() if isinstance(payload, pa.ChunkedArray) else payload
+        lens = pc.fill_null(pc.list_value_length(arr), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pc.list_flatten(arr)
+        index, weight = pc.struct_field(flat, "index"), pc.struct_field(flat, "weight").to_numpy(zero_copy_only=False)
+        enc = pc.dictionary_encode(index)
+        return (np.repeat(np.arange(len(arr), dtype=np.int64), lens), enc.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                weight.astype(np.float64), enc.dictionary)
+
+
 class DenseKernel:
     """Cosine, or the relevance ``1 - d/sqrt(2)`` of the squared L2 distance d."""
 
@@ -302,8 +322,32 @@ class DenseKernel:
 # --------------------------------------------------------------------------------
 # plans
 # --------------------------------------------------------------------------------
+def with_byte_blocks(df: DataFrame, key: str, size, most: int, name: str, least_blocks: int = 1) -> tuple[DataFrame, int]:
+    """``df`` with a block number ``name``, and the number of blocks: a block has at most ``most`` bytes (of ``size``).
+
+    One light aggregate measures the bytes, rows go to ranges of the key's hash that hold half the bound on average, a
+    second measures the ranges. A range over the bound is dealt by a second hash to as many blocks of its own as its bytes
+    ask for; then a block exceeds the bound only where it holds a row that does, or many copies of one row."""
+    spark = df.sparkSession
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = max(least_blocks, -(-2 * total // most), 1)
+    ranged = df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
+    over = ranged.groupBy(name).agg(F.sum(size).cast("long").alias("bytes")).where(F.col("bytes") > most).orderBy(name).collect()
+    if not over:
+        return ranged, n
+    rows = []
+    for r in over:  # ranges with very long rows, or with many rows of one key
+        parts = -(-4 * r["bytes"] // most)
+        rows.append((r[name], n, parts))
+        n += parts
+    split = spark.createDataFrame(rows, f"{name} long, _first long, _parts long")
+    deal = F.col("_first") + F.pmod(F.xxhash64(F.lit(1), key, "payload"), F.col("_parts"))
+    dealt = ranged.join(sized_broadcast(split, 100_000), name, "left").withColumn(name, F.coalesce(deal, F.col(name)))
+    return dealt.drop("_first", "_parts"), n
+
+
 def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_self: bool,
-                  broadcast_bytes: int, corpus_blocks: int | None) -> DataFrame:
+                  broadcast_bytes: int, corpus_blocks: int | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """q: (qid, payload); d: (did, payload). Returns (query_id, doc_id, score, raw, rank); raw is the score before
     rounding, which thresholds are compared with."""
     spark = q.sparkSession
@@ -327,16 +371,13 @@ def _blocked_topk(q: DataFrame, d: DataFrame, k: int, kernel, size_col, exclude_
                 kern.score_into(acc, _col(b, "did"), b.column(b.schema.get_field_index("payload")), exclude_self)
             yield pa.RecordBatch.from_pandas(acc.frame(), preserve_index=False)
 
-        partial = ensure_parallel(d).mapInArrow(scan, hit_schema)
+        partial = ensure_parallel(d.select("did", "payload")).mapInArrow(scan, hit_schema)
     else:
-        # query blocks from the measured query bytes; corpus blocks from the
-        # corpus's input splits (file metadata, no pass over the data)
-        bq = max(1, math.ceil(q_bytes / broadcast_bytes))
-        bd = corpus_blocks or max(1, d.rdd.getNumPartitions())
-        qb = q.select("qid", "payload").withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(bq))).withColumn(
-            "db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1)).cast("array<long>")))
-        db = d.withColumn("db", F.pmod(F.xxhash64("did"), F.lit(bd))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
+        # blocks of both sides are bounded by their measured bytes
+        qb, bq = with_byte_blocks(q, "qid", size_col, broadcast_bytes, "qb")
+        db, bd = with_byte_blocks(d, "did", size_col, block_bytes, "db", corpus_blocks or 1)
+        qb = qb.select("qid", "payload", "qb").withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(bd - 1)).cast("array<long>")))
+        db = db.select("did", "payload", "db").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)).cast("array<long>")))
 
         def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
             acc = _TopK(k, q_type, d_type)
@@ -372,26 +413,28 @@ def _id(df: DataFrame, name: str):
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id",
                  query_text: str = "question", doc_id: str = "doc_id", doc_text: str = "question",
                  exclude_self: bool = False, broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                 corpus_blocks: int | None = None, embedder: str = "lexical", raw: bool = False) -> DataFrame:
+                 corpus_blocks: int | None = None, embedder: str = "lexical", raw: bool = False,
+                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best k corpus rows per query by cosine of the texts' feature counts (terms, or
     hash buckets with ``embedder="hashed"``; only rows sharing at least one feature are
     hits). Output: query_id, doc_id, score, rank, and with ``raw`` the unrounded score."""
     tokens_of = EMBEDDERS[embedder]
     q = queries.select(_id(queries, query_id).alias("qid"), tokens_of(query_text).alias("payload"),
                        F.coalesce(F.octet_length(query_text), F.lit(0)).alias("_bytes"))
-    d = corpus.select(_id(corpus, doc_id).alias("did"), tokens_of(doc_text).alias("payload"))
+    d = corpus.select(_id(corpus, doc_id).alias("did"), tokens_of(doc_text).alias("payload"),
+                      F.coalesce(F.octet_length(doc_text), F.lit(0)).alias("_bytes"))
     # Upper bound of the Arrow size of a row's tokens without tokenizing: lower
     # case grows UTF-8 by at most 1.5x and there is at most one 4-byte offset per
     # two bytes of text; so 4 bytes per text byte, plus the id.
     size = F.col("_bytes") * F.lit(4) + F.lit(16)
-    return _public(_blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks), raw)
+    return _public(_blocked_topk(q, d, k, LexicalKernel(), size, exclude_self, broadcast_bytes, corpus_blocks, block_bytes), raw)
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "cosine",
                query_id: str = "id", query_vec: str = "embedding", doc_id: str = "doc_id",
                doc_vec: str = "embedding", exclude_self: bool = False,
                broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-               corpus_blocks: int | None = None, raw: bool = False) -> DataFrame:
+               corpus_blocks: int | None = None, raw: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Best k corpus vectors per query vector. Rows with a NULL vector are not
     searched. Output: query_id, doc_id, score, rank, and with ``raw`` the unrounded score."""
     q = queries.where(F.col(query_vec).isNotNull()).select(
@@ -399,4 +442,4 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, *, metric: str = "
     d = corpus.where(F.col(doc_vec).isNotNull()).select(
         _id(corpus, doc_id).alias("did"), F.col(doc_vec).cast("array<double>").alias("payload"))
     size = F.size("payload") * F.lit(8) + F.lit(16)
-    return _public(_blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks), raw)
+    return _public(_blocked_topk(q, d, k, DenseKernel(metric), size, exclude_self, broadcast_bytes, corpus_blocks, block_bytes), raw)

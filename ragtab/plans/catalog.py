@@ -612,13 +612,13 @@ def q_generate_batch(spark, sf):
 
 @register("embed_batch", O.with_views(
     ["bench_questions", "corpus_docs"],
-    O.lexical_scores_ctes("eb", "bench_questions", "id", "question", "corpus_docs", "doc_id", "question", hashed=True)
-    + [O.topk_cte("eb", 4)],
+    O.weighted_scores_ctes("eb", "bench_questions", "id", "question", "corpus_docs", "doc_id", "question") + [O.topk_cte("eb", 4)],
     "SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM eb_top"))
 def q_embed_batch(spark, sf):
-    """Hashed embeddings, kept sparse from the text to the score."""
+    """IDF fitted on the corpus, both sides embedded, searched; sparse from the text to the score."""
     t = Tables(spark, sf)
-    return topk.lexical_topk(t.bench_questions(), t.corpus_docs(), 4, embedder="hashed")
+    idf = EM.fit_idf(t.corpus_docs())
+    return EM.sparse_topk(EM.embed(t.bench_questions(), idf), EM.embed(t.corpus_docs(), idf), 4)
 
 
 @register("approx_topk_all_probes", ORACLE["dense_topk_cosine"])
@@ -720,10 +720,11 @@ def q_route_questions_model(spark, sf):
     "SELECT query_id, doc_id, score, CAST(rank AS BIGINT) AS rank FROM lg_top"))
 def q_lexical_topk_grid(spark, sf):
     """J2 through the block-grid plan: every Q/A question against every document
-    with the broadcast limit set to 32 KB, so the query side is cut into blocks
-    and cogrouped with the corpus blocks (the plan used when questions are many)."""
+    with the broadcast limit set to 32 KB and corpus blocks of 1 MB, so the query
+    side is cut into blocks and cogrouped with the corpus blocks (the plan used when
+    questions are many). The corpus comes in one split: blocks follow its bytes."""
     t = Tables(spark, sf)
-    return topk.lexical_topk(t.qa_pairs(), t.corpus_docs(), 3, broadcast_bytes=32 * 1024)
+    return topk.lexical_topk(t.qa_pairs(), t.corpus_docs().coalesce(1), 3, broadcast_bytes=32 * 1024, block_bytes=1 << 20)
 
 
 # ---------------------------------------------------------------- sweeps (lifecycle: failed calls stay pending)

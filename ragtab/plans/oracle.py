@@ -109,6 +109,22 @@ def lexical_scores_ctes(prefix: str, q_src: str, q_id: str, q_text: str, d_src:
     ]
 
 
+def weighted_scores_ctes(prefix: str, q_src: str, q_id: str, q_text: str, d_src: str, d_id: str, d_text: str) -> list[tuple[str, str]]:
+    """Like ``lexical_scores_ctes`` on hash buckets whose counts are weighted by the corpus's IDF, ``ln((n + 1) / (df + 1))``."""
+    p = prefix
+    counts = [c for c in lexical_scores_ctes(p, q_src, q_id, q_text, d_src, d_id, d_text, True) if c[0] in (f"{p}_qt", f"{p}_dt")]
+    weight = "c * ln(((SELECT count(*) FROM {d}) + 1) / CAST(coalesce(f.df, 0) + 1 AS DOUBLE))".format(d=d_src)
+    return counts + [
+        (f"{p}_df", f"SELECT tok, count(*) AS df FROM {p}_dt GROUP BY ALL"),
+        (f"{p}_qw", f"SELECT query_id, tok, {weight} AS w FROM {p}_qt LEFT JOIN {p}_df f USING (tok)"),
+        (f"{p}_dw", f"SELECT doc_id, tok, {weight} AS w FROM {p}_dt LEFT JOIN {p}_df f USING (tok)"),
+        (f"{p}_qn", f"SELECT query_id, sqrt(sum(w * w)) AS n FROM {p}_qw GROUP BY ALL"),
+        (f"{p}_dn", f"SELECT doc_id, sqrt(sum(w * w)) AS n FROM {p}_dw GROUP BY ALL"),
+        (f"{p}_sc", f"SELECT query_id, doc_id, round(sum(q.w * d.w) / (any_value(qn.n) * any_value(dn.n)), 6) AS score FROM {p}_qw q JOIN {p}_dw d USING (tok) "
+                    f"JOIN {p}_qn qn USING (query_id) JOIN {p}_dn dn USING (doc_id) GROUP BY ALL HAVING sum(q.w * d.w) > 0"),
+    ]
+
+
 def dense_scores_cte(prefix: str, metric: str, q_src: str, d_src: str, exclude_self: bool) -> list[tuple[str, str]]:
     if metric == "cosine":
         expr = ("CASE WHEN list_dot_product(q.embedding, q.embedding) > 0 AND list_dot_product(d.embedding, d.embedding) > 0 "

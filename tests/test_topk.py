@@ -117,3 +117,21 @@ def test_a_third_of_the_corpus_are_copies(spark):
     assert [r["doc_id"] for r in got if r["query_id"] == 1] == [0, 3, 6, 9]
     assert [r["score"] for r in got if r["query_id"] == 1] == [1.0] * 4
     assert len([r for r in got if r["query_id"] == 2]) == 4
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    """A corpus in one split, a very long text, and an id that many texts share."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w" * (50 + i % 7)) for i in range(2000)] + [(5000, "x" * 20_000)] + [(7, f"y{i}" * 40) for i in range(900)]
+    d = spark.createDataFrame(rows, "did long, payload string").coalesce(1)
+    most = 6000
+    blocked, n = topk.with_byte_blocks(d, "did", F.length("payload"), most, "db")
+    sizes = {r["db"]: (r["bytes"], r["rows"]) for r in
+             blocked.groupBy("db").agg(F.sum(F.length("payload")).alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
+    assert blocked.count() == len(rows) and set(sizes) <= set(range(n)) and n > 30
+    assert sorted(b for b, _ in sizes.values())[-2] <= most and 20_000 <= max(b for b, _ in sizes.values()) <= 20_000 + most
+    q = spark.createDataFrame([(i, "w" * (50 + i)) for i in range(7)], "id long, question string")
+    docs = d.withColumnsRenamed({"did": "doc_id", "payload": "question"})
+    a = topk.lexical_topk(q, docs, 3, broadcast_bytes=300, block_bytes=most).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, topk.lexical_topk(q, docs, 3).collect()))
