@@ -1,16 +1,20 @@
-"""Approximate nearest neighbours with an inverted-file (IVF) index.
-
-1. MLlib ``KMeans`` (distributed) learns ``nlist`` centroids of the corpus.
-2. Each corpus vector is assigned to its nearest centroid (``transform``).
-3. Each query probes its ``nprobe`` nearest centroids, found by the exact top-k
-   engine itself (queries x centroids), so no centroid table is broadcast.
-4. Candidates are scored exactly with the blocked kernel per (cluster, salt):
-   a cluster larger than ``block_rows`` is split into salted sub-blocks and its
-   queries are replicated over them, so a cluster holding a third of the corpus
-   is spread over many tasks. Partial top-k per block, window top-k at the end.
-
-Pairs are never Spark rows; only k rows per (query, block) leave a task. Recall is
-measured against the exact search (``dense_topk``)."""
+"""Nearest neighbours with an inverted-file (IVF) index and a stop bound.
+
+1. MLlib ``KMeans`` learns ``nlist`` centroids (bounded by ``MAX_LISTS``) on a stated sample of at most
+   ``TRAIN_ROWS`` vectors a list; every vector is put into the list of its nearest centroid, and each list
+   knows its size and its radius (the largest distance of a member).
+2. A query visits lists in the order of its distance to their centroids. After the first ``nprobe`` lists it
+   knows a k-th best distance r; a further list is skipped if the distance to its centroid less its radius
+   exceeds r (triangle inequality: it can't hold anything better), and the visit ends before the lists visited
+   and skipped hold more than ``budget`` of all vectors. With ``budget=1`` the result is exact; on clustered
+   vectors the bound ends most visits long before the budget does.
+3. Candidates are scored exactly with the blocked kernel per (list, salt, query part): a list larger than
+   ``block_rows`` is split into salted sub-blocks and its queries are replicated over them, so a list holding
+   a third of the corpus is spread over many tasks.
+
+Distances are Euclidean; for the cosine, of vectors of unit length (a vector of zeros has none and is in no
+list). Pairs are never Spark rows; only k rows per (query, block) leave a task. Recall is measured against
+the exact search (``dense_topk``)."""
 
 from __future__ import annotations
 
@@ -23,80 +27,140 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragtab.operators.topk import HIT_SCHEMA, DenseKernel, _col, _TopK, dense_topk
-from ragtab.session import ensure_checkpoint_dir
-
-
-def build_ivf(corpus: DataFrame, nlist: int, *, doc_id: str = "doc_id", vec: str = "embedding",
-              seed: int = 7, max_iter: int = 20, train_fraction: float | None = None,
-              distance: str = "euclidean"):
-    """Returns (assigned corpus: did, payload, cluster; centroids as numpy array).
-
-    ``train_fraction`` fits the centroids on a sample (every vector is still
-    assigned and searched; only centroid training is sampled)."""
-    d = corpus.where(F.col(vec).isNotNull()).select(
-        F.col(doc_id).cast("long").alias("did"), F.col(vec).cast("array<double>").alias("payload"))
-    feats = d.withColumn("features", array_to_vector("payload"))
-    train = feats.sample(fraction=train_fraction, seed=seed) if train_fraction else feats
-    model = KMeans(k=nlist, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster",
-                   distanceMeasure=distance).fit(train)
-    assigned = model.transform(feats).select("did", "payload", F.col("cluster").cast("long"))
-    # the assigned vectors are the index: write them once to the shared
-    # checkpoint folder (read by the size table and by the search)
-    ensure_checkpoint_dir(corpus.sparkSession)
-    assigned = assigned.checkpoint(eager=True)
-    centers = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
-    return assigned, centers
-
-
-def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None = None, nprobe: int = 3,
-             metric: str = "cosine", query_id: str = "id", query_vec: str = "embedding",
-             doc_id: str = "doc_id", doc_vec: str = "embedding", exclude_self: bool = False,
-             block_rows: int = 50_000, seed: int = 7) -> DataFrame:
-    spark = queries.sparkSession
-    n_docs = corpus.count()
-    nlist = nlist or max(1, int(math.sqrt(max(n_docs, 1))))
-    assigned, centers = build_ivf(corpus, nlist, doc_id=doc_id, vec=doc_vec, seed=seed,
-                                  distance="cosine" if metric == "cosine" else "euclidean")
-    # salts per cluster from the cluster sizes: a table of nlist rows, computed by
-    # Spark and broadcast (its size is bounded by the nlist parameter)
-    salt_tbl = assigned.groupBy("cluster").agg(
-        F.greatest(F.lit(1).cast("long"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long")).alias("nsalt"))
-    docs = (assigned.join(F.broadcast(salt_tbl), "cluster")
-            .withColumn("salt", F.pmod(F.xxhash64("did"), F.col("nsalt"))).drop("nsalt"))
-
-    # Probing is itself a top-k search (queries x centroids, k = nprobe) and runs
-    # on the same distributed engine, so the centroid table is never broadcast
-    # without a size check, however large nlist is.
-    cdf = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)],
-                                "cluster long, embedding array<double>")
-    nprobe = min(nprobe, len(centers))
-    probe_metric = "cosine" if metric == "cosine" else "l2_relevance"
-    q = queries.where(F.col(query_vec).isNotNull()).select(
-        F.col(query_id).cast("long").alias("qid"), F.col(query_vec).cast("array<double>").alias("payload"))
-    probes = dense_topk(q, cdf, nprobe, metric=probe_metric, query_id="qid", query_vec="payload",
-                        doc_id="cluster").select(F.col("query_id").alias("qid"), F.col("doc_id").alias("cluster"))
-    q = (q.join(probes, "qid")
-         .join(F.broadcast(salt_tbl), "cluster")     # one row per cluster (nlist rows)
-         .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nsalt") - 1))).drop("nsalt"))
-
-    # the queries of a cluster are split as well; documents are repeated for each of its query parts
-    parts = q.groupBy("cluster").agg(F.greatest(F.lit(1).cast("long"), F.ceil(F.countDistinct("qid") / F.lit(block_rows)).cast("long")).alias("nq"))
-    q = q.join(F.broadcast(parts), "cluster").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("nq"))).drop("nq")
-    docs = docs.join(F.broadcast(parts), "cluster").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1))).drop("nq")
-    kernel = DenseKernel(metric)
+from ragtab.functions.vectors import norm
+from ragtab.operators.topk import DenseKernel, _col, _matrix, _TopK
+from ragtab.session import ensure_checkpoint_dir, sized_broadcast
+
+#: Lists at most; vectors of the training sample for each list.
+MAX_LISTS, TRAIN_ROWS = 1024, 256
+HITS = "query_id long, doc_id long, score double, raw double"
+#: Of distances, what rounding may be off by, and more.
+MARGIN = 1e-6
+
+
+def _vectors(df: DataFrame, ids: str, vec: str, name: str, metric: str) -> DataFrame:
+    v = F.col(vec).cast("array<double>")
+    out = df.where(F.col(vec).isNotNull()).select(F.col(ids).cast("long").alias(name), v.alias("payload"))
+    if metric == "cosine":
+        out = out.withColumn("_n", norm("payload")).where((F.col("_n") > 0) & (F.col("_n") < float("inf")))
+        out = out.select(name, F.transform("payload", lambda x: x / F.col("_n")).alias("payload"))
+    return out
+
+
+def _to_centroids(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    d = (x * x).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1)[None] - 2.0 * (x @ centroids.T)
+    return np.sqrt(np.maximum(d, 0.0))
+
+
+class IvfIndex:
+    """Assigned vectors (did, payload, cluster), checkpointed; centroids, sizes and radii of the lists."""
+
+    def __init__(self, corpus: DataFrame, nlist: int | None, *, doc_id: str, vec: str, metric: str, seed: int = 7, max_iter: int = 20):
+        spark = corpus.sparkSession
+        ensure_checkpoint_dir(spark)
+        rows = _vectors(corpus, doc_id, vec, "did", metric)
+        n = rows.count()
+        nlist = max(1, min(nlist or math.isqrt(max(n, 1)), MAX_LISTS, max(n, 1)))
+        feats = rows.select(array_to_vector("payload").alias("features"))
+        share = min(1.0, TRAIN_ROWS * nlist / max(n, 1))
+        sample = feats.sample(fraction=share, seed=seed) if share < 1 else feats
+        self.metric, self.n = metric, n
+        self.centroids = np.zeros((0, 1))
+        if n and nlist == 1:
+            self.centroids = np.array([rows.first()["payload"]])
+        elif n:
+            model = KMeans(k=nlist, seed=seed, maxIter=max_iter).fit(sample)
+            self.centroids = np.vstack([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+        shared = spark.sparkContext.broadcast(self.centroids)  # MAX_LISTS vectors at most
+
+        def assign(batches):
+            for b in batches:
+                d = _to_centroids(_matrix(b.column(1)), shared.value) if b.num_rows else np.zeros((0, 1))
+                at = d.argmin(axis=1) if b.num_rows else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int64)), pa.array(d[np.arange(len(at)), at])],
+                                                 ["did", "payload", "cluster", "distance"])
+
+        self.rows = rows.mapInArrow(assign, "did long, payload array<double>, cluster long, distance double").checkpoint(eager=True)
+        stats = self.rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()  # a row a list
+        self.sizes, self.radii = np.zeros(len(self.centroids), np.int64), np.zeros(len(self.centroids))
+        for r in stats:
+            self.sizes[r["cluster"]], self.radii[r["cluster"]] = r["n"], r["radius"]
+
+
+def _lists(index: IvfIndex, q: DataFrame, nprobe: int, budget: float, first: bool) -> DataFrame:
+    """The lists that the queries (qid, payload, and reach: the k-th best distance so far) visit in the first or second round."""
+    shared = q.sparkSession.sparkContext.broadcast((index.centroids, index.sizes, index.radii))
+    most = budget * index.n
+
+    def visits(batches):
+        centroids, sizes, radii = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _to_centroids(_matrix(b.column(1)), centroids)
+            order = np.argsort(d, axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(order.shape[1])[None].repeat(len(order), 0), axis=1)
+            take = place < nprobe
+            if not first:
+                reach = b.column(2).to_numpy(zero_copy_only=False)
+                spent = np.empty_like(order)
+                np.put_along_axis(spent, order, np.cumsum(sizes[order], axis=1), axis=1)
+                take = ~take & (spent <= most) & (d - radii[None] <= reach[:, None] + MARGIN)
+            row, cluster = np.nonzero(take & (sizes > 0)[None])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cluster.astype(np.int64))],
+                                             ["qid", "payload", "cluster"])
+
+    return q.mapInArrow(visits, "qid long, payload array<double>, cluster long")
+
+
+def _search(index: IvfIndex, q: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """The k best of each (list, salt, query part) for the visits q (qid, payload, cluster)."""
+    spark = q.sparkSession
+    parts = q.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("nq"))
+    salts = spark.createDataFrame([(c, -(-int(n) // block_rows)) for c, n in enumerate(index.sizes) if n], "cluster long, nsalt long")
+    per_list = F.broadcast(salts.join(parts, "cluster").checkpoint(eager=True))  # MAX_LISTS rows at most
+    docs = index.rows.join(per_list, "cluster").select(
+        "did", "payload", "cluster", F.pmod(F.xxhash64("did"), F.col("nsalt")).alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nq") - 1)).alias("part"))
+    q = q.join(per_list, "cluster").select(
+        "qid", "payload", "cluster", F.pmod(F.xxhash64("qid"), F.col("nq")).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("nsalt") - 1)).alias("salt"))
+    kernel = DenseKernel(index.metric)
 
     def block(qt: pa.Table, dt: pa.Table) -> pa.Table:
         acc = _TopK(k)
         if qt.num_rows and dt.num_rows:
             kern = kernel.prepare(_col(qt, "qid"), qt.column("payload"))
             kern.score_into(acc, _col(dt, "did"), dt.column("payload"), exclude_self)
-        return pa.Table.from_pandas(acc.frame(raw=False), preserve_index=False)
+        return pa.Table.from_pandas(acc.frame(), preserve_index=False)
 
-    partial = q.groupBy("cluster", "salt", "part").cogroup(docs.groupBy("cluster", "salt", "part")).applyInArrow(block, HIT_SCHEMA)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return partial.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return q.groupBy("cluster", "salt", "part").cogroup(docs.groupBy("cluster", "salt", "part")).applyInArrow(block, HITS).checkpoint(eager=True)
+
+
+def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int, *, nlist: int | None = None, nprobe: int = 3, budget: float = 0.75,
+             metric: str = "cosine", query_id: str = "id", query_vec: str = "embedding",
+             doc_id: str = "doc_id", doc_vec: str = "embedding", exclude_self: bool = False,
+             block_rows: int = 50_000, seed: int = 7, report: bool = False):
+    """query_id, doc_id, score, rank. ``nprobe`` lists are visited always, further ones by the bound and within ``budget`` (share
+    of all vectors). With ``report`` also query_id and the share of vectors ``scored``."""
+    index = IvfIndex(corpus, nlist, doc_id=doc_id, vec=doc_vec, metric=metric, seed=seed)
+    q = _vectors(queries, query_id, query_vec, "qid", metric).checkpoint(eager=True)
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
+    ranked = lambda df: df.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    near = _lists(index, q.withColumn("reach", F.lit(0.0)), nprobe, budget, True).checkpoint(eager=True)
+    found = _search(index, near, k, exclude_self, block_rows)
+    squared = 2.0 - 2.0 * F.col("raw") if metric == "cosine" else (1.0 - F.col("raw")) * math.sqrt(2.0)
+    kth = ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("qid"), F.sqrt(F.greatest(squared, F.lit(0.0))).alias("reach"))
+    known = q.join(sized_broadcast(kth, 2_000_000), "qid", "left").select("qid", "payload", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    far = _lists(index, known, nprobe, budget, False).checkpoint(eager=True)
+    hits = ranked(found.unionByName(_search(index, far, k, exclude_self, block_rows))).select("query_id", "doc_id", "score", "rank")
+    if not report:
+        return hits
+    sizes = F.broadcast(q.sparkSession.createDataFrame([(c, int(n)) for c, n in enumerate(index.sizes)], "cluster long, n long"))  # MAX_LISTS at most
+    seen = near.unionByName(far).join(sizes, "cluster").groupBy(F.col("qid").alias("query_id")).agg(
+        F.round(F.sum("n") / F.lit(max(index.n, 1)), 6).alias("scored"))
+    return hits, seen
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:

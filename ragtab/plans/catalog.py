@@ -628,6 +628,13 @@ def q_approx_all_probes(spark, sf):
     return AN.ivf_topk(v, v, 4, nlist=16, nprobe=16, doc_id="id", exclude_self=True)
 
 
+@register("approx_topk_by_bound", ORACLE["dense_topk_cosine"])
+def q_approx_by_bound(spark, sf):
+    """J3 without a budget: the triangle inequality alone ends the visits, so the result is exact."""
+    v = Tables(spark, sf).vectors()
+    return AN.ivf_topk(v, v, 4, budget=1.0, doc_id="id", exclude_self=True)
+
+
 @register("pair_score_batch", ORACLE["retrieve_advanced_rerank"])
 def q_pair_score_batch(spark, sf):
     t = Tables(spark, sf)
@@ -638,9 +645,9 @@ def q_pair_score_batch(spark, sf):
 @register("approx_topk_recall")
 def q_approx_recall(spark, sf):
     v = Tables(spark, sf).vectors()
-    approx = AN.ivf_topk(v, v, 4, nprobe=3, doc_id="id", exclude_self=True)
+    approx, seen = AN.ivf_topk(v, v, 4, doc_id="id", exclude_self=True, report=True)
     exact = topk.dense_topk(v, v, 4, doc_id="id", exclude_self=True)
-    return AN.recall_at_k(approx, exact)
+    return AN.recall_at_k(approx, exact).join(seen, "query_id")
 
 
 # ---------------------------------------------------------------- projections, unions, head
