@@ -65,7 +65,7 @@ class IvfIndex:
         share = min(1.0, TRAIN_ROWS * nlist / max(n, 1))
         sample = feats.sample(fraction=share, seed=seed) if share < 1 else feats
         self.metric, self.n = metric, n
-        self.centroids = np.zeros((0, 1))
+        self.centroids = np.zeros((0, 1))  # of an empty corpus
         if n and nlist == 1:
             self.centroids = np.array([rows.first()["payload"]])
         elif n:
@@ -95,7 +95,7 @@ def _lists(index: IvfIndex, q: DataFrame, nprobe: int, budget: float, first: boo
     def visits(batches):
         centroids, sizes, radii = shared.value
         for b in batches:
-            if not b.num_rows:
+            if not b.num_rows or not len(sizes):
                 continue
             d = _to_centroids(_matrix(b.column(1)), centroids)
             order = np.argsort(d, axis=1, kind="stable")
