@@ -33,10 +33,19 @@ def bucket(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def keep_documents(docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` is in ``keys[key]`` (null matches null), columns unchanged."""
-    k = keys.select(F.col(key).alias("_llm_key")).distinct()
-    return docs.join(k, docs["doc_id"].eqNullSafe(k["_llm_key"]), "left_semi")
+def text_key(text: Column) -> Column:
+    """A hash of a text; with the id it tells rows apart that a decision was made on."""
+    return F.xxhash64(text.isNull(), text)
+
+
+def keep_documents(docs: DataFrame, keys: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose doc_id and text are those of a row of ``keys`` (doc_id, text_key), nulls included, columns
+    unchanged; with ``once`` one of the rows that repeat both."""
+    by = ["_llm_none", "_llm_id", "_llm_text"]
+    marks = lambda key: {"_llm_none": F.col("doc_id").isNull(), "_llm_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_llm_text": key}
+    k = keys.withColumns(marks(F.col("text_key"))).select(*by).distinct()
+    kept = docs.withColumns(marks(text_key(F.col("text")))).join(k, by, "left_semi")
+    return (kept.dropDuplicates(by) if once else kept).drop(*by)
 
 
 def sample_by_hash(rows: DataFrame, by: str, most: dict) -> DataFrame:

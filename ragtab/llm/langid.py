@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket, keep_documents, sample_by_hash
+from .common import bucket, keep_documents, sample_by_hash, text_key
 
 #: n and log2 of the number of columns that its n-grams are hashed into.
 SPECTRUM = ((2, 13), (3, 15), (4, 15))
@@ -122,7 +122,7 @@ def _pack(cols: np.ndarray) -> bytes:
 
 
 def predict(docs: DataFrame, model: Model | None, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, text_key for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # columns x languages: of fixed size
 
     def run(batches):
@@ -133,12 +133,12 @@ def predict(docs: DataFrame, model: Model | None, folds: int = 4, held: int = 2)
             if len(rows):
                 got, s = m.score([pdf["text"].iat[i] for i in rows])
                 lang[rows], score[rows] = got, s
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score, "text_key": pdf["text_key"]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (bucket(F.col("doc_id"), folds) == held).alias("held_out"),
-                       F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("scored")) \
-        .mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+                       F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("scored"), text_key(F.col("text")).alias("text_key")) \
+        .mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, text_key long")
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, **fit_options) -> DataFrame:
@@ -149,4 +149,4 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **fit_options) -> D
 def langid_stage(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows whose language is known with a score of at least ``min_score``, columns unchanged."""
     good = identify(docs).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
-    return keep_documents(docs, good, "doc_id")
+    return keep_documents(docs, good)

@@ -1,30 +1,35 @@
 """Exact similarity join of shingle sets (Jaccard at least 0.8) by token-combination prefixes.
 
-A set's shingles have one global order: rare ones by hash, then frequent ones by hash. Two linked
-sets differ by at most n // 5 shingles of either (n its size), so they agree within prefixes that
-cover n // 5 + 1 shingles. A rare shingle covers one and is a key of the index by itself. The
-frequent ones are dealt by hash into classes whose number follows the set's size class; there,
-pairs of shingles are the keys, a class with c shingles in the prefix covers c - 1, and the prefix
-is extended until it covers enough. If two linked sets shared no key, they'd miss more shingles
-than they may (each class would miss all but one). Any choice of "frequent" gives whole results;
-it is made from counts over all texts, of which the largest ``MAX_FREQUENT`` are broadcast.
-
-Sets that are equal are one node, so copies cost nothing. Candidates are first compared by parity
-signatures of a few bits a shingle, which bound how much two sets differ from below; only pairs
-that these can't rule out are verified by their whole texts. Candidates of one key are compared to
-one member first, links are joined into components, and then only members of different components
-are compared, until every candidate pair is verified or lies within one component. So a group of
-near copies is never expanded into its pairs.
-
-Defined cases: a null or empty text has an empty set and is linked with nothing; with one to four
-words the word sequence is the only shingle; rows with equal sets get the smallest of their ids, a
-null id never; repeated rows are given each; an empty table gives no rows; other columns are not
-looked at.
+A set's shingles have one global order: rare ones by hash, then frequent ones by level (how frequent)
+and hash. Two linked sets differ by at most n // 5 shingles of either (n its size), so they agree within
+prefixes that cover n // 5 + 1 shingles. A rare shingle covers one and is a key of the index by itself.
+The frequent ones are dealt by hash into classes whose number follows the set's size class; there,
+combinations of k shingles are the keys, where k is the level of the rarest of them (2, 3 or 4: the more
+frequent, the longer). Shingles of a class that two sets share without sharing a combination are at most
+one fewer than the class's highest level, so a class with c shingles covers that many fewer than c, and
+the prefix is extended until it covers enough. If two linked sets shared no key, they'd miss more shingles
+than they may. Any choice of "frequent" gives whole results; it is made from counts over all texts, of
+which the largest ``MAX_FREQUENT`` are broadcast.
+
+Sets that are equal are one node (with an id of its own, no document's), so copies cost nothing. Candidates
+of a key are first compared to one member of it, twice; links are joined into components. What is left are
+keys whose members lie in several components: documents just short of the similarity to a large group, say.
+A key's members outside its largest component are compared with that whole component, and with each other.
+This is done in blocks of bounded bytes, in tasks: signatures of a few bits a shingle bound how much two
+sets differ from below, and what they can't rule out is verified by whole texts on the spot. Only links
+leave such a task, and of components that it has linked already none, so no group is expanded into pairs.
+
+Defined cases: a null or empty text has an empty set and is linked with nothing; with one to four words the
+word sequence is the only shingle; rows with equal sets get the smallest of their ids, a null id never (a
+document without an id carries links like others; components without any id have a null component_id);
+repeated rows are given each; texts are taken whole, of any length; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ragtab.session import work_path
 
-from .common import LOWER, keep_documents, stored
+from .common import LOWER, keep_documents, stored, text_key
 from .components import components
 
 #: Words of a shingle; similarity of a link in per cent.
@@ -45,10 +50,10 @@ WORDS, PERCENT = 5, 80
 FREQUENT, MAX_FREQUENT = 32, 1 << 18
 #: Shingles that are counted at a time in a task.
 BLOCK = 2 << 20
-#: A key with this many members at most has all of them compared at once.
-SMALL_KEY = 8
-#: Rounds in which larger keys' members are compared with one of them, before all pairs between components are.
-STAR_ROUNDS = 4
+#: Counts from which a frequent shingle's combinations have three and four shingles.
+LEVELS = (1 << 10, 1 << 15)
+#: Bytes of texts of one side that a task compares at a time.
+SIDE_BYTES = 8 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB], np.uint64)
 
@@ -84,34 +89,55 @@ def size_classes(limit: int = 1 << 40) -> list[int]:
 CLASSES = np.array(size_classes())
 
 
-def keys_of(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The index keys of a set (sorted hashes): single shingles and pairs of frequent ones."""
+def prefix_length(part: np.ndarray, level: np.ndarray, need: int) -> int:
+    """How many of the frequent shingles (classes ``part``, levels rising) cover ``need``: a class's number of shingles less
+    one fewer than its highest level, at least none."""
+    size: dict[int, int] = {}
+    covered: dict[int, int] = {}
+    total = 0
+    for k, (p, lev) in enumerate(zip(part.tolist(), level.tolist(), strict=True), 1):
+        size[p] = size.get(p, 0) + 1
+        now = max(0, size[p] - lev + 1)
+        total += now - covered.get(p, 0)
+        covered[p] = now
+        if total >= need:
+            return k
+    return len(part)
+
+
+def keys_of(s: np.ndarray, frequent: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The index keys of a set (sorted hashes): single shingles and combinations of frequent ones."""
     n = len(s)
     if n <= 3:  # linked with equal sets only
         return np.zeros(0, np.uint64)
     need = n * (100 - PERCENT) // 100 + 1
-    often = np.zeros(n, bool)
+    level = np.zeros(n, np.int64)
     if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-    rare = s[~often]
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        level = np.where(frequent[at] == s, levels[at], 0)
+    rare = s[level == 0]
     if len(rare) >= need:
         return mixed(rare[:need], 1)
-    rest, out = s[often], [mixed(rare, 1)]
+    order = np.argsort(level, kind="stable")[len(rare):]
+    rest, level = s[order], level[order]
+    out = [mixed(rare, 1)]
     own = int(np.searchsorted(CLASSES, n, side="right")) - 1
     for size_class in (own, own + 1):
         n_classes = max(1, int(CLASSES[size_class - 1]) * 13 // 100)
         part = (rest * _ODD[2] >> np.uint64(32)) % np.uint64(n_classes)
-        _, first = np.unique(part, return_index=True)
-        covers = np.ones(len(rest), np.int64)
-        covers[first] = 0
-        take = int(np.searchsorted(np.cumsum(covers), need - len(rare))) + 1
-        order = np.argsort(part[:take], kind="stable")
-        p, t = part[:take][order], rest[:take][order]
-        for d in range(1, len(p)):
-            same = p[d:] == p[:-d]
-            if not same.any():
-                break
-            out.append(mixed(mixed(t[:-d][same], 2) + t[d:][same], size_class + 3))
+        take = prefix_length(part, level, need - len(rare))
+        members: dict[int, list[int]] = {}
+        for k, p in enumerate(part[:take].tolist()):
+            members.setdefault(p, []).append(k)
+        for at_class in members.values():  # in order of level: a combination's first shingle is its rarest
+            for k in sorted(set(level[at_class].tolist())):
+                combos = np.array([(a, *b) for j, a in enumerate(at_class) if level[a] == k
+                                   for b in itertools.combinations(at_class[j + 1:], int(k) - 1)], np.int64).reshape(-1, int(k))
+                if len(combos):
+                    h = np.full(len(combos), k, np.uint64)
+                    for column in np.sort(rest[combos], axis=1).T:
+                        h = mixed(h, 2) + column
+                    out.append(mixed(h, size_class + 3))
     return np.unique(np.concatenate(out))
 
 
@@ -144,8 +170,8 @@ def _column(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)]))
 
 
-def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MAX_FREQUENT) -> np.ndarray:
-    """The shingles of many documents, at most ``most``, sorted. Counted in blocks of documents over all
+def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MAX_FREQUENT, steps: tuple = LEVELS) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many documents, at most ``most``, sorted, and their levels (2 to 4). Counted in blocks of documents over all
     texts; a shingle that a block has once doesn't count there."""
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -170,12 +196,14 @@ def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = MAX_F
         yield from done()
 
     found = texts.select("text").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "s").limit(most).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    rows = found.orderBy(F.desc("n"), "s").limit(most).toPandas()
+    s, n = rows["s"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.argsort(s)
+    return s[order], 2 + np.searchsorted(np.array(steps), n[order], side="right")
 
 
-def with_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), signature, keys."""
+def with_keys(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, text_key, bytes, n, d1, d2 (a digest of the set), signature, keys."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -183,13 +211,14 @@ def with_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
+                sets = [shingles(t.as_py()) for t in part.column(3)]
                 sums = [np.array([mixed(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (11, 12)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
-                                                  pa.array([signature(s) for s in sets], pa.binary()), _column([keys_of(s, often) for s in sets])],
-                                                 ["doc_id", "n", "d1", "d2", "signature", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, sums),
+                                                  pa.array([signature(s) for s in sets], pa.binary()), _column([keys_of(s, *often) for s in sets])],
+                                                 ["doc_id", "text_key", "bytes", "n", "d1", "d2", "signature", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, signature binary, keys array<long>")
+    rows = docs.select("doc_id", "text_key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_key long, bytes long, n long, d1 long, d2 long, signature binary, keys array<long>")
 
 
 def shared_keys(index: DataFrame) -> DataFrame:
@@ -250,72 +279,176 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def bucketed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the nodes, stored in buckets by node: joined again and again, but shuffled once."""
+    """(node, text) of the nodes (node, rep), stored in buckets by node: joined again and again, but shuffled once."""
     spark = docs.sparkSession
     name = f"shingle_texts_{uuid.uuid4().hex[:16]}"
-    rows = docs.withColumnRenamed("doc_id", "node").hint("merge").join(nodes.hint("merge"), "node", "left_semi")
+    of = nodes.select("node", F.col("rep.no_id").alias("no_id"), F.coalesce("rep.doc_id", F.lit(0)).alias("id"), F.col("rep.text_key").alias("text_key"))
+    rows = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key", "text")
+    # a row that repeats gives its node one text: all of them are the same
+    rows = rows.hint("merge").join(of.hint("merge"), ["no_id", "id", "text_key"]).dropDuplicates(["no_id", "id", "text_key"]).select("node", "text")
     rows.write.option("compression", "zstd").option("path", work_path(spark, "shingle-texts")) \
         .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").saveAsTable(name)
     return spark.table(name)
 
 
+class _Side:
+    """One side of a block: nodes with size, component and text, by size; signatures by length."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
+        self.node, self.n, self.component = (table[c].to_numpy() for c in ("node", "n", "component"))
+        self.texts, self.signatures = table["text"], [x.as_py() for x in table["signature"]]
+        self.lengths = np.array([len(x) for x in self.signatures])
+        self.shingles = functools.lru_cache(4096)(lambda k: shingles(self.texts[k].as_py()))
+        self.folded: dict[int, np.ndarray] = {}
+
+    def fold(self, width: int) -> np.ndarray:
+        """All signatures folded to ``width`` bytes (shorter ones, whose rows are not used at this width, are zeros)."""
+        if width not in self.folded:
+            out = np.zeros((len(self.n), width), np.uint8)
+            for k, x in enumerate(self.signatures):
+                if len(x) >= width:
+                    out[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
+            self.folded[width] = out
+        return self.folded[width]
+
+
+def new_links(x: _Side, y: _Side) -> list[tuple[int, int]]:
+    """Links between components of x and of y that no link found before joins already."""
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    out = []
+    roots = y.component.copy()  # of each y's component, as far as links were found here
+    for k in range(len(x.n)):
+        n, own = int(x.n[k]), root(int(x.component[k]))
+        low, high = np.searchsorted(y.n, [-(-PERCENT * n // 100), 100 * n // PERCENT + 1])
+        at = low + np.flatnonzero(roots[low:high] != own)
+        if not len(at):
+            continue
+        width = np.minimum(len(x.signatures[k]), y.lengths[at])
+        near: list[int] = []
+        for w in sorted(set(width.tolist())):  # sizes within a quarter: few widths
+            part = at[width == w]
+            differ = np.bitwise_count(y.fold(w)[part] ^ x.fold(w)[k]).sum(axis=1, dtype=np.int64)
+            near += part[(100 + PERCENT) * differ <= (100 - PERCENT) * (n + y.n[part])].tolist()
+        for j in near:
+            if roots[j] != own and linked(x.shingles(k), y.shingles(j)):
+                out.append((int(x.node[k]), int(y.node[j])))
+                other = int(roots[j])
+                up[own] = other
+                roots[roots == own] = other
+                own = other
+    return out
+
+
+def settle(open_keys: DataFrame, linked_nodes: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) that are missing between the components of the members (key, node, component) of keys: every member
+    outside its key's largest component is compared with that component and with the other such members."""
+    sizes = open_keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("component").alias("of"))).alias("m")).select("key", "m.of")
+    rest = stored(open_keys.join(largest, "key").filter("component <> of"), "open-rest")
+    # keys whose remaining members are the same are compared once
+    lists = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"))
+    once = lists.filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
+    among = rest.join(once, "key").select(F.lit(1).alias("kind"), F.col("key").alias("g"), "node")
+    against = rest.select(F.lit(0).alias("kind"), F.col("of").alias("g"), "node").distinct()
+    groups = against.select("kind", "g").distinct()
+    whole = groups.join(linked_nodes.withColumnRenamed("component", "g"), "g").select("kind", "g", "node")
+    alone = groups.join(linked_nodes.select(F.col("component").alias("g")).distinct(), "g", "left_anti").select("kind", "g", F.col("g").alias("node"))
+    whole = whole.union(alone)  # a component of one node is in no link
+    light = nodes.select("node", "n", "bytes", "signature")
+
+    def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = stored(rows.join(light, "node").join(linked_nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), f"open-{name}")
+        return rows, rows.groupBy("kind", "g").agg(F.ceil(F.sum("bytes") / SIDE_BYTES).alias(f"n_{name}"))
+
+    left, n_left = side(against.union(among), "left")
+    right, n_right = side(whole.union(among), "right")
+    blocks = stored(n_left.join(n_right, ["kind", "g"]), "open-blocks")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), n)
+    left = left.join(blocks, ["kind", "g"]).withColumn("i", mine(F.col("n_left"))).withColumn("j", spread(F.col("n_right")))
+    right = right.join(blocks, ["kind", "g"]).withColumn("j", mine(F.col("n_right"))).withColumn("i", spread(F.col("n_left")))
+    columns = ("kind", "g", "i", "j", "node", "n", "component", "signature", "text")
+    with_text = lambda rows: rows.filter("kind = 0 or i <= j").join(texts, "node").select(*(F.col(c).alias(c) for c in columns))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        pairs = new_links(_Side(x), _Side(y)) if x.num_rows and y.num_rows else []
+        a, b = zip(*pairs, strict=True) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    by = ["kind", "g", "i", "j"]
+    return with_text(left).groupBy(*by).cogroup(with_text(right).groupBy(*by)).applyInArrow(compare, "a long, b long")
+
+
 def similarity_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); also text_key (a hash of the text) and group (the
+    component's number, null for an empty set)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
     frequent = frequent_shingles(docs.filter("text is not null"))
     rows = stored(with_keys(docs, frequent), "shingle-keys")
     same = ["n", "d1", "d2"]
-    nodes = stored(rows.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("node")), "shingle-nodes")
-    index = rows.join(nodes.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi")
-    hubs = stored(shared_keys(index.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "n")), "shared-keys")
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "bytes"))
+    sets = rows.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("smallest"), rep.alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("bytes", F.col("rep.bytes")), "shingle-nodes")
+    hubs = stored(shared_keys(nodes.select(F.explode("keys").alias("key"), "node", "n")), "shared-keys")
 
     # every member of a key that several nodes have, hubs included
     members = stored(hubs.select("key", "node", "n").union(hubs.select("key", "hub", "hub_n").distinct()), "shared-members")
     pairs = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).filter(_sizes_fit("hub_n", "n"))
     needed = members.select("node").distinct()
-    signatures = stored(rows.select(F.col("doc_id").alias("node"), "n", "signature").join(needed, "node", "left_semi"), "signatures")
-    texts = bucketed_texts(docs, needed)
+    wanted = stored(nodes.drop("keys").join(needed, "node", "left_semi"), "shared-nodes")
+    texts = bucketed_texts(docs, wanted)
     seen = stored(pairs.distinct(), "pairs")
-    found = components(linked_pairs(stored(near_pairs(seen, signatures), "near-pairs"), texts))
-    for turn in range(STAR_ROUNDS + 1):
+    found = components(linked_pairs(stored(near_pairs(seen, wanted), "near-pairs"), texts))
+    for last in (False, True):
         marked = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         # the two members of a key have been compared already
         open_keys = marked.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)), "node", "n", "component")).alias("hub")).filter("low < high and size > 2")
-        open_keys = stored(open_keys.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
-                                            F.col("hub.component").alias("hub_component")), "open-keys")
+            F.min(F.struct(F.xxhash64("key", "node"), "node", "n", "component")).alias("hub")).filter("low < high and size > 2")
+        open_keys = open_keys.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
         live = stored(marked.join(open_keys, "key"), "open-members")
         if live.isEmpty():
             break
-        # small keys, and in the last round all: all pairs of a key that lie in two components
-        whole = live if turn == STAR_ROUNDS else live.filter(F.col("size") <= SMALL_KEY)
-        x, y = (whole.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component"))) for k in "xy")
-        pairs = x.join(y, "key").filter("component_x < component_y").filter(_sizes_fit("n_x", "n_y")).select(
-            F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
-        if turn < STAR_ROUNDS:  # larger ones: one member against those of other components
-            members = live.filter(F.col("size") > SMALL_KEY)
-            pairs = pairs.union(members.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")).select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
-            members = members.select("key", "node", "n")
-        new = stored(pairs.distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        seen = seen.union(new)
-        near = stored(near_pairs(new, signatures), "near-pairs")
-        if not near.isEmpty():
-            links = stored(linked_pairs(near, texts), "links")
-            if not links.isEmpty():
-                found = components(links.union(found.select("node", "component")))
-        if turn == STAR_ROUNDS:
-            break
-    of_set = stored(nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component")), "set-components")
+        if last:
+            links = stored(settle(live.select("key", "node", "component"), with_smallest(found), wanted, texts), "links")
+        else:  # another member against those of other components
+            pairs = live.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")).select(
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+            links = stored(linked_pairs(stored(near_pairs(pairs.join(seen, ["a", "b"], "left_anti"), wanted), "near-pairs"), texts), "links")
+            members = live.select("key", "node", "n")
+        if not links.isEmpty():
+            found = components(links.union(found.select("node", "component")))
+    # a component's id is the smallest of its documents'; a node alone in its component has its own
+    linked_nodes = with_smallest(found)
+    low = stored(nodes.select("node", "smallest").join(linked_nodes, "node").groupBy("component").agg(F.min("smallest").alias("low")), "component-ids")
+    of_node = linked_nodes.join(low, "component")
+    of_set = stored(nodes.select(*same, "node", "smallest").join(of_node, "node", "left").select(
+        *same, F.coalesce("component", "node").alias("group"), F.when(F.col("component").isNull(), F.col("smallest")).otherwise(F.col("low")).alias("component_id")),
+        "set-components")
     return rows.join(of_set, same, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_key", "group")
+
+
+def with_smallest(found: DataFrame) -> DataFrame:
+    """(node, component) of every node of a link, the smallest ones of their components too."""
+    return stored(found.select("node", "component").union(found.select("component", "component").distinct()), "linked-nodes")
 
 
 def near_dedup_stage(docs: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest id of each component, columns unchanged."""
-    kept = similarity_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keep_documents(docs, kept, "doc_id")
+    """One row of ``docs`` of each component, that with the smallest id (null ids last), columns unchanged. Rows with an empty
+    set stay; of rows that repeat an id and a text one stays."""
+    joined = similarity_join(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    kept = joined.filter("group is not null").groupBy("group").agg(first.alias("r")).select("r.doc_id", "r.text_key")
+    return keep_documents(docs, kept.union(joined.filter("group is null").select("doc_id", "text_key")), once=True)
 
 
 ORACLE = r"""

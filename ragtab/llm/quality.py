@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep_documents, stored
+from .common import SPACE, keep_documents, stored, text_key
 
 WORD = r"[^\x20\x09-\x0D]"
 #: Base rules: fewest words, most words (per cent) that repeated windows may cover, words of a window.
@@ -31,8 +31,8 @@ FUNCTION_WORDS = ("the", "of", "and", "to", "in", "a", "is", "that", "it", "for"
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id and, of the whole text, the base counts and what the rules look at."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    """doc_id, a hash of the text and, of the whole text, the base counts and what the rules look at."""
+    d = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("words", F.array_remove(F.split("t", SPACE + "+"), ""))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)))
     d = d.withColumn("n_words", F.size("words").cast("long"))
@@ -52,7 +52,7 @@ def features(docs: DataFrame) -> DataFrame:
     ends = F.size(F.filter("lines", lambda x: x.rlike(r"[.!?]" + SPACE + r"*$")))
     known = F.size(F.filter("words", lambda w: F.lower(w).isin(*FUNCTION_WORDS)))
     return d.select(
-        "doc_id", "n_words", F.length(F.regexp_replace("t", SPACE + "+", "")).cast("long").alias("word_chars"),
+        "doc_id", "text_key", "n_words", F.length(F.regexp_replace("t", SPACE + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
         F.size("lines").alias("n_lines"), ends.alias("n_ended"), known.alias("n_known"),
@@ -131,10 +131,10 @@ def quality(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     # only documents that the base rules leave are for the votes to decide
     model = fit(stored(voted.filter(~failed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "quality-patterns"))
     p = posterior(model)
-    return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return voted.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), (~failed & (p >= keep_from)).alias("kept"), p.alias("posterior"), *names)
 
 
 def quality_stage(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns unchanged."""
-    return keep_documents(docs, quality(docs).filter("kept"), "doc_id")
+    return keep_documents(docs, quality(docs).filter("kept"))

@@ -22,7 +22,7 @@ def op2_warc(spark, sf_dir):
 
 
 def op3_ngram_join(spark, sf_dir):
-    return ngram_join.similarity_join(_read(spark, sf_dir, "documents"))
+    return ngram_join.similarity_join(_read(spark, sf_dir, "documents")).drop("text_key", "group")
 
 
 def op4_toxicity(spark, sf_dir):
@@ -30,7 +30,7 @@ def op4_toxicity(spark, sf_dir):
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_bpe(spark, sf_dir):
@@ -42,7 +42,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_quality(spark, sf_dir):
-    return quality.quality(_read(spark, sf_dir, "documents"))
+    return quality.quality(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_suffix_dedup(spark, sf_dir):
@@ -50,7 +50,7 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 def op10_langid(spark, sf_dir):
-    return langid.identify(_read(spark, sf_dir, "documents"))
+    return langid.identify(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op11_mtree_topk(spark, sf_dir):

@@ -471,8 +471,8 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
     found = repeated(anchor_rows(keyed.filter(F.octet_length("t") >= MATCH)))
     wanted = stored(found.groupBy("text_key").agg(F.collect_set("place").alias("places"))
                     .join(firsts.select("text_key", F.col("first_order").alias("order")), "text_key"), "anchor-places")
-    # one row of those that repeat an id and a text, or each would be a repeat of the other
-    candidates = stored(keyed.select("order", "text_key", "t").dropDuplicates(["text_key", "order"]).join(wanted, ["text_key", "order"]), "candidates")
+    # one row of those that repeat an id and a text, or each would be a repeat of the other; only candidates are looked at
+    candidates = stored(keyed.select("order", "text_key", "t").join(wanted, ["text_key", "order"]).dropDuplicates(["text_key", "order"]), "candidates")
     n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)
     runs = split_buckets(stored(sorted_runs(candidates, buckets), "runs"), buckets)

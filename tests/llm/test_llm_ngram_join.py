@@ -27,14 +27,56 @@ def brute(rows):
     low = {}
     for k, (i, _) in enumerate(sets):
         low.setdefault(root(k), []).append(i)
-    return sorted((i, len(s), min(x for x in low[root(k)] if x is not None)) for k, (i, s) in enumerate(sets) if i is not None)
+    return sorted(((i, len(s), min((x for x in low[root(k)] if x is not None), default=None)) for k, (i, s) in enumerate(sets)), key=repr)
+
+
+def joined(df):
+    return sorted((tuple(r) for r in X.similarity_join(df).select("doc_id", "n_shingles", "component_id").collect()), key=repr)
 
 
 @pytest.mark.parametrize("clash", [False, True])
 def test_brute_force_on_odd_rows(spark, clash):
     rows = C.odd_rows()
-    got = sorted(tuple(r) for r in X.similarity_join(C.frame(spark, rows, clash)).filter("doc_id is not null").collect())
-    assert got == brute(rows)
+    assert joined(C.frame(spark, rows, clash)) == brute(rows)
+
+
+def test_links_through_documents_without_an_id(spark):
+    """A and C are linked through B only; B has no id, and neither has any of D and E. A text of over a megabyte."""
+    words = [f"w{k}" for k in range(100)]
+    a, b, c = words, words[:96] + ["x1"], words[:90] + ["x1", "x2"]
+    assert [len(z) for z in (a, b, c)]
+    rows = [(1, " ".join(a), "", "", 0), (None, " ".join(b), "", "", 0), (3, " ".join(c[:86] + ["x3"]), "", "", 0), (None, "p q r s t u v", "", "", 0), (None, "P q r s t u v", "", "", 0),
+            (9, "long " * 300_000, "", "", 0), (8, " ".join(f"v{k}" for k in range(200_000)), "", "", 0), (7, " ".join(f"v{k}" for k in range(199_000)), "", "", 0)]
+    want = brute(rows)
+    assert joined(C.frame(spark, rows)) == want
+    assert {r[2] for r in want if r[0] in (1, 3)} == {1} and {r[2] for r in want if r[0] in (7, 8)} == {7}
+    kept = X.near_dedup_stage(C.frame(spark, rows, clash=True)).collect()
+    assert sorted((r["doc_id"] for r in kept), key=repr) == [1, 7, 9, None]
+
+
+def test_dense_group_and_leftovers_just_short(spark, monkeypatch):
+    """A large group of near copies, texts just short of the similarity to most of it, two groups that one text joins; small blocks."""
+    monkeypatch.setattr(X, "SIDE_BYTES", 4000)
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for size, times in ((1, 60), (2, 40), (4, 25), (5, 25), (6, 25), (9, 20)):
+        for _ in range(times):
+            w = list(base)
+            for _ in range(size):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) + 1, " ".join(w), "", "", 0))
+    other = [f"o{k}" for k in range(150)]
+    rows += [(1000 + k, " ".join(other[:140 + k % 3] + [f"y{k}"]), "", "", 0) for k in range(30)]
+    assert joined(C.frame(spark, rows)) == brute(rows)
+
+
+def test_ids_that_repeat(spark):
+    """Two texts under one id: each is decided on by itself; one document of each component stays."""
+    long = "one two three four five six seven"
+    rows = [(1, "alpha", "", "", 1), (1, "gamma", "", "", 1), (0, "gamma", "", "", 1), (2, long, "", "", 1), (2, long.upper(), "", "", 1), (3, "", "", "", 0), (3, None, "", "", 0)]
+    kept = sorted((r["doc_id"], r["text"]) for r in X.near_dedup_stage(C.frame(spark, rows)).na.fill("null").collect())
+    assert kept in ([(0, "gamma"), (1, "alpha"), (2, t), (3, ""), (3, "null")] for t in (long, long.upper()))
 
 
 @pytest.mark.parametrize("frequent", [2, 5, 10**9])
@@ -49,8 +91,8 @@ def test_brute_force_with_frequent_shingles(spark, frequent, monkeypatch):
             for _ in range(rng.randrange(3)):
                 w[rng.randrange(len(w))] = f"x{rng.randrange(50)}"
             rows.append((len(rows) + 1, " ".join(w), "", "", 0))
-    monkeypatch.setattr(X.frequent_shingles, "__defaults__", (frequent, 1 << 18))
-    got = sorted(tuple(r) for r in X.similarity_join(C.frame(spark, rows)).collect())
+    monkeypatch.setattr(X.frequent_shingles, "__defaults__", (frequent, 1 << 18, (6, 9)))
+    got = joined(C.frame(spark, rows))
     assert got == brute(rows)
     assert len({r[2] for r in got}) < len(got)
 
@@ -64,7 +106,8 @@ def test_linked_sets_share_a_key():
         y = np.unique(np.concatenate([y, rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 12))).astype(np.uint64)]))
         frequent = np.unique(np.concatenate([x, y])[rng.random(len(x) + len(y)) > rng.choice([0.0, 0.3, 0.9])])
         if len(y) and X.linked(x, y) and len(x) > 3 and not (len(x) == len(y) and (x == y).all()):
-            assert np.intersect1d(X.keys_of(x, frequent), X.keys_of(y, frequent)).size
+            levels = rng.integers(2, int(rng.choice([3, 4, 5])), len(frequent))
+            assert np.intersect1d(X.keys_of(x, frequent, levels), X.keys_of(y, frequent, levels)).size
 
 
 def test_signatures_never_rule_out_links():
@@ -90,3 +133,4 @@ def test_stage_keeps_one_of_each_component(spark):
     out = X.near_dedup_stage(docs)
     assert out.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == {r["component_id"] for r in X.similarity_join(docs).collect()}
+    assert out.count() == out.select("doc_id", "text").distinct().count()
