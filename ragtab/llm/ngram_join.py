@@ -14,8 +14,8 @@ which the largest ``MAX_FREQUENT`` are broadcast.
 Sets that are equal are one node (with an id of its own, no document's), so copies cost nothing. Candidates
 of a key are first compared to one member of it, twice; links are joined into components. What is left are
 keys whose members lie in several components: documents just short of the similarity to a large group, say.
-A key's members outside its largest component are compared with that whole component, and with each other.
-This is done in blocks of bounded bytes, in tasks: signatures of a few bits a shingle bound how much two
+Keys of a few members have those of different components compared as pairs. A larger key's members outside
+its largest component are compared with that whole component, and with each other. This is done in blocks of bounded bytes, in tasks: signatures of a few bits a shingle bound how much two
 sets differ from below, and what they can't rule out is verified by whole texts on the spot. Only links
 leave such a task, and of components that it has linked already none, so no group is expanded into pairs.
 
@@ -52,6 +52,8 @@ FREQUENT, MAX_FREQUENT = 32, 1 << 18
 BLOCK = 2 << 20
 #: Counts from which a frequent shingle's combinations have three and four shingles.
 LEVELS = (1 << 10, 1 << 15)
+#: A key with this many members at most has those of different components compared as pairs.
+SMALL_KEY = 16
 #: Bytes of texts of one side that a task compares at a time.
 SIDE_BYTES = 8 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -407,22 +409,30 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     texts = bucketed_texts(docs, wanted)
     seen = stored(pairs.distinct(), "pairs")
     found = components(linked_pairs(stored(near_pairs(seen, wanted), "near-pairs"), texts))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return linked_pairs(stored(near_pairs(pairs.distinct().join(seen, ["a", "b"], "left_anti"), wanted), "near-pairs"), texts)
+
     for last in (False, True):
         marked = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
         # the two members of a key have been compared already
         open_keys = marked.groupBy("key").agg(
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"),
             F.min(F.struct(F.xxhash64("key", "node"), "node", "n", "component")).alias("hub")).filter("low < high and size > 2")
-        open_keys = open_keys.select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
+        open_keys = open_keys.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.component").alias("hub_component"))
         live = stored(marked.join(open_keys, "key"), "open-members")
         if live.isEmpty():
             break
         if last:
-            links = stored(settle(live.select("key", "node", "component"), with_smallest(found), wanted, texts), "links")
+            x, y = (live.filter(F.col("size") <= SMALL_KEY).select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "component"))) for k in "xy")
+            pairs = x.join(y, "key").filter("component_x < component_y").filter(_sizes_fit("n_x", "n_y")).select(
+                F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+            large = live.filter(F.col("size") > SMALL_KEY).select("key", "node", "component")
+            links = stored(verified(pairs), "links").union(stored(settle(large, with_smallest(found), wanted, texts), "links"))
         else:  # another member against those of other components
             pairs = live.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")).select(
-                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-            links = stored(linked_pairs(stored(near_pairs(pairs.join(seen, ["a", "b"], "left_anti"), wanted), "near-pairs"), texts), "links")
+                F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            links = stored(verified(pairs), "links")
             members = live.select("key", "node", "n")
         if not links.isEmpty():
             found = components(links.union(found.select("node", "component")))

@@ -54,9 +54,11 @@ def test_links_through_documents_without_an_id(spark):
     assert sorted((r["doc_id"] for r in kept), key=repr) == [1, 7, 9, None]
 
 
-def test_dense_group_and_leftovers_just_short(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 16])
+def test_dense_group_and_leftovers_just_short(spark, monkeypatch, small):
     """A large group of near copies, texts just short of the similarity to most of it, two groups that one text joins; small blocks."""
     monkeypatch.setattr(X, "SIDE_BYTES", 4000)
+    monkeypatch.setattr(X, "SMALL_KEY", small)
     rng = random.Random(8)
     base = [f"b{k}" for k in range(150)]
     rows = []
