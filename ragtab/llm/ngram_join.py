@@ -15,9 +15,11 @@ Sets that are equal are one node (with an id of its own, no document's), so copi
 of a key are first compared to one member of it, twice; links are joined into components. What is left are
 keys whose members lie in several components: documents just short of the similarity to a large group, say.
 Keys of a few members have those of different components compared as pairs. A larger key's members outside
-its largest component are compared with that whole component, and with each other. This is done in blocks of bounded bytes, in tasks: signatures of a few bits a shingle bound how much two
-sets differ from below, and what they can't rule out is verified by whole texts on the spot. Only links
-leave such a task, and of components that it has linked already none, so no group is expanded into pairs.
+its largest component are compared with that whole component, and with each other, in blocks of bounded
+bytes in tasks, by signatures: a few bits a shingle that bound from below how much two sets differ. Each gets
+the few most alike ones verified as pairs by whole texts. One that is not linked by them though signatures
+leave more has all of those verified in tasks, where only links come out, and none between components that
+are linked already. So no group is expanded into pairs, and no candidate is left out.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; with one to four words the
 word sequence is the only shingle; rows with equal sets get the smallest of their ids, a null id never (a
@@ -54,7 +56,9 @@ BLOCK = 2 << 20
 LEVELS = (1 << 10, 1 << 15)
 #: A key with this many members at most has those of different components compared as pairs.
 SMALL_KEY = 16
-#: Bytes of texts of one side that a task compares at a time.
+#: Of a node of a larger key: candidates of a component that are verified before all are, the most alike ones.
+TRIED = 8
+#: Bytes of one side that a task compares at a time.
 SIDE_BYTES = 8 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB], np.uint64)
@@ -294,15 +298,15 @@ def bucketed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class _Side:
-    """One side of a block: nodes with size, component and text, by size; signatures by length."""
+    """One side of a block: nodes with size, component and signature (and text, if given), by size."""
 
     def __init__(self, table: pa.Table):
         order = np.argsort(table["n"].to_numpy(), kind="stable")
         table = table.take(pa.array(order)).combine_chunks()
         self.node, self.n, self.component = (table[c].to_numpy() for c in ("node", "n", "component"))
-        self.texts, self.signatures = table["text"], [x.as_py() for x in table["signature"]]
+        self.signatures = [x.as_py() for x in table["signature"]]
         self.lengths = np.array([len(x) for x in self.signatures])
-        self.shingles = functools.lru_cache(4096)(lambda k: shingles(self.texts[k].as_py()))
+        self.shingles = functools.lru_cache(4096)(lambda k: shingles(table["text"][k].as_py()))
         self.folded: dict[int, np.ndarray] = {}
 
     def fold(self, width: int) -> np.ndarray:
@@ -315,9 +319,45 @@ class _Side:
             self.folded[width] = out
         return self.folded[width]
 
+    def near(self, n: int, signature: bytes, of: np.ndarray) -> np.ndarray:
+        """Those of the nodes ``of`` that the signatures can't rule out as linked with a set, the most alike first."""
+        width, found, by = np.minimum(len(signature), self.lengths[of]), [of[:0]], [of[:0]]
+        for w in sorted(set(width.tolist())):  # sizes within a quarter: few widths
+            part = of[width == w]
+            folded = np.bitwise_xor.reduce(np.frombuffer(signature, np.uint8).reshape(-1, w), axis=0)
+            differ = np.bitwise_count(self.fold(w)[part] ^ folded).sum(axis=1, dtype=np.int64)
+            good = (100 + PERCENT) * differ <= (100 - PERCENT) * (n + self.n[part])
+            found.append(part[good])
+            by.append(differ[good])
+        return np.concatenate(found)[np.argsort(np.concatenate(by), kind="stable")]
+
+    def sizes_fit(self, n: int) -> np.ndarray:
+        low, high = np.searchsorted(self.n, [-(-PERCENT * n // 100), 100 * n // PERCENT + 1])
+        return np.arange(low, high)
+
+
+def alike(x: _Side, y: _Side, tried: int) -> list[tuple[int, int | None]]:
+    """Pairs (x's node, y's node) of different components that the signatures can't rule out: of each x the most alike ones,
+    ``tried`` of a component and four times that in all; if there are more, also (x's node, None)."""
+    out: list[tuple[int, int | None]] = []
+    for k in range(len(x.n)):
+        of = y.sizes_fit(int(x.n[k]))
+        near = y.near(int(x.n[k]), x.signatures[k], of[y.component[of] != x.component[k]])
+        counts: dict[int, int] = {}
+        taken = []
+        for j in near.tolist():
+            c = int(y.component[j])
+            counts[c] = counts.get(c, 0) + 1
+            if counts[c] <= tried and len(taken) < 4 * tried:
+                taken.append(j)
+        out += [(int(x.node[k]), int(y.node[j])) for j in taken]
+        if len(taken) < len(near):
+            out.append((int(x.node[k]), None))
+    return out
+
 
 def new_links(x: _Side, y: _Side) -> list[tuple[int, int]]:
-    """Links between components of x and of y that no link found before joins already."""
+    """Links between components of x and of y that no link found before joins already, by texts."""
     up: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -328,18 +368,8 @@ def new_links(x: _Side, y: _Side) -> list[tuple[int, int]]:
     out = []
     roots = y.component.copy()  # of each y's component, as far as links were found here
     for k in range(len(x.n)):
-        n, own = int(x.n[k]), root(int(x.component[k]))
-        low, high = np.searchsorted(y.n, [-(-PERCENT * n // 100), 100 * n // PERCENT + 1])
-        at = low + np.flatnonzero(roots[low:high] != own)
-        if not len(at):
-            continue
-        width = np.minimum(len(x.signatures[k]), y.lengths[at])
-        near: list[int] = []
-        for w in sorted(set(width.tolist())):  # sizes within a quarter: few widths
-            part = at[width == w]
-            differ = np.bitwise_count(y.fold(w)[part] ^ x.fold(w)[k]).sum(axis=1, dtype=np.int64)
-            near += part[(100 + PERCENT) * differ <= (100 - PERCENT) * (n + y.n[part])].tolist()
-        for j in near:
+        own, of = root(int(x.component[k])), y.sizes_fit(int(x.n[k]))
+        for j in y.near(int(x.n[k]), x.signatures[k], of[roots[of] != own]).tolist():
             if roots[j] != own and linked(x.shingles(k), y.shingles(j)):
                 out.append((int(x.node[k]), int(y.node[j])))
                 other = int(roots[j])
@@ -349,47 +379,84 @@ def new_links(x: _Side, y: _Side) -> list[tuple[int, int]]:
     return out
 
 
-def settle(open_keys: DataFrame, linked_nodes: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that are missing between the components of the members (key, node, component) of keys: every member
-    outside its key's largest component is compared with that component and with the other such members."""
+def groups_of(open_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What has to be compared for the members (key, node, component) of keys. Against: (node, of), a member outside its key's
+    largest component, and that component. Among: (g, node), groups of such members of a key."""
     sizes = open_keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("component").alias("of"))).alias("m")).select("key", "m.of")
     rest = stored(open_keys.join(largest, "key").filter("component <> of"), "open-rest")
     # keys whose remaining members are the same are compared once
     lists = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x"))
     once = lists.filter("n > 1").groupBy("n", "s", "x").agg(F.min("key").alias("key")).select("key")
-    among = rest.join(once, "key").select(F.lit(1).alias("kind"), F.col("key").alias("g"), "node")
-    against = rest.select(F.lit(0).alias("kind"), F.col("of").alias("g"), "node").distinct()
+    return rest.select("node", "of").distinct(), rest.join(once, "key").select(F.col("key").alias("g"), "node")
+
+
+def blocks(against: DataFrame, among: DataFrame, linked_nodes: DataFrame, nodes: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparisons, in blocks (kind, g, i, j) of bounded bytes: the nodes' size, component and signature,
+    and with ``texts`` their text. Among: (g, node, asks), all members of a group and which of them are the left side."""
+    against = against.select(F.lit(0).alias("kind"), F.col("of").alias("g"), "node")
     groups = against.select("kind", "g").distinct()
     whole = groups.join(linked_nodes.withColumnRenamed("component", "g"), "g").select("kind", "g", "node")
     alone = groups.join(linked_nodes.select(F.col("component").alias("g")).distinct(), "g", "left_anti").select("kind", "g", F.col("g").alias("node"))
-    whole = whole.union(alone)  # a component of one node is in no link
-    light = nodes.select("node", "n", "bytes", "signature")
+    among = among.select(F.lit(1).alias("kind"), "g", "node", "asks")
+    bytes_of = (F.col("bytes") if texts is not None else F.octet_length("signature")) + 64
 
     def side(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        rows = stored(rows.join(light, "node").join(linked_nodes, "node", "left").withColumn("component", F.coalesce("component", "node")), f"open-{name}")
-        return rows, rows.groupBy("kind", "g").agg(F.ceil(F.sum("bytes") / SIDE_BYTES).alias(f"n_{name}"))
+        rows = rows.join(nodes.select("node", "n", "bytes", "signature"), "node").join(linked_nodes, "node", "left")
+        rows = stored(rows.withColumn("component", F.coalesce("component", "node")), f"open-{name}")
+        return rows, rows.groupBy("kind", "g").agg(F.ceil(F.sum(bytes_of) / SIDE_BYTES).alias(f"n_{name}"))
 
-    left, n_left = side(against.union(among), "left")
-    right, n_right = side(whole.union(among), "right")
-    blocks = stored(n_left.join(n_right, ["kind", "g"]), "open-blocks")
+    left, n_left = side(against.union(among.filter("asks").drop("asks")), "left")
+    right, n_right = side(whole.union(alone).union(among.drop("asks")), "right")
+    numbers = stored(n_left.join(n_right, ["kind", "g"]), "open-blocks")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     mine = lambda n: F.pmod(F.xxhash64("node"), n)
-    left = left.join(blocks, ["kind", "g"]).withColumn("i", mine(F.col("n_left"))).withColumn("j", spread(F.col("n_right")))
-    right = right.join(blocks, ["kind", "g"]).withColumn("j", mine(F.col("n_right"))).withColumn("i", spread(F.col("n_left")))
-    columns = ("kind", "g", "i", "j", "node", "n", "component", "signature", "text")
-    with_text = lambda rows: rows.filter("kind = 0 or i <= j").join(texts, "node").select(*(F.col(c).alias(c) for c in columns))
+    columns = ["kind", "g", "i", "j", "node", "n", "component", "signature", *(["text"] if texts is not None else [])]
+
+    def dealt(rows: DataFrame, at: str, n_at: str, other: str, n_other: str) -> DataFrame:
+        rows = rows.join(numbers, ["kind", "g"]).withColumn(at, mine(F.col(n_at))).withColumn(other, spread(F.col(n_other)))
+        rows = rows if texts is None else rows.join(texts, "node")
+        return rows.select(*(F.col(c).alias(c) for c in columns))
+
+    return dealt(left, "i", "n_left", "j", "n_right"), dealt(right, "j", "n_right", "i", "n_left")
+
+
+def compared(sides: tuple[DataFrame, DataFrame], how) -> DataFrame:
+    """(kind, g, a, b) of what ``how`` finds in each block."""
 
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
-        pairs = new_links(_Side(x), _Side(y)) if x.num_rows and y.num_rows else []
+        pairs = how(_Side(x), _Side(y)) if x.num_rows and y.num_rows else []
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        kind, g = (x["kind"][0].as_py(), x["g"][0].as_py()) if pairs else (0, 0)
+        return pa.table({"kind": pa.array([kind] * len(a), pa.int32()), "g": pa.array([g] * len(a), pa.int64()),
+                         "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     by = ["kind", "g", "i", "j"]
-    return with_text(left).groupBy(*by).cogroup(with_text(right).groupBy(*by)).applyInArrow(compare, "a long, b long")
-
-
-def similarity_join(docs: DataFrame) -> DataFrame:
+    return sides[0].groupBy(*by).cogroup(sides[1].groupBy(*by)).applyInArrow(compare, "kind int, g long, a long, b long")
+
+
+def settle(open_keys: DataFrame, linked_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, verified, tried: int) -> DataFrame:
+    """Links (a, b) that are missing between the components of the members (key, node, component) of keys. A node's candidates
+    that are most alike by signature are verified as pairs; a node that has more of them and is not linked by those has all
+    compared by texts, in the tasks."""
+    against, among = groups_of(open_keys)
+    found = stored(compared(blocks(against, among.withColumn("asks", F.lit(True)), linked_nodes, nodes, None), functools.partial(alike, tried=tried)), "alike")
+    links = stored(verified(found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "links")
+    more = stored(found.filter("b is null").select("kind", "g", F.col("a").alias("node")).distinct(), "more-alike")
+    if more.isEmpty():
+        return links
+    # components as the new links make them; a node that they join with its group's component has nothing left to find there
+    now = with_smallest(components(links.union(linked_nodes))) if not links.isEmpty() else linked_nodes
+    of = now.select(F.col("node").alias("g"), F.col("component").alias("of"))
+    asks = more.filter("kind = 0").select("node", "g").join(of, "g", "left").select("node", F.coalesce("of", "g").alias("of"))
+    asks = asks.join(now, "node", "left").filter(F.coalesce("component", "node") != F.col("of")).select("node", "of").distinct()
+    groups = more.filter("kind = 1").select("g", "node")
+    members = among.join(groups.select("g").distinct(), "g").join(groups.withColumn("asks", F.lit(True)), ["g", "node"], "left")
+    members = members.select("g", "node", F.coalesce("asks", F.lit(False)).alias("asks"))
+    return links.union(compared(blocks(asks, members, now, nodes, texts), new_links).select("a", "b"))
+
+
+def similarity_join(docs: DataFrame, tried: int = TRIED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); also text_key (a hash of the text) and group (the
     component's number, null for an empty set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
@@ -428,7 +495,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
             pairs = x.join(y, "key").filter("component_x < component_y").filter(_sizes_fit("n_x", "n_y")).select(
                 F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
             large = live.filter(F.col("size") > SMALL_KEY).select("key", "node", "component")
-            links = stored(verified(pairs), "links").union(stored(settle(large, with_smallest(found), wanted, texts), "links"))
+            links = stored(verified(pairs), "links").union(stored(settle(large, with_smallest(found), wanted, texts, verified, tried), "links"))
         else:  # another member against those of other components
             pairs = live.filter("component <> hub_component").filter(_sizes_fit("n", "hub_n")).select(
                 F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
