@@ -16,15 +16,18 @@ ROWS_A_FILE = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into a fresh folder below ``spark.checkpoint.dir`` and read it
     back: later steps start from files that survive a lost executor. ``rows``, an upper bound
-    of a narrow table's rows, gives fewer files (a task for every ROWS_A_FILE)."""
+    of a narrow table's rows, gives fewer files (a task for every ROWS_A_FILE). ``free`` asks the driver
+    to collect its garbage, so that the executors drop the shuffle files that led to the table."""
     spark = df.sparkSession
     path = work_path(spark, name)
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

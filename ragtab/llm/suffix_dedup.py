@@ -466,19 +466,19 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
     keyed = _keyed(docs.select("doc_id", "text")).select(
         "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("_llm_sha").alias("sha"),
         F.col("_llm_key").alias("text_key"), F.col("_llm_order").alias("order"))
-    rows = stored(keyed.select("doc_id", "order", "sha", "text_key", F.octet_length("t").cast("long").alias("n_bytes")), "texts")
+    rows = stored(keyed.select("doc_id", "order", "sha", "text_key", F.octet_length("t").cast("long").alias("n_bytes")), "texts", free=True)
     firsts = stored(rows.groupBy("sha", "text_key").agg(F.min("order").alias("first_order")), "first-texts")
     found = repeated(anchor_rows(keyed.filter(F.octet_length("t") >= MATCH)))
     wanted = stored(found.groupBy("text_key").agg(F.collect_set("place").alias("places"))
-                    .join(firsts.select("text_key", F.col("first_order").alias("order")), "text_key"), "anchor-places")
+                    .join(firsts.select("text_key", F.col("first_order").alias("order")), "text_key"), "anchor-places", free=True)
     # one row of those that repeat an id and a text, or each would be a repeat of the other; only candidates are looked at
-    candidates = stored(keyed.select("order", "text_key", "t").join(wanted, ["text_key", "order"]).dropDuplicates(["text_key", "order"]), "candidates")
+    candidates = stored(keyed.select("order", "text_key", "t").join(wanted, ["text_key", "order"]).dropDuplicates(["text_key", "order"]), "candidates", free=True)
     n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET)
-    runs = split_buckets(stored(sorted_runs(candidates, buckets), "runs"), buckets)
+    runs = split_buckets(stored(sorted_runs(candidates, buckets), "runs", free=True), buckets)
     covered = merged_repeats(runs.filter("run is not null").select("bucket", "run")) \
         .union(runs.filter("run is null").select("text_key", "order", "first", "after"))
-    by_text = stored(covered.groupBy("text_key", "order").agg(F.collect_list(F.struct("first", "after")).alias("covered")), "covered")
+    by_text = stored(covered.groupBy("text_key", "order").agg(F.collect_list(F.struct("first", "after")).alias("covered")), "covered", free=True)
 
     def keep(batches):
         for b in batches:
