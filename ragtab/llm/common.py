@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,19 +18,66 @@ ROWS_A_FILE = 200_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Folders written inside the ``scratch`` blocks that are open, innermost last.
+_OPEN: list[list[str]] = []
+
+
+def _delete(spark, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark):
+    """Tables stored inside the block are deleted at its end, when what was made of them is written: return that through the
+    function that the block gets, which stores it for the caller."""
+    mine: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held = _OPEN.pop()
+        try:
+            return stored(df, name)
+        finally:
+            _OPEN.append(held)
+
+    _OPEN.append(mine)
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in mine:
+            _delete(spark, path)
+        spark.sparkContext._jvm.System.gc()
+
+
+def work_folder(spark, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, deleted with the innermost ``scratch`` block."""
+    path = work_path(spark, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def release(table: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _delete(table.sparkSession, table.stored_at)
+
+
 def stored(df: DataFrame, name: str, rows: int | None = None, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into a fresh folder below ``spark.checkpoint.dir`` and read it
     back: later steps start from files that survive a lost executor. ``rows``, an upper bound
     of a narrow table's rows, gives fewer files (a task for every ROWS_A_FILE). ``free`` asks the driver
     to collect its garbage, so that the executors drop the shuffle files that led to the table."""
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = work_folder(spark, name)
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
     df.write.option("compression", "zstd").parquet(path)
     if free:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def bucket(doc_id: Column, mod: int) -> Column:

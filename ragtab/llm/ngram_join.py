@@ -41,9 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragtab.session import work_path
-
-from .common import LOWER, keep_documents, stored, text_key
+from .common import LOWER, keep_documents, release, scratch, stored, text_key, work_folder
 from .components import components
 
 #: Words of a shingle; similarity of a link in per cent.
@@ -292,7 +290,7 @@ def bucketed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_key", "text")
     # a row that repeats gives its node one text: all of them are the same
     rows = rows.hint("merge").join(of.hint("merge"), ["no_id", "id", "text_key"]).dropDuplicates(["no_id", "id", "text_key"]).select("node", "text")
-    rows.write.option("compression", "zstd").option("path", work_path(spark, "shingle-texts")) \
+    rows.write.option("compression", "zstd").option("path", work_folder(spark, "shingle-texts")) \
         .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").saveAsTable(name)
     return spark.table(name)
 
@@ -459,22 +457,30 @@ def settle(open_keys: DataFrame, linked_nodes: DataFrame, nodes: DataFrame, text
 def similarity_join(docs: DataFrame, tried: int = TRIED) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text); also text_key (a hash of the text) and group (the
     component's number, null for an empty set)."""
+    with scratch(docs.sparkSession) as keep:
+        return keep(_joined(docs, tried), "shingle-components")
+
+
+def _joined(docs: DataFrame, tried: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.col("text").cast("binary").alias("text"))
     frequent = frequent_shingles(docs.filter("text is not null"))
-    rows = stored(with_keys(docs, frequent), "shingle-keys")
+    wide = stored(with_keys(docs, frequent), "shingle-keys")
     same = ["n", "d1", "d2"]
+    rows = stored(wide.select("doc_id", "text_key", *same), "shingle-sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "bytes"))
-    sets = rows.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("smallest"), rep.alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
-    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("bytes", F.col("rep.bytes")), "shingle-nodes")
-    hubs = stored(shared_keys(nodes.select(F.explode("keys").alias("key"), "node", "n")), "shared-keys")
+    sets = wide.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("smallest"), rep.alias("rep"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()).withColumn("bytes", F.col("rep.bytes")), "shingle-nodes", free=True)
+    release(wide)
+    hubs = stored(shared_keys(nodes.select(F.explode("keys").alias("key"), "node", "n")), "shared-keys", free=True)
 
     # every member of a key that several nodes have, hubs included
-    members = stored(hubs.select("key", "node", "n").union(hubs.select("key", "hub", "hub_n").distinct()), "shared-members")
+    members = stored(hubs.select("key", "node", "n").union(hubs.select("key", "hub", "hub_n").distinct()), "shared-members", free=True)
     pairs = hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")).filter(_sizes_fit("hub_n", "n"))
     needed = members.select("node").distinct()
     wanted = stored(nodes.drop("keys").join(needed, "node", "left_semi"), "shared-nodes")
     texts = bucketed_texts(docs, wanted)
     seen = stored(pairs.distinct(), "pairs")
+    release(hubs)
     found = components(linked_pairs(stored(near_pairs(seen, wanted), "near-pairs"), texts))
 
     def verified(pairs: DataFrame) -> DataFrame:

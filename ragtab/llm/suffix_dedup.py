@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch, stored
 
 #: Bytes of a repeated string, and of the hashed strings that anchors are chosen by.
 MATCH, K = 100, 32
@@ -462,12 +462,17 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
     """Three tables. Rows: doc_id, order, sha, n_bytes of every row of ``docs``. Firsts: sha, text_key, first_order (the
     row whose text is looked at) of every different text. Changed: text_key, order, n_removed, n_spans, kept_sha256 and,
     with ``texts``, kept (without bytes of a character that is cut apart) of the texts that lose a part."""
+    with scratch(docs.sparkSession) as keep:
+        return _removals(docs, texts, keep)
+
+
+def _removals(docs: DataFrame, texts: bool, keep_table) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     keyed = _keyed(docs.select("doc_id", "text")).select(
         "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), F.col("_llm_sha").alias("sha"),
         F.col("_llm_key").alias("text_key"), F.col("_llm_order").alias("order"))
-    rows = stored(keyed.select("doc_id", "order", "sha", "text_key", F.octet_length("t").cast("long").alias("n_bytes")), "texts", free=True)
-    firsts = stored(rows.groupBy("sha", "text_key").agg(F.min("order").alias("first_order")), "first-texts")
+    rows = keep_table(keyed.select("doc_id", "order", "sha", "text_key", F.octet_length("t").cast("long").alias("n_bytes")), "texts")
+    firsts = keep_table(rows.groupBy("sha", "text_key").agg(F.min("order").alias("first_order")), "first-texts")
     found = repeated(anchor_rows(keyed.filter(F.octet_length("t") >= MATCH)))
     wanted = stored(found.groupBy("text_key").agg(F.collect_set("place").alias("places"))
                     .join(firsts.select("text_key", F.col("first_order").alias("order")), "text_key"), "anchor-places", free=True)
@@ -495,7 +500,7 @@ def removals(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame
 
     changed = candidates.join(by_text, ["text_key", "order"]).select("text_key", "order", "t", "covered") \
         .mapInArrow(keep, "text_key long, `order` long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return rows, firsts, stored(changed, "changed")
+    return rows, firsts, keep_table(changed, "changed")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
