@@ -16,6 +16,7 @@ closed makes the rest of its file one record, as there."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,10 +123,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_quoted_csv(spark: SparkSession, path: str, schema: StructType | str, with_path: bool = False) -> DataFrame:
-    """Header CSV whose cells may hold commas, doubled quotes and newlines; explicit schema. ``with_path`` adds the file's
-    path as ``file_path``."""
+    """Header CSV whose cells may hold commas, doubled quotes and newlines; explicit schema. Columns that folders named
+    ``name=value`` give are added, as by other readers. ``with_path`` adds the file's path as ``file_path``."""
     if isinstance(schema, str):
         schema = spark.createDataFrame([], schema).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     rows = records(spark, path).select(F.from_csv("record", ddl, OPTIONS).alias("r"), F.col("path").alias("file_path"))
-    return rows.select("r.*", *(["file_path"] if with_path else []))
+    folders = [f for f in spark.read.text(path).schema if f.name != "value" and f.name not in schema.names]
+    value = lambda f: F.regexp_extract("file_path", f"/{re.escape(f.name)}=([^/]*)/", 1)
+    given = [F.when(value(f) != "__HIVE_DEFAULT_PARTITION__", F.url_decode(value(f))).cast(f.dataType).alias(f.name) for f in folders]
+    return rows.select("r.*", *given, *(["file_path"] if with_path else []))
