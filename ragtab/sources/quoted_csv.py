@@ -130,6 +130,8 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: StructType | str, wi
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     rows = records(spark, path).select(F.from_csv("record", ddl, OPTIONS).alias("r"), F.col("path").alias("file_path"))
     folders = [f for f in spark.read.text(path).schema if f.name != "value" and f.name not in schema.names]
-    value = lambda f: F.regexp_extract("file_path", f"/{re.escape(f.name)}=([^/]*)/", 1)
-    given = [F.when(value(f) != "__HIVE_DEFAULT_PARTITION__", F.url_decode(value(f))).cast(f.dataType).alias(f.name) for f in folders]
+    decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    # the folder's name encodes the value, and the path, which is a URI, the name
+    value = lambda f: decoded(decoded(F.regexp_extract("file_path", f"/{re.escape(f.name)}=([^/]*)/", 1)))
+    given = [F.when(value(f) != "__HIVE_DEFAULT_PARTITION__", value(f)).cast(f.dataType).alias(f.name) for f in folders]
     return rows.select("r.*", *given, *(["file_path"] if with_path else []))
