@@ -9,7 +9,8 @@ A template is found where the cosine reaches ``THRESHOLD``, for templates of few
 
 A first pass counts the lines with each word (stored table). A second one keeps the places of a text whose cosine can reach the
 threshold when words that are neither in a template nor in a hundredth of all lines weigh the least they may. Of these places
-the remaining words are joined with the counts, and the third pass computes the cosines from them; whole texts never move.
+the remaining words are joined with the counts, and the third pass computes the cosines from them; of other files than licence files
+only these places move.
 
 Directories get the licence of their best licence file; every directory that files lie in is joined with its
 ancestors' licences and takes the deepest one, and files without a licence of their own take their directory's.
