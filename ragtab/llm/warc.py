@@ -7,8 +7,10 @@ size, so that Spark's own writer commits them and a task that is run again repla
 ``read_warc`` takes that table or Spark's ``binaryFile`` reader of such files.
 
 The reader loads the dictionary from the leading skippable frame, decodes one frame per record
-and checks the version line, the mandatory header fields, the block length against
-Content-Length, the end of the record, the payload's length and its digest.
+and checks the version line, the mandatory header fields and the date's form, the block length against
+Content-Length, the end of the record, the payload's length, and the digests of block and payload (any algorithm that
+hashlib has, in hexadecimal or base32; others are not checked). A revisit may name what it repeats by record id, or by URI and
+date: ``with_targets`` finds the record of the latter.
 
 Defined cases: a null html is an empty payload; a null or odd URL is percent-encoded into one
 header line; of rows that share a page_id and a payload each is what the smallest id is;
@@ -18,9 +20,11 @@ archive. A broken archive raises, or with ``strict=False`` gives a row whose ``e
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from datetime import datetime
 
 import pyarrow as pa
 import zstandard
@@ -44,7 +48,10 @@ ARCHIVE_BYTES = 8 << 20
 TRAIN_BYTES, DICT_BYTES = 1 << 20, 16 << 10
 
 RECORDS = ("archive string, record_id string, record_type string, target_uri string, warc_date string, "
-           "payload_bytes long, payload_digest string, refers_to string, payload binary, error string")
+           "payload_bytes long, payload_digest string, refers_to string, refers_to_uri string, refers_to_date string, "
+           "payload binary, error string")
+#: Fixed value: the forms of a date, from a year alone to fractions of a second, in UTC.
+DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:T(\d\d):(\d\d)(?::(\d\d)(?:\.\d{1,9})?)?Z)?)?)?")
 
 
 def with_revisits(pages: DataFrame, key: str = "page_id", body: str = "html") -> DataFrame:
@@ -195,45 +202,98 @@ def frames(content: bytes) -> Iterator[bytes]:
         pos = end
 
 
-def parse(rec: bytes) -> dict:
-    """Fields of a record; raises ValueError where it breaks the format or a length or digest is wrong."""
-    head, sep, rest = rec.partition(b"\r\n\r\n")
-    first, *lines = head.split(b"\r\n")
-    if not sep or first not in (b"WARC/1.0", b"WARC/1.1"):
-        raise ValueError("no WARC header")
+def check_date(value: str) -> None:
+    m = DATE.fullmatch(value)
+    if not m:
+        raise ValueError(f"odd date {value[:40]!r}")
+    year, month, day, hour, minute, second = (int(x) if x else None for x in m.groups())
+    datetime(year, month or 1, day or 1, hour or 0, minute or 0, min(second or 0, 59))  # raises where there is no such day or time
+    if (second or 0) > 60:
+        raise ValueError(f"odd date {value[:40]!r}")
+
+
+def check_digest(value: str | None, data: bytes, what: str) -> None:
+    """``value``: algorithm, colon, digest in hexadecimal or base32."""
+    if not value:
+        return
+    name, colon, text = value.partition(":")
+    name, text = name.strip().lower().replace("-", ""), text.strip()
+    if not colon or not text:
+        raise ValueError(f"the {what}'s digest has no algorithm or value")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return
+    now = hashlib.new(name, data).digest()
+    if text.lower() != now.hex() and text.upper().rstrip("=") != base64.b32encode(now).decode().rstrip("="):
+        raise ValueError(f"the {what}'s digest is wrong")
+
+
+def fields_of(head: bytes) -> tuple[bytes, dict[str, str]]:
+    """The first line and the named fields; a line that begins with white space goes on with the one before. Of fields that repeat,
+    the last."""
+    first, *rows = re.sub(rb"\r\n[ \t]+", b" ", head).split(b"\r\n")
     h = {}
-    for line in lines:
-        k, colon, v = line.partition(b":")
+    for row in rows:
+        k, colon, v = row.partition(b":")
         if not colon or not k.strip():
-            raise ValueError(f"odd header line {line[:60]!r}")
+            raise ValueError(f"odd header line {row[:60]!r}")
         h[k.strip().lower().decode()] = v.strip().decode()
-    if missing := [k for k in MANDATORY if k not in h]:
+    return first, h
+
+
+def parse(rec: bytes) -> dict:
+    """Fields of a record; raises ValueError where it breaks the format or a length or digest is wrong. payload_digest: the
+    payload's SHA-256; of a revisit, which has no payload, the header's digest (bare for SHA-256)."""
+    head, sep, rest = rec.partition(b"\r\n\r\n")
+    first, h = fields_of(head) if sep else (b"", {})
+    if first not in (b"WARC/1.0", b"WARC/1.1"):
+        raise ValueError("no WARC header")
+    if missing := [k for k in MANDATORY if not h.get(k)]:
         raise ValueError(f"header lacks {missing}")
+    check_date(h["warc-date"])
     if not h["content-length"].isdigit() or len(rest) != int(h["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise ValueError("the block's length is not Content-Length")
-    block, kind = rest[:-4], h["warc-type"]
+    block, kind = rest[:-4], h["warc-type"].lower()
+    check_digest(h.get("warc-block-digest"), block, "block")
     payload, n = block, len(block)
-    if h.get("content-type", "").startswith("application/http"):
+    if h.get("content-type", "").startswith("application/http") and (block or kind != "revisit"):
         http, sep, payload = block.partition(b"\r\n\r\n")
-        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
         if not sep:
             raise ValueError("no end of the HTTP header")
-        n = int(m[1]) if m else len(payload)
-    digest = h.get("warc-payload-digest", "").removeprefix("sha256:")
+        m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
+        coded = re.search(rb"(?i)\r\ntransfer-encoding:", http) or "warc-truncated" in h  # then the length is not the HTTP header's
+        n = int(m[1]) if m and not coded else len(payload)
+    digest = h.get("warc-payload-digest")
     if kind != "revisit":
         if n != len(payload):
             raise ValueError("the payload's length is not the HTTP Content-Length")
-        if (is_now := hashlib.sha256(payload).hexdigest()) != (digest or is_now):
-            raise ValueError("the payload's digest is wrong")
-        digest = is_now
-    elif "warc-refers-to" not in h or payload:
-        raise ValueError("a revisit refers to nothing or has a payload")
-    return {"record_id": h["warc-record-id"].strip("<>"), "record_type": kind, "target_uri": h.get("warc-target-uri"),
-            "warc_date": h["warc-date"], "payload_bytes": n, "payload_digest": digest,
-            "refers_to": h["warc-refers-to"].strip("<>") if kind == "revisit" else None,
+        if "warc-truncated" not in h and "warc-segment-number" not in h:
+            check_digest(digest, payload, "payload")
+        digest = hashlib.sha256(payload).hexdigest()
+    else:
+        by_date = h.get("warc-refers-to-target-uri") and h.get("warc-refers-to-date")
+        if payload or not (h.get("warc-refers-to") or by_date):
+            raise ValueError("a revisit refers to nothing or has a payload")
+        if by_date:
+            check_date(h["warc-refers-to-date"])
+        digest = digest and re.sub(r"(?i)^sha-?256:([0-9a-f]{64})$", lambda m: m[1].lower(), digest)
+    bare = lambda k: h[k].strip("<>") if kind == "revisit" and h.get(k) else None
+    return {"record_id": h["warc-record-id"].strip("<>"), "record_type": kind,
+            "target_uri": h["warc-target-uri"].strip("<>") if "warc-target-uri" in h else None,
+            "warc_date": h["warc-date"], "payload_bytes": n, "payload_digest": digest, "refers_to": bare("warc-refers-to"),
+            "refers_to_uri": bare("warc-refers-to-target-uri"), "refers_to_date": bare("warc-refers-to-date"),
             "payload": None if kind == "revisit" else payload, "error": None}
 
 
+def with_targets(records: DataFrame) -> DataFrame:
+    """``records`` with ``refers_to`` of revisits that name a URI and a date: the id of the record that has both (the smallest of
+    several), null where the archives hold none. A URI and date is one row before the join, so a hot one costs what any other does."""
+    named = records.filter("record_type <> 'revisit' and target_uri is not null") \
+        .groupBy(F.col("target_uri").alias("refers_to_uri"), F.col("warc_date").alias("refers_to_date")) \
+        .agg(F.min("record_id").alias("_named"))
+    return records.join(named, ["refers_to_uri", "refers_to_date"], "left") \
+        .withColumn("refers_to", F.coalesce("refers_to", "_named")).select(*records.columns)
+
+
 def read_warc(archives: DataFrame, name: str = "name", content: str = "content", payloads: bool = True,
               strict: bool = True) -> DataFrame:
     """A row per record of the archives (a table of whole archives, each of bounded size)."""

@@ -55,3 +55,72 @@ def test_records_are_checked(change):
     assert X.parse(rec)["payload"] == b"hello"
     with pytest.raises(ValueError):
         X.parse(change(rec))
+
+
+def made(fields, block):
+    lines = "".join(f"{k}: {v}\r\n" for k, v in fields.items())
+    return b"WARC/1.1\r\n" + lines.encode() + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n"
+RESPONSE = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2024-02-29T01:02:03Z", "WARC-Target-URI": "http://a/",
+            "Content-Type": "application/http; msgtype=response"}
+
+
+def test_digests_of_ordinary_archives():
+    import base64
+    import hashlib
+
+    block = HTTP + b"\r\nhello"
+    sha1 = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    for value in ("sha1:" + sha1, "sha1:" + sha1.lower(), "SHA-256:" + hashlib.sha256(b"hello").hexdigest().upper(), "md5:" + hashlib.md5(b"hello").hexdigest(),
+                  "sha256:" + base64.b32encode(hashlib.sha256(b"hello").digest()).decode(), "unheard:of"):
+        whole = "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        got = X.parse(made(RESPONSE | {"WARC-Payload-Digest": value, "WARC-Block-Digest": whole}, block))
+        assert got["payload"] == b"hello" and got["payload_digest"] == hashlib.sha256(b"hello").hexdigest()
+    for field, value in (("WARC-Payload-Digest", "sha1:" + sha1[::-1]), ("WARC-Block-Digest", "sha1:" + sha1), ("WARC-Payload-Digest", "sha1")):
+        with pytest.raises(ValueError, match="digest"):
+            X.parse(made(RESPONSE | {field: value}, block))
+
+
+@pytest.mark.parametrize("date, good", [("2024", True), ("2024-02", True), ("2024-02-29", True), ("2024-02-29T23:59Z", True), ("2016-12-31T23:59:60Z", True),
+                                        ("2024-02-29T01:02:03.123456789Z", True), ("yesterday", False), ("2023-02-29", False), ("2024-02-29T01:02:03", False),
+                                        ("2024-13", False), ("2024-02-29T24:00:00Z", False), ("", False)])
+def test_dates_are_checked(date, good):
+    rec = made(RESPONSE | {"WARC-Date": date}, HTTP + b"\r\n")
+    if good:
+        assert X.parse(rec)["warc_date"] == date
+    else:
+        with pytest.raises(ValueError):
+            X.parse(rec)
+
+
+def test_coded_truncated_and_folded():
+    assert X.parse(made(RESPONSE, HTTP + b"Transfer-Encoding: chunked\r\nContent-Length: 99\r\n\r\n5\r\nhello\r\n0\r\n\r\n"))["payload_bytes"] == 15
+    cut = HTTP + b"Content-Length: 99\r\n\r\nhello"
+    assert X.parse(made(RESPONSE | {"WARC-Truncated": "length", "WARC-Payload-Digest": "sha1:XYZ"}, cut))["payload"] == b"hello"
+    with pytest.raises(ValueError, match="HTTP Content-Length"):
+        X.parse(made(RESPONSE, cut))
+    assert X.parse(made(RESPONSE | {"WARC-Target-URI": "http://a/\r\n  x"}, HTTP + b"\r\n"))["target_uri"] == "http://a/ x"
+
+
+def test_revisits_by_uri_and_date(spark):
+    import zstandard
+
+    revisit = {"WARC-Type": "revisit", "WARC-Date": "2024-03-01", "WARC-Target-URI": "http://a/", "WARC-Profile": X.REVISIT,
+               "WARC-Payload-Digest": "sha1:ABCDEF", "Content-Type": "application/http; msgtype=response"}
+    by = lambda uri, date: {"WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date}
+    day = RESPONSE["WARC-Date"]
+    recs = [made(RESPONSE, HTTP + b"\r\nhello"), made(RESPONSE | {"WARC-Record-ID": "<urn:uuid:0>"}, HTTP + b"\r\nhello"),
+            made(revisit | {"WARC-Record-ID": "<urn:uuid:2>"} | by("http://a/", day), HTTP + b"\r\n"),
+            made(revisit | {"WARC-Record-ID": "<urn:uuid:3>"} | by("http://b/", day), b""),
+            made(revisit | {"WARC-Record-ID": "<urn:uuid:4>", "WARC-Refers-To": "<urn:uuid:1>"} | by("http://a/", day), HTTP + b"\r\n")]
+    content = b"".join(zstandard.ZstdCompressor().compress(r) for r in recs)
+    read = X.read_warc(spark.createDataFrame([("a", content)], "name string, content binary"))
+    out = X.with_targets(read)
+    assert out.columns == read.columns
+    assert {r["record_id"][-1]: r["refers_to"] and r["refers_to"][-1] for r in out.collect()} == {"0": None, "1": None, "2": "0", "3": None, "4": "1"}
+    assert {r["payload_digest"] for r in out.filter("record_type = 'revisit'").collect()} == {"sha1:ABCDEF"}
+    for fields in (revisit, revisit | by("http://a/", "soon"), revisit | {"WARC-Refers-To-Date": day}):
+        with pytest.raises(ValueError):
+            X.parse(made(fields | {"WARC-Record-ID": "<urn:uuid:5>"}, b""))
