@@ -42,6 +42,8 @@ DISCOUNT = 0.75
 SPANS = (1, 4, 16, 64)
 PER_CLASS, CALIBRATE = 2000, 1000
 FOLDS, HELD = 5, 0
+#: Words, and n-grams, that a task remembers before it starts afresh.
+MOST_SEEN = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 PAD = "\x02" * (ORDER - 1)
 
@@ -97,9 +99,10 @@ def backoff_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 fresh.update(words(t))
             fresh -= seen
             new = {g for w in fresh for g in grams(w)} - done
-            done |= new
-            seen = seen | fresh if len(seen) < 300_000 else fresh  # a word seen again costs time only
-            yield pd.DataFrame({"gram": list(new)})
+            done = done | new if len(done) < MOST_SEEN else new  # an n-gram handed on again costs time only
+            seen = seen | fresh if len(seen) < MOST_SEEN else fresh  # so does a word seen again
+            if new:
+                yield pd.DataFrame({"gram": list(new)})
 
     longest = docs.filter("text is not null").select("text").mapInPandas(types, "gram string").distinct()
     ends = F.array("gram", *(F.expr(f"substring(gram, {k})") for k in range(2, ORDER)))
@@ -129,23 +132,27 @@ def backoff(docs: DataFrame, wanted: set[str], d: float = DISCOUNT) -> dict[str,
     return {g: prob[g] for g in wanted}
 
 
+def with_contexts(counts: dict[str, int]) -> tuple[dict[str, int], Counter, Counter]:
+    """The counts, and the sum and number of each context's counts."""
+    total, kinds = Counter(), Counter()
+    for g, c in counts.items():
+        total[g[:-1]] += c
+        kinds[g[:-1]] += 1
+    return counts, total, kinds
+
+
+def probability(g: str, p: float, counts: dict[str, int], total: Counter, kinds: Counter, d: float = DISCOUNT) -> float:
+    """A class's probability of an n-gram's last letter; ``p``: what the shared counts give it."""
+    h = g[:-1]
+    if h not in total:
+        return p
+    return max(counts.get(g, 0) - d, 0) / total[h] + d * kinds[h] / total[h] * p
+
+
 def kneser_ney(toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str, float], d: float = DISCOUNT) -> Model:
     """Evidence tables from the class's n-gram counts and what the shared counts give the n-grams without their first letter."""
-    totals = []
-    for counts in (toxic, ordinary):
-        total, kinds = Counter(), Counter()
-        for g, c in counts.items():
-            total[g[:-1]] += c
-            kinds[g[:-1]] += 1
-        totals.append((counts, total, kinds))
-
-    def prob(g: str, p: float, counts, total, kinds) -> float:
-        h = g[:-1]
-        if h not in total:
-            return p
-        return max(counts.get(g, 0) - d, 0) / total[h] + d * kinds[h] / total[h] * p
-
-    table = {g: log(prob(g, p := shared[g[1:]], *totals[0])) - log(prob(g, p, *totals[1])) for g in {*toxic, *ordinary}}
+    totals = [with_contexts(counts) for counts in (toxic, ordinary)]
+    table = {g: log(probability(g, p := shared[g[1:]], *totals[0], d)) - log(probability(g, p, *totals[1], d)) for g in {*toxic, *ordinary}}
     rest = lambda h, _, total, kinds: d * kinds[h] / total[h] if h in total else 1.0
     default = {h: log(rest(h, *totals[0])) - log(rest(h, *totals[1])) for h in {*totals[0][1], *totals[1][1]}}
     return Model(table, default)
@@ -190,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
             for w, k in ws.items():
                 for g in grams(w):
                     gs[g] += k
-            yield pd.DataFrame({"toxic": c, "gram": list(gs), "n": list(gs.values())})
+            if gs:
+                yield pd.DataFrame({"toxic": c, "gram": list(gs), "n": list(gs.values())})
 
     counted = sample.filter("for_model").select("text", F.col("toxic").cast("int").alias("toxic")) \
         .mapInPandas(count, "toxic int, gram string, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n")).toPandas()
