@@ -20,6 +20,7 @@ sorted order; null ids count as the empty text for the fold; other columns are n
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,8 +36,12 @@ COLUMNS = sum(1 << bits for _, bits in SPECTRUM)
 UND = "und"
 #: Bytes below 128 that are no letters become a space.
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
-#: The pipeline rejects predictions below this score (chance for two languages is 0.5).
-MIN_SCORE = 0.3
+#: The pipeline rejects predictions below this score (chance for two languages is 0.5), and texts whose decision value is below
+#: MIN_DECISION: clearly less like their language than like the others together, as letters of no language are where at least
+#: three were learned. A text of fewer than FEW distinct n-grams, about 15 words, says too little for the latter.
+MIN_SCORE, MIN_DECISION, FEW = 0.3, -0.1, 300
+#: Rows of the fit that are unpacked at a time.
+BLOCK = 256
 
 
 def columns(text: str) -> np.ndarray:
@@ -61,22 +66,26 @@ class Model:
     weights: np.ndarray
     sharpness: float = 8.0
 
-    def score(self, texts: list[str], block: int = 32) -> tuple[list[str], np.ndarray]:
-        """Predicted languages and their scores."""
-        best, score = [], []
+    def score(self, texts: list[str], block: int = 32) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted languages, their scores (softmax of the decision values) and decision values, numbers of distinct n-grams."""
+        best, score, decision, sizes = [], [], [], []
         for at in range(0, len(texts), block):
             part = texts[at:at + block]
             x = np.zeros((len(part), COLUMNS), np.float32)
             for row, t in zip(x, part, strict=True):
                 row[columns(t)] = 1
-            norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+            size = x.sum(1, keepdims=True)
+            norm = np.sqrt(np.maximum(size, 1))
             f = (x @ self.weights) / norm
             p = np.exp(self.sharpness * (f - f.max(1, keepdims=True)))
             p /= p.sum(1, keepdims=True)
             k = f.argmax(1)
             best += [self.languages[i] for i in k]
             score.append(p[np.arange(len(part)), k])
-        return best, np.concatenate(score).astype(float) if score else np.zeros(0)
+            decision.append(f.max(1))
+            sizes.append(size[:, 0])
+        joined = lambda xs: np.concatenate(xs).astype(float) if xs else np.zeros(0)
+        return best, joined(score), joined(decision), joined(sizes)
 
 
 def fit(labelled: DataFrame, per_class: int = 200, landmarks: int = 32, ridge: float = 1e-2) -> Model | None:
@@ -98,11 +107,20 @@ def fit(labelled: DataFrame, per_class: int = 200, landmarks: int = 32, ridge: f
     if not sample:
         return None
     langs = sorted({r["lang"] for r in sample})
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=COLUMNS) for r in sample])
-    norm = np.sqrt(np.maximum(x.sum(1), 1)).astype(np.float64)
-    at = [i for i, r in enumerate(sample) if r["rank"] <= landmarks]
-    marks = x[at].astype(np.float32)
-    k = np.concatenate([x[i:i + 64].astype(np.float32) @ marks.T for i in range(0, len(x), 64)]) / np.outer(norm, norm[at])
+    packed = np.stack([np.frombuffer(r["bits"], np.uint8) for r in sample])
+
+    def blocks(rows: list[int]) -> Iterator[tuple[slice, np.ndarray]]:
+        """The presence vectors of some rows, a block at a time; all at once would be eight times the packed ones."""
+        for i in range(0, len(rows), BLOCK):
+            yield slice(i, i + BLOCK), np.unpackbits(packed[rows[i:i + BLOCK]], axis=1, count=COLUMNS).astype(np.float32)
+
+    every, at = list(range(len(sample))), [i for i, r in enumerate(sample) if r["rank"] <= landmarks]
+    norm = np.sqrt(np.maximum(np.concatenate([x.sum(1) for _, x in blocks(every)]), 1)).astype(np.float64)
+    k = np.empty((len(sample), len(at)))
+    for to, marks in blocks(at):
+        for of, x in blocks(every):
+            k[of, to] = x @ marks.T
+    k /= np.outer(norm, norm[at])
     k_ll = k[at]
     values, vectors = np.linalg.eigh((k_ll + k_ll.T) / 2)
     good = values > 1e-6 * values.max()
@@ -111,8 +129,11 @@ def fit(labelled: DataFrame, per_class: int = 200, landmarks: int = 32, ridge: f
     y = np.where(np.array([r["lang"] for r in sample])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     weight = 1 / np.array([sum(r["lang"] == s["lang"] for s in sample) for r in sample])  # each language counts alike
     beta = np.linalg.solve(z.T @ (z * weight[:, None]) + ridge * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
-    folded = marks.T @ ((whiten @ beta) / norm[at][:, None]).astype(np.float32)
-    return Model(langs, np.ascontiguousarray(folded, np.float32))
+    by_mark = ((whiten @ beta) / norm[at][:, None]).astype(np.float32)
+    folded = np.zeros((COLUMNS, len(langs)), np.float32)
+    for of, marks in blocks(at):
+        folded += marks.T @ by_mark[of]
+    return Model(langs, folded)
 
 
 def _pack(cols: np.ndarray) -> bytes:
@@ -122,23 +143,23 @@ def _pack(cols: np.ndarray) -> bytes:
 
 
 def predict(docs: DataFrame, model: Model | None, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, text_key for every row of ``docs``."""
+    """doc_id, held_out, lang_pred, score, text_key, decision, n_grams for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # columns x languages: of fixed size
 
     def run(batches):
         m = shared.value
         for pdf in batches:
-            lang, score = np.full(len(pdf), UND, object), np.zeros(len(pdf))
+            lang, score, decision, n_grams = np.full(len(pdf), UND, object), *(np.zeros(len(pdf)) for _ in range(3))
             rows = np.flatnonzero(pdf["scored"].to_numpy(bool)) if m else np.zeros(0, int)
             if len(rows):
-                got, s = m.score([pdf["text"].iat[i] for i in rows])
-                lang[rows], score[rows] = got, s
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score, "text_key": pdf["text_key"]})
+                lang[rows], score[rows], decision[rows], n_grams[rows] = m.score([pdf["text"].iat[i] for i in rows])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "lang_pred": lang, "score": score, "text_key": pdf["text_key"],
+                                "decision": decision, "n_grams": n_grams.astype(int)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (bucket(F.col("doc_id"), folds) == held).alias("held_out"),
                        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("scored"), text_key(F.col("text")).alias("text_key")) \
-        .mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, text_key long")
+        .mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, text_key long, decision double, n_grams long")
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, **fit_options) -> DataFrame:
@@ -146,7 +167,9 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **fit_options) -> D
     return predict(docs, fit(docs.filter(bucket(F.col("doc_id"), folds) != held), **fit_options), folds, held)
 
 
-def langid_stage(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Rows whose language is known with a score of at least ``min_score``, columns unchanged."""
-    good = identify(docs).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
+def langid_stage(docs: DataFrame, min_score: float = MIN_SCORE, min_decision: float = MIN_DECISION, few: int = FEW) -> DataFrame:
+    """Rows whose language is known with a score of at least ``min_score`` and, but for texts of fewer than ``few`` distinct
+    n-grams, a decision value of at least ``min_decision``; columns unchanged."""
+    good = identify(docs).filter((F.col("lang_pred") != UND) & (F.col("score") >= min_score)
+                                 & ((F.col("decision") >= min_decision) | (F.col("n_grams") < few)))
     return keep_documents(docs, good)

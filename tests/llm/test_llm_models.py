@@ -46,8 +46,7 @@ def test_langid_stage(spark, documents):
     assert {r["doc_id"] for r in docs.select("doc_id").exceptAll(out.select("doc_id")).collect()} == {-1, -2}
 
 
-def test_folded_weights_are_kernel_ridge_regression():
-    """The folded product equals kernel values to the landmarks, whitened, times the ridge weights."""
+def test_columns_are_ngrams():
     rng = random.Random(1)
     a, b = C.prose(rng, 30), "der die das und " * 5
     x, y = langid.columns(a), langid.columns(b)
@@ -57,6 +56,37 @@ def test_folded_weights_are_kernel_ridge_regression():
     assert abs(len(x) - len(grams(a))) <= 3 and abs(shared - len(grams(a) & grams(b))) <= 3  # hashing apart
 
 
+def test_folded_weights_are_kernel_ridge_regression(spark):
+    """With every fitted text a landmark, the folded product is plain (weighted) kernel ridge regression."""
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 6)))
+    text = lambda letters: " ".join(word(letters) for _ in range(25))
+    kinds = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    rows = [(i, text(kinds[lang]), lang, "", 0) for i, lang in enumerate(["aa"] * 12 + ["bb"] * 7 + ["cc"] * 5)]
+    model = langid.fit(C.frame(spark, rows), per_class=50, landmarks=50, ridge=0.05)
+
+    sets = lambda ts: [set(langid.columns(t).tolist()) for t in ts]
+    kernel = lambda xs, ys: np.array([[len(x & y) / math.sqrt(len(x) * len(y)) for y in ys] for x in xs])
+    known, langs = sets([r[1] for r in rows]), [r[2] for r in rows]
+    y = np.array([[1.0 if lang == other else -1.0 for other in sorted(kinds)] for lang in langs])
+    alpha = np.linalg.solve(kernel(known, known) + 0.05 * np.diag([langs.count(lang) for lang in langs]), y)
+    new = [text(x) for x in kinds.values() for _ in range(4)] + [text("abcxyz"), text("qrstuv")]
+    want = kernel(sets(new), known) @ alpha
+    lang, _, decision, n_grams = model.score(new)
+    assert model.languages == sorted(kinds) and lang == [sorted(kinds)[k] for k in want.argmax(1)]
+    assert np.abs(decision - want.max(1)).max() < 1e-3
+    assert n_grams.tolist() == [len(x) for x in sets(new)]
+
+
+def test_langid_stage_rejects_letters_of_no_language(spark, documents):
+    rng = random.Random(4)
+    noise = [(-k, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(150 * k)), None, "s", 9)
+             for k in range(1, 31)]
+    out = {r["doc_id"] for r in langid.langid_stage(documents.union(spark.createDataFrame(noise, documents.schema))).select("doc_id").collect()}
+    assert not any(i < 0 for i in out)
+    assert out == {r["doc_id"] for r in documents.select("doc_id").collect()}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF_MID}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id", "left").toPandas()
@@ -79,19 +109,40 @@ def test_toxicity_odd_rows(spark):
 
 
 def test_kneser_ney_sums_to_one():
+    """After every context, and whatever shared distribution is below, the letters' probabilities sum to one."""
     rng = random.Random(3)
-    toxic, ordinary, before = Counter(), Counter(), {}
+    toxic, ordinary = Counter(), Counter()
     for _ in range(300):
         for c in (toxic, ordinary):
             c.update(toxicity.grams("".join(rng.choice("abc") for _ in range(rng.randrange(1, 7)))))
+    letters = "abcd\x03"
+    lower = {}
     for g in {*toxic, *ordinary}:
-        before.setdefault(g[1:], set()).add(g[0])
-    m = toxicity.kneser_ney(toxic, ordinary, {g: len(x) for g, x in before.items()})
-    h = max(Counter(g[:-1] for g in toxic), key=lambda h: sum(toxic[h + c] for c in "abc\x03"))
-    total = sum(toxic[h + c] for c in "abc\x03")
-    kinds = sum(h + c in toxic for c in "abc\x03")
-    assert kinds and 0 < toxicity.DISCOUNT * kinds / total < 1  # mass left for the shared counts
+        raw = [rng.random() for _ in letters]
+        lower.setdefault(g[1:-1], {c: x / sum(raw) for c, x in zip(letters, raw, strict=True)})
+    for counts in (toxic, ordinary):
+        tables = toxicity.with_contexts(counts)
+        for h in {g[:-1] for g in {*toxic, *ordinary}}:
+            assert sum(toxicity.probability(h + c, lower[h[1:]][c], *tables) for c in letters) == pytest.approx(1)
+    m = toxicity.kneser_ney(toxic, ordinary, {g[1:]: lower[g[1:-1]][g[-1]] for g in {*toxic, *ordinary}})
     assert all(math.isfinite(x) for x in [*m.table.values(), *m.default.values()])
+    g = max(toxic, key=toxic.get)
+    ratio = toxicity.probability(g, lower[g[1:-1]][g[-1]], *toxicity.with_contexts(toxic)) \
+        / toxicity.probability(g, lower[g[1:-1]][g[-1]], *toxicity.with_contexts(ordinary))
+    assert m.table[g] == pytest.approx(math.log(ratio))
+
+
+def test_backoff_counts_do_not_depend_on_what_a_task_remembers(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = C.frame(spark, [(i, C.prose(rng, 40), "", "", 0) for i in range(60)])
+    tables = lambda: [sorted(map(tuple, t.collect())) for t in toxicity.backoff_counts(docs)]
+    whole = tables()
+    monkeypatch.setattr(toxicity, "MOST_SEEN", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        assert tables() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_rare_forms_share_their_parts(spark):
