@@ -50,3 +50,17 @@ def test_few_rows(spark):
     none = points(spark, [[1.0, 0.0]]).limit(0)
     assert AN.ivf_topk(none, points(spark, [[0.0, 2.0]]), 3, doc_id="id").count() == 0
     assert AN.ivf_topk(points(spark, [[0.0, 2.0]]), none, 3, doc_id="id").count() == 0
+
+
+def test_a_query_goes_to_units_not_to_lists(spark):
+    """What a search sends out grows with the units of lists, and a slice of queries at a time is looked at."""
+    df = points(spark, np.random.default_rng(6).normal(size=(500, 8)))
+    index = AN.IvfIndex(df, 40, doc_id="id", vec="embedding", metric="cosine")
+    units = AN._units(index.sizes, 200)
+    assert 3 <= len(units[2]) <= 5 and sorted(np.concatenate(units[2])) == list(np.flatnonzero(index.sizes))
+    q = AN._vectors(df, "id", "embedding", "qid", "cosine").withColumn("reach", F.lit(0.0))
+    near = AN._lists(index, q, 40, 1.0, True, units)
+    assert near.count() == 500 * len(units[2])
+    assert {r["n"] for r in near.groupBy("qid").agg(F.sum("n").alias("n")).collect()} == {500}
+    first, many, members = AN._units(np.array([10, 0, 450, 30, 170, 5]), 200)
+    assert list(many) == [1, 0, 3, 1, 1, 1] and [list(m) for m in members] == [[0], [2], [2], [2], [3, 4], [5]]
