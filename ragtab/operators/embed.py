@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ragtab.functions.text import hashed_tokens, tokens
-from ragtab.operators.topk import DEFAULT_BROADCAST_BYTES, WeightedKernel, _blocked_topk, _id, _public, term_counts
+from ragtab.operators.topk import DEFAULT_BROADCAST_BYTES, WeightedKernel, _blocked_topk, _id, _public, list_slices, term_counts
 
 #: Buckets of the hashed embedder (three hexadecimal digits of a word's MD5).
 BUCKETS = 4096
@@ -43,6 +43,10 @@ def embed(df: DataFrame, idf: np.ndarray, text: str = "question", out: str = "em
 
     @F.arrow_udf(SPARSE)
     def weigh(words: pa.Array) -> pa.Array:
+        parts = [weigh_slice(words.slice(lo, hi - lo)) for lo, hi in list_slices(words)]
+        return pa.concat_arrays(parts) if parts else weigh_slice(words)
+
+    def weigh_slice(words: pa.Array) -> pa.Array:
         row, code, count, names = term_counts(words)
         index = np.array([int(x, 16) for x in names.to_pylist()], np.int32)[code] if len(names) else np.empty(0, np.int32)
         weight = count * shared.value[index]
