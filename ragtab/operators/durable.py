@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from ragtab.functions.text import words_per_second
 from ragtab.operators.answer import GEN_KEYS, GEN_SCHEMA, context_echo_scorer, score_calls
-from ragtab.session import work_path
+from ragtab.session import ensure_checkpoint_dir, work_path
 from ragtab.sources.batches import BatchTables
 
 ANSWERS = "call string, " + GEN_SCHEMA
-#: Calls of a queue file, and files of a micro-batch for each core of the cluster.
+#: Calls of a queue file at least, and files of a micro-batch for each core of the cluster.
 FILE_CALLS, FILES_A_CORE = 64, 1
+#: Micro-batches of a run about, however many calls: each costs a few jobs and a commit, and is what a dead job loses at most.
+BATCHES = 32
 
 
 def call_key():
@@ -52,12 +54,16 @@ def pending_calls(df: DataFrame, store: BatchTables) -> DataFrame:
 
 
 def drain(df: DataFrame, store: BatchTables, scorer: Callable = context_echo_scorer, *, options: dict | None = None,
-          setup: Callable | None = None, files_a_batch: int | None = None, file_calls: int = FILE_CALLS) -> None:
-    """Runs the pending calls of ``df`` and commits their answers, micro-batch by micro-batch."""
+          setup: Callable | None = None, files_a_batch: int | None = None, file_calls: int | None = None) -> None:
+    """Runs the pending calls of ``df`` and commits their answers, micro-batch by micro-batch. Without ``file_calls`` the queue
+    files grow with the calls, so that there are about ``BATCHES`` micro-batches at most."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     queue, name = work_path(spark, "calls"), work_path(spark, "calls-progress")
-    pending = pending_calls(df, store)
+    ensure_checkpoint_dir(spark)
+    pending = pending_calls(df, store).checkpoint(eager=True)  # counted and queued
+    if file_calls is None:
+        file_calls = max(FILE_CALLS, -(-pending.count() // (cores * FILES_A_CORE * BATCHES)))
     (pending.repartition(cores, "call").write.option("maxRecordsPerFile", file_calls).parquet(queue))
     run = queue.rstrip("/").rsplit("/", 1)[-1]
 

@@ -78,3 +78,12 @@ def test_setups_answer_as_themselves(spark):
     for word in ("first", "second", "third"):
         for setup in (lambda w=word: load(w), functools.partial(load, word)):
             assert {r["llm_response"].split()[0] for r in A.generate(df, setup=setup).select("llm_response").collect()} == {word}
+
+
+def test_micro_batches_do_not_grow_with_the_calls(spark, monkeypatch):
+    monkeypatch.setattr(D, "BATCHES", 2, raising=False)
+    n = spark.sparkContext.defaultParallelism * D.FILE_CALLS * 8
+    df = spark.range(n).select(F.lit("s").alias("system"), F.concat(F.lit("p"), "id").alias("prompt"), F.lit("m").alias("model"))
+    path = work_path(spark, "answers")
+    assert D.generate_durably(df, path).where("llm_response IS NOT NULL").count() == n
+    assert len(D.answer_store(spark, path).batches()) <= 4
