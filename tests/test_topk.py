@@ -199,3 +199,58 @@ def test_counting_is_done_in_slices(monkeypatch):
     acc = topk._TopK(80)
     kern.score_into(acc, np.arange(80), a)
     assert max(seen) <= 200 and len(seen) > seen_before + 5 and len(acc.q) == sum(bool({"w1", "w2"} & set(t)) for t in texts)
+
+
+def _mixed_texts(n: int, seed: int) -> list[list[str]]:
+    """Texts of three vocabularies that share few words, some empty."""
+    rng = np.random.default_rng(seed)
+    words = [[f"{lang}{i}" for i in range(60)] + ["in", "de"] for lang in "xyz"]
+    return [[words[i % 3][min(61, int(rng.exponential(6)))] for _ in range(int(rng.integers(0, 40)))] for i in range(n)]
+
+
+def test_a_floor_cuts_the_search_and_no_hit(monkeypatch):
+    """With a floor the search returns the hits of the whole one that reach it, and scores fewer pairs."""
+    monkeypatch.setattr(topk, "TILE_ROWS", 64)
+    monkeypatch.setattr(topk, "LEXICAL_CELLS", 1024)
+    qs, ds = _mixed_texts(700, 1), _mixed_texts(900, 2)
+    ids = np.random.default_rng(3).permutation(900)
+    for k in (1, 3):
+        hits, cells = [], []
+        for floor in (None, 0.8):
+            kern, acc = topk.LexicalKernel().prepare(np.arange(700), qs), topk._TopK(k, floor=floor)
+            plain, seen = kern.cells, []
+            kern.cells = lambda tile, part, n_q, n_d, plain=plain, seen=seen: seen.append(n_q * n_d) or plain(tile, part, n_q, n_d)
+            for at in range(0, 900, 300):
+                kern.score_into(acc, ids[at:at + 300], ds[at:at + 300])
+            hits.append({(q, d, s) for q, d, s in zip(acc.q.tolist(), acc.d.tolist(), acc.s.tolist())})
+            cells.append(sum(seen))
+        assert hits[1] == {h for h in hits[0] if h[2] >= 0.8} and 0 < len(hits[1]) < len(hits[0])
+        assert cells[1] < 0.9 * cells[0]
+
+
+def test_groups_and_tiles_change_no_result(monkeypatch):
+    """Rows laid out by groups in small tiles, some tokens dense: as the brute force has it, own rows left out or not."""
+    from collections import Counter
+
+    monkeypatch.setattr(topk, "TILE_ROWS", 32)
+    monkeypatch.setattr(topk, "LEXICAL_CELLS", 1024)
+    qs = _mixed_texts(150, 5)
+    counts = [Counter(t) for t in qs]
+    for k, share, own in ((1, 1 / 50, True), (4, 1 / 2000, False), (40, 1 / 400, True)):
+        monkeypatch.setattr(topk.LexicalKernel, "DENSE_SHARE", share)
+        acc = topk._TopK(k)
+        topk.LexicalKernel().prepare(np.arange(150), qs).score_into(acc, np.arange(150), topk.pa.array([" ".join(t) or None for t in qs]), own)
+        want = []
+        for i, a in enumerate(counts):
+            dots = {j: sum(a[t] * b[t] for t in a) for j, b in enumerate(counts) if j != i or not own}
+            norm = [sum(v * v for v in c.values()) ** 0.5 for c in counts]
+            best = sorted((-round(float(topk.round6(np.array(s / (norm[i] * norm[j])))), 6), j) for j, s in dots.items() if s)[:k]
+            want += [(i, j, -s) for s, j in best]
+        assert sorted(zip(acc.q.tolist(), acc.d.tolist(), acc.s.tolist())) == sorted(want)
+
+
+def test_words_are_shuffled_as_text(spark):
+    """The grid plan sends a row's words as one text, not as an array of them."""
+    q = spark.createDataFrame([(i, f"Alpha word{i}") for i in range(300)], "id long, question string")
+    plan = topk.lexical_topk(q, q.withColumnRenamed("id", "doc_id"), 2, broadcast_bytes=100)._jdf.queryExecution().analyzed().toString()
+    assert "CoGroup" in plan and "array_join" in plan
