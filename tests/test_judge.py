@@ -110,3 +110,28 @@ def test_failed_replies_are_no_verdicts(spark):
                                      "consistent_kind string, sem_score double, time double, tps double")
     m = J.group_metrics(df).first()
     assert (m["accuracy"], m["n"], m["mean_time"]) == (1.0, 1, 1.0)
+
+
+def test_each_reply_is_parsed_once(spark):
+    """Fields, filters and metrics over the parsed reply read one parse of it (and one tokenising of a pair's texts)."""
+    from ragtab.functions.text import token_jaccard, tokens
+    from ragtab.operators import report as R
+
+    raw = spark.createDataFrame([("e", "gemma2", "m", 1, "{'consistent': 'True'}")], "experiment string, verifier string, model string, id long, raw_text string")
+    a = spark.createDataFrame([("e", "m", 1, "x y", "x", 1.0)], "experiment string, model string, id long, response string, llm_response string, time double")
+    plan = R.compare_settings(J.judge_rows(a, raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    pair = a.select(token_jaccard(tokens("response"), tokens("llm_response")).alias("j"))
+    assert pair._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert pair.first()["j"] == 0.5
+
+
+def test_reranked_answers_are_ranked_once(spark):
+    """The size check of the best hits and their join read the same reranked rows."""
+    from ragtab.operators import answer as A
+
+    q = spark.createDataFrame([(1, "a b", "r")], "id long, question string, response string")
+    d = spark.createDataFrame([(5, "a b", "yes"), (6, "a c", "no")], "doc_id long, question string, response string")
+    out = A.answer_extractive(q, d, ["m"], "e", advanced=True)
+    assert "array_intersect" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["llm_response"] for r in out.collect()] == ["yes"]
