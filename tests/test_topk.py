@@ -270,3 +270,25 @@ def test_dense_floor_scores_few_pairs_again():
             hits.append({(q, d, s) for q, d, s in zip(acc.q.tolist(), acc.d.tolist(), acc.s.tolist())})
             offered.append(sum(seen))
         assert hits[1] == {h for h in hits[0] if h[2] >= floor} and 0 < len(hits[1]) < len(hits[0]) and offered[1] < offered[0]
+
+
+def test_whole_products_are_scored_as_they_are(monkeypatch):
+    """Pairs of texts are scored from their tile's product of counts, and summed again only where it may not be whole."""
+    calls, exact = [], topk.LexicalKernel.exact
+    monkeypatch.setattr(topk.LexicalKernel, "exact", lambda self, *a: calls.append(1) or exact(self, *a))
+    qs, ds = _mixed_texts(150, 5), _mixed_texts(400, 6)
+    found = []
+    for long in ([], [["xa"] * 3_000_000]):
+        for whole in (topk.LexicalKernel.WHOLE, 0.0):
+            monkeypatch.setattr(topk.LexicalKernel, "WHOLE", whole)
+            calls.clear()
+            acc, texts = topk._TopK(5), qs + long
+            topk.LexicalKernel().prepare(np.arange(len(texts)), topk.pa.array([" ".join(t) or None for t in texts])).score_into(
+                acc, np.arange(len(ds) + len(long)), topk.pa.array([" ".join(t) or None for t in ds + long]))
+            assert bool(calls) == (whole == 0.0 or bool(long))
+            found.append(acc.frame().query("query_id < 150 and doc_id < 400").reset_index(drop=True))
+        monkeypatch.undo()
+        monkeypatch.setattr(topk.LexicalKernel, "exact", lambda self, *a: calls.append(1) or exact(self, *a))
+    assert len(found[0]) > 500
+    for other in found[1:]:
+        topk.pd.testing.assert_frame_equal(found[0], other)
