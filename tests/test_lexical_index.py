@@ -132,3 +132,15 @@ def test_ingest_is_repeatable(spark):
     with pytest.raises(ValueError):
         store.snapshot().put("c", {})
     assert json.dumps(sorted(store.batches())) == '["a", "b"]'
+
+
+def test_a_threshold_is_known_to_the_search(spark, monkeypatch):
+    """Many queries are scored by tiles over the segments, with the threshold of the caller."""
+    monkeypatch.setattr(LI, "SEGMENT_DOCS", 16)
+    d = spark.createDataFrame(list(enumerate(texts(200, 5))), "doc_id long, question string")
+    q = spark.createDataFrame(list(enumerate(texts(150, 6))), "id long, question string")
+    index = make(spark, d)
+    monkeypatch.setattr(LI.LexicalIndex, "_block", None)     # the search query by query
+    want = rows(topk.lexical_topk(q, d, 2, floor=0.9))
+    assert 0 < len(want) < 300 and rows(index.topk(q, 2, floor=0.9)) == want
+    assert RT.first_stage(q, index, 2, floor=0.9).count() == len(want)
