@@ -7,6 +7,7 @@ other characters in them), never file names."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,15 +61,16 @@ def read_results_csv(spark: SparkSession, root: str, schema: StructType | str, v
     ``llama3.1``), both percent-decoded; allow-lists filter both."""
     from ragtab.functions.text import file_stem
 
-    df = read_quoted_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema, with_path=True)
-    df = df.where(~F.col("file_path").contains(".ipynb"))  # P9
-    df = (df.withColumn("verifier", F.url_decode(F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1)))
-          .withColumn("model", F.url_decode(file_stem("file_path"))).drop("file_path"))
-    if verifiers is not None:
-        df = df.where(F.col("verifier").isin(list(verifiers)))
-    if models is not None:
-        df = df.where(F.col("model").isin(list(models)))
-    return df
+    def named(path) -> dict:
+        return {"verifier": F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)), "model": F.url_decode(file_stem(path))}
+
+    path = F.col("_metadata.file_path")
+    only = ~F.contains(path, F.lit(".ipynb"))  # P9
+    for name, allowed in (("verifier", verifiers), ("model", models)):
+        if allowed is not None:
+            only &= named(path)[name].isin(list(allowed))
+    df = read_quoted_csv(spark, f"{root.rstrip('/')}/*/*.csv", schema, with_path=True, only=only)
+    return df.withColumns(named(F.col("file_path"))).drop("file_path")
 
 
 def write_results_csv(df: DataFrame, root: str) -> None:
@@ -77,7 +79,8 @@ def write_results_csv(df: DataFrame, root: str) -> None:
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for r in df.select("verifier", "model").distinct().collect():  # the grid of verifiers and models
+
+    def write(r) -> None:
         verifier, model = (r[c].replace("%", "%25").replace("/", "%2F") for c in ("verifier", "model"))
         part = f"{root.rstrip('/')}/_{uuid.uuid4().hex}"
         own = df.where((F.col("verifier") == r["verifier"]) & (F.col("model") == r["model"])).drop("verifier", "model")
@@ -88,6 +91,10 @@ def write_results_csv(df: DataFrame, root: str) -> None:
             fs.rename(f.getPath(), fs_path(target, f"{model}.csv"))
         fs.delete(fs_path(part), True)
 
+    grid = df.select("verifier", "model").distinct().collect()  # of verifiers and models
+    with ThreadPoolExecutor(min(16, spark.sparkContext.defaultParallelism)) as pool:  # a file is written by one task, so files side by side
+        list(pool.map(write, grid))
+
 
 def list_models(results: DataFrame) -> DataFrame:
     """Distinct model names of a results tree (a partition column)."""

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -75,10 +75,19 @@ def _open_splits(lines: DataFrame) -> dict[tuple[str, int], int]:
     return out
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` (of the file) and ``record`` for every record, header records left out."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+#: Splits that a task reads at least, one after another, where there are very many.
+TASK_SPLITS = 256
+
+
+def records(spark: SparkSession, path: str, only: Column | None = None) -> DataFrame:
+    """``path`` (of the file) and ``record`` for every record, header records left out. ``only``: a condition on
+    ``_metadata.file_path``; other files are not read."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = (lines if only is None else lines.where(only)).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"))
+    splits, tasks = lines.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    if splits > tasks:  # small splits: a task and its Python worker for each would cost more than reading them
+        lines = lines.coalesce(max(tasks, splits // TASK_SPLITS))
     shared = spark.sparkContext.broadcast(_open_splits(lines))  # a number for each split that starts inside quotes
 
     def join(batches: Iterator[pa.RecordBatch]):
@@ -122,13 +131,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
 
-def read_quoted_csv(spark: SparkSession, path: str, schema: StructType | str, with_path: bool = False) -> DataFrame:
+def read_quoted_csv(spark: SparkSession, path: str, schema: StructType | str, with_path: bool = False, only: Column | None = None) -> DataFrame:
     """Header CSV whose cells may hold commas, doubled quotes and newlines; explicit schema. Columns that folders named
-    ``name=value`` give are added, as by other readers. ``with_path`` adds the file's path as ``file_path``."""
+    ``name=value`` give are added, as by other readers. ``with_path`` adds the file's path as ``file_path``.
+    ``only``: see ``records``."""
     if isinstance(schema, str):
         schema = spark.createDataFrame([], schema).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    rows = records(spark, path).select(F.from_csv("record", ddl, OPTIONS).alias("r"), F.col("path").alias("file_path"))
+    rows = records(spark, path, only).select(F.from_csv("record", ddl, OPTIONS).alias("r"), F.col("path").alias("file_path"))
     folders = [f for f in spark.read.text(path).schema if f.name != "value" and f.name not in schema.names]
     decoded = lambda x: F.url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
     # the folder's name encodes the value, and the path, which is a URI, the name

@@ -89,3 +89,18 @@ def test_results_tree_with_dotted_names_and_notebook_folder(spark):
             f.write('id,question,response\n1,"a\nb",c\n')
     got = FS.read_experiments(spark, root, SCHEMA).select("experiment", "model", "question").collect()
     assert sorted(map(tuple, got)) == [("no_rag", "llama3.1", "a\nb"), ("no_rag", "phi3", "a\nb")]
+
+
+def test_other_files_are_not_read_and_small_splits_share_tasks(spark, tmp_path):
+    """The allow-lists choose files before any is read; thousands of splits don't become thousands of tasks."""
+    rows = [(m, v, i, "a\n\"b\"," * 40) for m in ("m.1", "m2") for v in ("v", "n.ipynb") for i in range(400)]
+    FS.write_results_csv(spark.createDataFrame(rows, "model string, verifier string, id long, question string"), str(tmp_path))
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    df = FS.read_results_csv(other, str(tmp_path), "id long, question string", models=["m.1"])
+    lines = other.read.text(f"{tmp_path}/*/*.csv").rdd.getNumPartitions()
+    assert lines > 300 and df.rdd.getNumPartitions() < lines / 2
+    assert sorted(tuple(r) for r in df.select("verifier", "model", "id", "question").collect()) == [("v", "m.1", i, "a\n\"b\"," * 40) for i in range(400)]
+    for f in tmp_path.glob("*/m2.csv"):
+        f.write_bytes(b"\xff" * 9 + b'"')
+    assert df.count() == 400
