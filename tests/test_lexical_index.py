@@ -144,3 +144,16 @@ def test_a_threshold_is_known_to_the_search(spark, monkeypatch):
     want = rows(topk.lexical_topk(q, d, 2, floor=0.9))
     assert 0 < len(want) < 300 and rows(index.topk(q, 2, floor=0.9)) == want
     assert RT.first_stage(q, index, 2, floor=0.9).count() == len(want)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_null_and_repeated_ids(spark, kind):
+    """A document and a question without an id are ones like others; questions with one id are one query."""
+    name = (lambda i: f"é{i}") if kind == "string" else (lambda i: i)
+    d = spark.createDataFrame([(None, "red cat"), (name(1), "red dog"), (name(2), "blue dog bird")], f"doc_id {kind}, question string")
+    q = spark.createDataFrame([(None, "cat"), (name(1), "red"), (name(2), "blue"), (name(2), "blue dog bird"), (name(3), None)], f"id {kind}, question string")
+    index = make(spark, d)
+    got = {tuple(r) for r in index.topk(q, 4).select("query_id", "doc_id", "score").collect()}
+    assert got == {(None, None, 0.707107), (name(1), None, 0.707107), (name(1), name(1), 0.707107), (name(2), name(2), 0.942809), (name(2), name(1), 0.288675)}
+    assert got == {tuple(r) for r in index.topk(q, 4, report=True)[0].select("query_id", "doc_id", "score").collect()}
+    assert index.topk(q, 4, exclude_self=True).count() == 3
